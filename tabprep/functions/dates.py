@@ -44,23 +44,26 @@ def epoch_seconds(value: Column) -> Column:
     return F.coalesce(seconds, F.lit(0.0))
 
 
-def _date_formats() -> dict[str, str]:
-    """Name -> pattern of every date text that is recognised; one name must fit a whole column."""
-    formats = {"date": r"^\d{4}-\d{2}-\d{2}$"}
-    clocks = {"minute": r"\d{2}:\d{2}", "second": r"\d{2}:\d{2}:\d{2}", "fraction": r"\d{2}:\d{2}:\d{2}\.\d{1,9}"}
-    for separator, joint in (("blank", " "), ("t", "T")):
-        for resolution, clock in clocks.items():
-            for zone, suffix in (("plain", ""), ("zoned", r"(Z|[+-]\d{2}:?\d{2})")):
-                formats[f"{separator}_{resolution}_{zone}"] = rf"^\d{{4}}-\d{{2}}-\d{{2}}{joint}{clock}{suffix}$"
-    formats["month_first"] = r"^(0?[1-9]|1[0-2])/(0?[1-9]|[12]\d|3[01])/\d{4}$"
-    formats["day_first"] = r"^(0?[1-9]|[12]\d|3[01])/(0?[1-9]|1[0-2])/\d{4}$"
-    formats["year"] = r"^\d{4}$"
-    formats["clock"] = r"^([01]?\d|2[0-3]):[0-5]\d$"
-    formats["quarter"] = r"^\d{4}Q[1-4]$"
-    return formats
-
-
-DATE_FORMATS = _date_formats()
+def _date_shapes() -> dict[str, tuple[str, ...]]:
+    """Shape of a date text (digits as 0, any fraction as .0, any zone as z) -> format names."""
+    shapes: dict[str, tuple[str, ...]] = {"0000-00-00": ("date",)}
+    for separator in " T":
+        for clock in ("00:00", "00:00:00", "00:00:00.0"):
+            for zone in ("", "z"):
+                shape = f"0000-00-00{separator}{clock}{zone}"
+                shapes[shape] = (shape,)
+    for first in ("0", "00"):
+        for second in ("0", "00"):
+            shapes[f"{first}/{second}/0000"] = ("month first", "day first")
+    shapes |= {"0000": ("year",), "0:00": ("clock",), "00:00": ("clock",), "0000Q0": ("quarter",)}
+    return shapes
+
+
+DATE_SHAPES = _date_shapes()
+DATE_FORMATS = list(dict.fromkeys(name for names in DATE_SHAPES.values() for name in names))
+
+# No date text is longer than this.
+LONGEST_DATE = 40
 
 # The years a nanosecond timestamp can hold in full.
 FIRST_YEAR, LAST_YEAR = 1678, 2261
@@ -68,31 +71,31 @@ FIRST_YEAR, LAST_YEAR = 1678, 2261
 
 def date_format_mask(text: Column) -> Column:
     """Bit i is set when ``text`` fits the i-th of ``DATE_FORMATS`` and names a real date."""
-    year = F.regexp_extract(text, r"^(\d{4})", 1)
-    year = F.when(year == "", F.regexp_extract(text, r"(\d{4})$", 1)).otherwise(year).try_cast("int")
-    year_fits = F.coalesce(year.between(FIRST_YEAR, LAST_YEAR), F.lit(False))
-    iso_date = F.substring(text, 1, 10).try_cast("date").isNotNull()
-    clock_fits = F.coalesce(
-        F.regexp_extract(text, r"^.{10}[ T](\d{2}:\d{2}(:\d{2})?)", 1).rlike(r"^([01]\d|2[0-3])(:[0-5]\d){1,2}$"),
-        F.lit(False),
-    )
+
+    def bit(name: str) -> int:
+        return 1 << DATE_FORMATS.index(name)
+
+    shape = F.regexp_replace(F.translate(text, "123456789", "000000000"), r"(Z|[+-]00:?00)$", "z")
+    shape = F.regexp_replace(shape, r"\.0{1,9}(z?)$", ".0$1")
+    digits = [F.substring(text, 1, 4), F.substring(text, -4, 4)]
+    year_first, year_last = (part.try_cast("int").between(FIRST_YEAR, LAST_YEAR) for part in digits)
+    clock = F.substring(text, 11, 30)
+    iso = year_first & F.substring(text, 1, 10).try_cast("date").isNotNull()
+    iso = iso & ((clock == "") | clock.rlike(r"^.([01]\d|2[0-3])(:[0-5]\d){1,2}"))
     parts = F.split(text, "/")
 
-    def slashed(month: int, day: int) -> Column:
-        pieces = F.concat_ws("-", F.get(parts, 2), F.lpad(F.get(parts, month), 2, "0"), F.lpad(F.get(parts, day), 2, "0"))
-        return pieces.try_cast("date").isNotNull()
-
-    checks = {
-        "date": year_fits & iso_date,
-        "month_first": year_fits & slashed(0, 1),
-        "day_first": year_fits & slashed(1, 0),
-        "year": year_fits,
-        "clock": F.lit(True),
-        "quarter": year_fits,
-    }
-    mask = F.lit(0)
-    for position, (name, pattern) in enumerate(DATE_FORMATS.items()):
-        check = checks.get(name, year_fits & iso_date & clock_fits)
-        mask = mask + F.when(text.rlike(pattern) & check, 1 << position).otherwise(0)
-    # A digit-free text can fit no format; skip the patterns for it.
-    return F.when(text.rlike(r"^\d"), mask).otherwise(0)
+    def slashed(month: int, day: int, name: str) -> Column:
+        pieces = [F.get(parts, 2), F.lpad(F.get(parts, month), 2, "0"), F.lpad(F.get(parts, day), 2, "0")]
+        return F.when(F.concat_ws("-", *pieces).try_cast("date").isNotNull(), bit(name)).otherwise(0)
+
+    isos = {shape: names[0] for shape, names in DATE_SHAPES.items() if shape.startswith("0000-")}
+    by_shape = F.create_map(*[F.lit(v) for shape, name in isos.items() for v in (shape, bit(name))])
+    slash = slashed(0, 1, "month first") + slashed(1, 0, "day first")
+    mask = (
+        F.when(shape.startswith("0000-"), F.when(iso, F.try_element_at(by_shape, shape)))
+        .when(shape.rlike("^0{1,2}/0{1,2}/0000$"), F.when(year_last, slash))
+        .when(shape == "0000", F.when(year_first, bit("year")))
+        .when(shape.isin("0:00", "00:00"), F.when(text.rlike(r"^([01]?\d|2[0-3]):[0-5]\d$"), bit("clock")))
+        .when(text.rlike(r"^\d{4}Q[1-4]$"), F.when(year_first, bit("quarter")))
+    )
+    return F.coalesce(mask, F.lit(0))

@@ -56,6 +56,16 @@ def _comparable(df: DataFrame, name: str) -> tuple[str, Column]:
     return "string", value.cast("string")
 
 
+def estimate_distinct(df: DataFrame, name: str, size: int) -> Column:
+    """Aggregate: distinct values of a column from a sketch of ``2**size`` buckets; NULL for times."""
+    carrier, value = _comparable(df, name)
+    if family(df.schema[name].dataType) == TIME:
+        return F.lit(None).cast("bigint")
+    if carrier == "double":
+        value = F.when(value.isNotNull(), F.xxhash64(value))
+    return F.hll_sketch_estimate(F.hll_sketch_agg(value, size))
+
+
 def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
     """Exact distinct non-null values as ``(column, n_unique)``, for all ``names`` at once.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprep.functions.dates import date_format_mask
+from tabprep.functions.dates import LONGEST_DATE, date_format_mask
 from tabprep.functions.numbers import FLOATING, missing_if_nan, parse_number
 from tabprep.functions.text import MISSING, render
 from tabprep.meta import (
@@ -24,31 +24,33 @@ from tabprep.meta import (
 )
 from tabprep.operators.columns import col
 from tabprep.operators.ordering import sort_keys
-from tabprep.operators.profiles import NUMERIC, STRING, TIME, distinct_counts, family, profile, summarise
+from tabprep.operators.profiles import NUMERIC, STRING, TIME, distinct_counts, estimate_distinct, profile, summarise
 from tabprep.operators.rows import text_columns
 
-# approx_count_distinct runs at 1% standard error; estimates within a factor of two of the limit
+# A sketch of this size has a standard error below 1%; estimates within a factor of two of the limit
 # are settled by an exact count, so a wrong role would take an error of fifty standard deviations.
-_ESTIMATE_ERROR, _DOUBT = 0.01, 2.0
+_SKETCH_SIZE, _DOUBT = 14, 2.0
 
 
 def sniff_dates(df: DataFrame, order: list[str], values: int = SNIFFED_VALUES) -> DataFrame:
-    """``(column, is_datetime)`` for every text column.
+    """``(column, is_datetime)`` for every text column that has values.
 
     A column holds dates when one date format fits its first ``values`` non-null texts in ``order``.
-    The texts are reduced to a bit mask of fitting formats in the scan, so that only the order
-    columns and one number per row take part in the top-k.
+    A text too long for a date is replaced by a mark as it is read, so the top-k per column moves
+    only short rows however long the texts are.
     """
-    verdicts = []
+    keys = [f"_o{i}" for i in range(len(order))]
+    heads = []
     for name in text_columns(df):
-        masks = df.where(col(name).isNotNull()).select(*[col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-                                                       date_format_mask(col(name)).alias("mask"))
-        head = masks.orderBy(*sort_keys([f"_o{i}" for i in range(len(order))])).limit(values)
-        fits = F.coalesce(F.bit_and("mask"), F.lit(0)) != 0
-        verdicts.append(head.agg(fits.alias("is_datetime")).select(F.lit(name).alias("column"), "is_datetime"))
-    if not verdicts:
+        short = F.when(F.length(col(name)) <= LONGEST_DATE, col(name)).otherwise("-")
+        cells = df.where(col(name).isNotNull()).select(
+            F.lit(name).alias("column"), short.alias("text"), *[col(c).alias(k) for c, k in zip(order, keys)]
+        )
+        heads.append(cells.orderBy(*sort_keys(keys)).limit(values).select("column", "text"))
+    if not heads:
         return df.sparkSession.createDataFrame([], "column string, is_datetime boolean")
-    return reduce(DataFrame.unionAll, verdicts)
+    masks = reduce(DataFrame.unionAll, heads).select("column", date_format_mask(F.col("text")).alias("mask"))
+    return masks.groupBy("column").agg((F.bit_and("mask") != 0).alias("is_datetime"))
 
 
 def _decide(profiled: DataFrame) -> DataFrame:
@@ -91,8 +93,7 @@ def learn_meta(
     ``exact`` counts all of them exactly.
     """
     table = train.drop(*(ignore or []))
-    sketches = {name: F.lit(None).cast("bigint") if family(table.schema[name].dataType) == TIME
-                else F.approx_count_distinct(col(name), _ESTIMATE_ERROR) for name in table.columns}
+    sketches = {name: estimate_distinct(table, name, _SKETCH_SIZE) for name in table.columns}
     found = _with_dates(summarise(table, sketches), train.drop(*set(ignore or []) - set(order)), order)
     rows = [r.asDict() for r in found.collect()]  # one row per column
 
