@@ -69,33 +69,36 @@ LONGEST_DATE = 40
 FIRST_YEAR, LAST_YEAR = 1678, 2261
 
 
-def date_format_mask(text: Column) -> Column:
-    """Bit i is set when ``text`` fits the i-th of ``DATE_FORMATS`` and names a real date."""
+def _bit(name: str) -> int:
+    return 1 << DATE_FORMATS.index(name)
 
-    def bit(name: str) -> int:
-        return 1 << DATE_FORMATS.index(name)
 
-    shape = F.regexp_replace(F.translate(text, "123456789", "000000000"), r"(Z|[+-]00:?00)$", "z")
-    shape = F.regexp_replace(shape, r"\.0{1,9}(z?)$", ".0$1")
-    digits = [F.substring(text, 1, 4), F.substring(text, -4, 4)]
-    year_first, year_last = (part.try_cast("int").between(FIRST_YEAR, LAST_YEAR) for part in digits)
-    clock = F.substring(text, 11, 30)
-    iso = year_first & F.substring(text, 1, 10).try_cast("date").isNotNull()
-    iso = iso & ((clock == "") | clock.rlike(r"^.([01]\d|2[0-3])(:[0-5]\d){1,2}"))
-    parts = F.split(text, "/")
+def shape_sql(text: str) -> str:
+    """SQL for the shape of a text column, as in ``DATE_SHAPES``."""
+    digits = f"regexp_replace(translate({text}, '123456789', '000000000'), r'(Z|[+-]00:?00)$', 'z')"
+    return rf"regexp_replace({digits}, r'\.0{{1,9}}(z?)$', '.0$1')"
 
-    def slashed(month: int, day: int, name: str) -> Column:
-        pieces = [F.get(parts, 2), F.lpad(F.get(parts, month), 2, "0"), F.lpad(F.get(parts, day), 2, "0")]
-        return F.when(F.concat_ws("-", *pieces).try_cast("date").isNotNull(), bit(name)).otherwise(0)
 
+def format_mask_sql(text: str, shape: str) -> str:
+    """SQL whose bit i is set when ``text`` fits the i-th of ``DATE_FORMATS`` and names a real date."""
     isos = {shape: names[0] for shape, names in DATE_SHAPES.items() if shape.startswith("0000-")}
-    by_shape = F.create_map(*[F.lit(v) for shape, name in isos.items() for v in (shape, bit(name))])
-    slash = slashed(0, 1, "month first") + slashed(1, 0, "day first")
-    mask = (
-        F.when(shape.startswith("0000-"), F.when(iso, F.try_element_at(by_shape, shape)))
-        .when(shape.rlike("^0{1,2}/0{1,2}/0000$"), F.when(year_last, slash))
-        .when(shape == "0000", F.when(year_first, bit("year")))
-        .when(shape.isin("0:00", "00:00"), F.when(text.rlike(r"^([01]?\d|2[0-3]):[0-5]\d$"), bit("clock")))
-        .when(text.rlike(r"^\d{4}Q[1-4]$"), F.when(year_first, bit("quarter")))
-    )
-    return F.coalesce(mask, F.lit(0))
+    bits = ", ".join(f"'{shape}', {_bit(name)}" for shape, name in isos.items())
+    years = f"BETWEEN {FIRST_YEAR} AND {LAST_YEAR}"
+    clock = r"([01]\d|2[0-3])(:[0-5]\d){1,2}"
+
+    def slashed(name: str, month: int, day: int) -> str:
+        part = f"lpad(get(split({text}, '/'), %d), 2, '0')"
+        date = f"concat_ws('-', right({text}, 4), {part % month}, {part % day})"
+        return f"if(try_cast({date} AS date) IS NOT NULL, {_bit(name)}, 0)"
+
+    return rf"""coalesce(CASE
+        WHEN {shape} LIKE '0000-%' THEN
+            if(try_cast(left({text}, 4) AS int) {years} AND try_cast(left({text}, 10) AS date) IS NOT NULL
+               AND (length({text}) = 10 OR substr({text}, 12) RLIKE r'^{clock}'), try_element_at(map({bits}), {shape}), 0)
+        WHEN {shape} RLIKE '^0{{1,2}}/0{{1,2}}/0000$' THEN
+            if(try_cast(right({text}, 4) AS int) {years},
+               {slashed("month first", 0, 1)} + {slashed("day first", 1, 0)}, 0)
+        WHEN {shape} = '0000' THEN if(try_cast({text} AS int) {years}, {_bit("year")}, 0)
+        WHEN {shape} IN ('0:00', '00:00') THEN if(lpad({text}, 5, '0') RLIKE r'^{clock}$', {_bit("clock")}, 0)
+        WHEN {text} RLIKE r'^\d{{4}}Q[1-4]$' THEN if(try_cast(left({text}, 4) AS int) {years}, {_bit("quarter")}, 0)
+        END, 0)"""

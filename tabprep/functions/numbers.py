@@ -34,11 +34,6 @@ def relative_change(later: Column, now: Column) -> Column:
     return F.try_divide(later - now, now)
 
 
-def is_whole(value: Column) -> Column:
-    """True for finite whole numbers; infinity is not whole."""
-    return value % 1 == 0
-
-
 def double_text(value: Column) -> Column:
     """Shortest decimal text of a double in the notation Python prints.
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprep.functions.dates import epoch_micros
-from tabprep.functions.numbers import FLOATING, INTEGRAL, is_whole, missing_if_nan
-from tabprep.operators.columns import col
+from tabprep.functions.dates import EPOCH
+from tabprep.functions.numbers import FLOATING, INTEGRAL
+from tabprep.operators.columns import quoted, sql_text
 
 NUMERIC, STRING, TIME = "numeric", "string", "time"
 _TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -27,43 +27,44 @@ def family(kind: T.DataType) -> str:
     raise TypeError(f"columns of type {kind.simpleString()} have no role; flatten or drop them first")
 
 
-def filled(df: DataFrame, name: str) -> Column:
-    """The column with NaN counted as missing."""
-    return missing_if_nan(col(name)) if isinstance(df.schema[name].dataType, FLOATING) else col(name)
+def _filled(df: DataFrame, name: str) -> str:
+    """SQL for a column with NaN counted as missing."""
+    cell = quoted(name)
+    return f"if(isnan({cell}), NULL, {cell})" if isinstance(df.schema[name].dataType, FLOATING) else cell
 
 
-def whole_test(df: DataFrame, name: str) -> Column:
-    """Aggregate: are all non-null values whole? NULL for columns that are not numeric."""
+def _whole_test(df: DataFrame, name: str) -> str:
+    """SQL aggregate: are all non-null values whole? NULL for columns that are not numeric."""
     kind = df.schema[name].dataType
     if isinstance(kind, (*INTEGRAL, T.BooleanType)):
-        return F.when(F.count(col(name)) > 0, F.lit(True))
+        return f"if(count({quoted(name)}) > 0, true, NULL)"
     if family(kind) == NUMERIC:
-        return F.bool_and(is_whole(filled(df, name)))
-    return F.lit(None).cast("boolean")
+        return f"bool_and({_filled(df, name)} % 1 = 0)"
+    return "CAST(NULL AS boolean)"
 
 
-def _comparable(df: DataFrame, name: str) -> tuple[str, Column]:
-    """A column in one of three carrier types, so that like columns can be stacked."""
-    kind, value = df.schema[name].dataType, filled(df, name)
+def _comparable(df: DataFrame, name: str) -> tuple[str, str]:
+    """SQL for a column in one of three carrier types, so that like columns can be stacked."""
+    kind, value = df.schema[name].dataType, _filled(df, name)
     if isinstance(kind, FLOATING):
-        return "double", value.cast("double")
+        return "double", f"CAST({value} AS double)"
     if isinstance(kind, (*INTEGRAL, T.BooleanType)):
-        return "bigint", value.cast("bigint")
+        return "bigint", f"CAST({value} AS bigint)"
     if isinstance(kind, T.DateType):
-        return "bigint", F.unix_date(value).cast("bigint")
+        return "bigint", f"CAST(unix_date({value}) AS bigint)"
     if isinstance(kind, _TIMES):
-        return "bigint", epoch_micros(value.cast("timestamp_ntz"))
-    return "string", value.cast("string")
+        return "bigint", f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{EPOCH}', CAST({value} AS timestamp_ntz))"
+    return "string", f"CAST({value} AS string)"
 
 
-def estimate_distinct(df: DataFrame, name: str, size: int) -> Column:
-    """Aggregate: distinct values of a column from a sketch of ``2**size`` buckets; NULL for times."""
+def estimate_sql(df: DataFrame, name: str, size: int) -> str:
+    """SQL aggregate: distinct values from a sketch of ``2**size`` buckets; NULL for times."""
     carrier, value = _comparable(df, name)
     if family(df.schema[name].dataType) == TIME:
-        return F.lit(None).cast("bigint")
+        return "CAST(NULL AS bigint)"
     if carrier == "double":
-        value = F.when(value.isNotNull(), F.xxhash64(value))
-    return F.hll_sketch_estimate(F.hll_sketch_agg(value, size))
+        value = f"if({value} IS NULL, NULL, xxhash64({value}))"
+    return f"hll_sketch_estimate(hll_sketch_agg({value}, {size}))"
 
 
 def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
@@ -72,51 +73,37 @@ def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
     Columns of like type are stacked and counted together: one scan and one shuffle per type,
     instead of one copy of every row per column as ``count(distinct ...)`` of several columns takes.
     """
-    groups: dict[str, list[Column]] = {}
+    groups: dict[str, list[str]] = {}
     for name in names:
         carrier, value = _comparable(df, name)
-        groups.setdefault(carrier, []).append(F.struct(F.lit(name).alias("column"), value.alias("value")))
+        groups.setdefault(carrier, []).append(f"{sql_text(name)}, {value}")
     counts = []
     for cells in groups.values():
-        stacked = df.select(F.inline(F.array(*cells))).where("value is not null")
-        values = stacked.groupBy("column", "value").agg(F.lit(1).alias("one"))
-        counts.append(values.groupBy("column").agg(F.count("one").alias("n_unique")))
+        stacked = df.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS (column, value)").where("value IS NOT NULL")
+        counts.append(stacked.distinct().groupBy("column").agg(F.count("value").alias("n_unique")))
     return reduce(DataFrame.unionAll, counts)
 
 
-def summarise(df: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
-    """One row per column from a single aggregation: ``column, family, n_rows, n_filled, all_whole``.
+def summarise(df: DataFrame, estimates: int | None = None) -> DataFrame:
+    """One row per column from one aggregation: ``position, column, family, n_rows, n_filled, all_whole``.
 
-    ``extra`` adds one more aggregate per column as ``estimate``.
+    ``estimates`` adds ``estimate``, the distinct values from sketches of that size.
     """
-    aggregates = {"rows": F.count(F.lit(1))}
+    aggregates, cells = ["count(*) AS n"], []
     for i, name in enumerate(df.columns):
-        aggregates[f"filled{i}"] = F.count(filled(df, name))
-        aggregates[f"whole{i}"] = whole_test(df, name)
-        if extra:
-            aggregates[f"extra{i}"] = extra[name]
-    row = df.agg(*[value.alias(key) for key, value in aggregates.items()])
-    cells = []
-    for i, name in enumerate(df.columns):
-        fields = [
-            F.lit(i).alias("position"),
-            F.lit(name).alias("column"),
-            F.lit(family(df.schema[name].dataType)).alias("family"),
-            F.col("rows").alias("n_rows"),
-            F.col(f"filled{i}").alias("n_filled"),
-            F.col(f"whole{i}").alias("all_whole"),
-        ]
-        if extra:
-            fields.append(F.col(f"extra{i}").alias("estimate"))
-        cells.append(F.struct(*fields))
-    return row.select(F.inline(F.array(*cells)))
+        aggregates += [f"count({_filled(df, name)}) AS f{i}", f"{_whole_test(df, name)} AS w{i}"]
+        cell = [str(i), sql_text(name), sql_text(family(df.schema[name].dataType)), "n", f"f{i}", f"w{i}"]
+        if estimates:
+            aggregates.append(f"{estimate_sql(df, name, estimates)} AS e{i}")
+            cell.append(f"e{i}")
+        cells.append(", ".join(cell))
+    fields = "position, column, family, n_rows, n_filled, all_whole" + (", estimate" if estimates else "")
+    row = df.agg(*[F.expr(sql) for sql in aggregates])
+    return row.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS ({fields})")
 
 
 def profile(df: DataFrame) -> DataFrame:
     """``position, column, family, n_rows, n_filled, all_whole, n_unique`` with exact counts."""
-    counts = distinct_counts(df, df.columns)
-    joined = summarise(df).join(counts, "column", "left")
-    return joined.select(
-        "position", "column", "family", "n_rows", "n_filled", "all_whole",
-        F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
-    )
+    joined = summarise(df).join(distinct_counts(df, df.columns), "column", "left")
+    return joined.selectExpr("position", "column", "family", "n_rows", "n_filled", "all_whole",
+                             "coalesce(n_unique, 0) AS n_unique")

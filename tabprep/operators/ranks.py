@@ -20,7 +20,8 @@ from tabprep.functions.numbers import FLOATING, INTEGRAL, missing_if_nan
 from tabprep.operators.columns import col, require_columns
 from tabprep.operators.ordering import sort_keys, typed_literal
 
-_CHUNK = 6  # bytes of a text compared at a time: 48 bits fit a double exactly
+_CHUNK = 6  # bytes of a text compared at a time: with their number, 51 bits, which a double holds exactly
+_CHUNK_END = 1 << 8 * _CHUNK + 3
 _EXACT = 1 << 53  # integers up to here survive the double arithmetic of percentile_approx
 _STEP_BITS = 11
 
@@ -84,32 +85,32 @@ def _search(
         column, kind = col(name), keys.schema[name].dataType
         if isinstance(kind, FLOATING):
             column = missing_if_nan(column)
-        (filled,) = yield where, [_count(where & column.isNotNull())]
+        present = where & column.isNotNull()
+        filled, low, high = yield present, [_count(present), _lowest(present, column), _highest(present, column)]
         if rank >= filled:  # nulls come last
             where, rank, rows = where & column.isNull(), rank - filled, rows - filled
             continue
-        where, rows = where & column.isNotNull(), filled
-        if isinstance(kind, T.StringType):
-            (longest,) = yield where, [F.max(F.when(where, F.octet_length(column)))]
-            chunks = -(-longest // _CHUNK)
-            parts = [(_chunk(column, i), T.LongType()) for i in range(chunks)] + [(F.octet_length(column), T.IntegerType())]
-        else:
-            parts = [(column, kind)]
-        for part, part_kind in parts:
-            if rows <= sort_limit:
-                break
-            where, rank, rows = yield from _narrow(part, part_kind, where, rank, rows, sort_limit, accuracy)
+        where, rows = present, filled
+        if not isinstance(kind, T.StringType):
+            where, rank, rows = yield from _narrow(column, kind, low, high, where, rank, rows, sort_limit, accuracy)
+            continue
+        chunk = 0
+        while low != high and rows > sort_limit:
+            step = _narrow(_chunk(column, chunk), T.LongType(), 0, _CHUNK_END, where, rank, rows, sort_limit, accuracy)
+            where, rank, rows = yield from step
+            if rows > sort_limit:
+                low, high = yield where, [_lowest(where, column), _highest(where, column)]
+            chunk += 1
     if rows > sort_limit:
         raise ValueError(f"the order {order} is not unique")
     return where, rank
 
 
 def _narrow(
-    value: Column, kind: T.DataType, where: Column, rank: int, rows: int, sort_limit: int, accuracy: int
+    value: Column, kind: T.DataType, low, high, where: Column, rank: int, rows: int, sort_limit: int, accuracy: int
 ) -> Generator[Request, list, tuple[Column, int, int]]:
     """Shrink the range of ``value`` around ``rank`` until it is one value or few rows."""
     integral = isinstance(kind, INTEGRAL)
-    low, high = yield where, [F.min(F.when(where, value)), F.max(F.when(where, value))]
     while low != high and rows > sort_limit:
         # percentile_approx works on doubles: near integers are measured from the lower end of the
         # range and far ones in steps of 2048, so that either is exact.
@@ -146,11 +147,23 @@ def _narrow(
     return where, rank, rows
 
 
+def _lowest(where: Column, value: Column) -> Column:
+    return F.min(F.when(where, value))
+
+
+def _highest(where: Column, value: Column) -> Column:
+    return F.max(F.when(where, value))
+
+
 def _count(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
 def _chunk(text: Column, index: int) -> Column:
-    """Bytes ``6*index`` onward as a number that sorts like the bytes themselves."""
-    piece = F.hex(F.substring(text.cast("binary"), index * _CHUNK + 1, _CHUNK))
-    return F.conv(F.rpad(piece, 2 * _CHUNK, "0"), 16, 10).cast("bigint")
+    """Bytes ``6*index`` onward as a number that sorts like the bytes themselves.
+
+    The number of bytes counts as well, so that a text that ends sorts before one that goes on with zeros.
+    """
+    piece = F.substring(text.cast("binary"), index * _CHUNK + 1, _CHUNK)
+    number = F.conv(F.rpad(F.hex(piece), 2 * _CHUNK, "0"), 16, 10).cast("bigint")
+    return F.shiftleft(number, 3) + F.octet_length(piece)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprep.functions.dates import LONGEST_DATE, date_format_mask
+from tabprep.functions.dates import LONGEST_DATE, format_mask_sql, shape_sql
 from tabprep.functions.numbers import FLOATING, missing_if_nan, parse_number
 from tabprep.functions.text import MISSING, render
 from tabprep.meta import (
@@ -22,9 +20,8 @@ from tabprep.meta import (
     TEXT,
     TableMeta,
 )
-from tabprep.operators.columns import col
-from tabprep.operators.ordering import sort_keys
-from tabprep.operators.profiles import NUMERIC, STRING, TIME, distinct_counts, estimate_distinct, profile, summarise
+from tabprep.operators.columns import col, quoted, sql_text
+from tabprep.operators.profiles import NUMERIC, STRING, TIME, distinct_counts, profile, summarise
 from tabprep.operators.rows import text_columns
 
 # A sketch of this size has a standard error below 1%; estimates within a factor of two of the limit
@@ -39,33 +36,36 @@ def sniff_dates(df: DataFrame, order: list[str], values: int = SNIFFED_VALUES) -
     A text too long for a date is replaced by a mark as it is read, so the top-k per column moves
     only short rows however long the texts are.
     """
-    keys = [f"_o{i}" for i in range(len(order))]
-    heads = []
-    for name in text_columns(df):
-        short = F.when(F.length(col(name)) <= LONGEST_DATE, col(name)).otherwise("-")
-        cells = df.where(col(name).isNotNull()).select(
-            F.lit(name).alias("column"), short.alias("text"), *[col(c).alias(k) for c, k in zip(order, keys)]
-        )
-        heads.append(cells.orderBy(*sort_keys(keys)).limit(values).select("column", "text"))
-    if not heads:
-        return df.sparkSession.createDataFrame([], "column string, is_datetime boolean")
-    masks = reduce(DataFrame.unionAll, heads).select("column", date_format_mask(F.col("text")).alias("mask"))
-    return masks.groupBy("column").agg((F.bit_and("mask") != 0).alias("is_datetime"))
+    names, spark = text_columns(df), df.sparkSession
+    if not names:
+        return spark.createDataFrame([], "column string, is_datetime boolean")
+    keys = ", ".join(f"{quoted(key)} NULLS LAST" for key in order)
+    heads = [
+        f"(SELECT {sql_text(name)} AS column, if(length({cell}) <= {LONGEST_DATE}, {cell}, '-') AS cell "
+        f"FROM _table_ WHERE {cell} IS NOT NULL ORDER BY {keys} LIMIT {values})"
+        for name, cell in ((name, quoted(name)) for name in names)
+    ]
+    query = f"""WITH heads AS ({" UNION ALL ".join(heads)}),
+        shaped AS (SELECT column, cell, {shape_sql("cell")} AS shape FROM heads)
+        SELECT column, bit_and({format_mask_sql("cell", "shape")}) <> 0 AS is_datetime FROM shaped GROUP BY column"""
+    escaped = query.replace("{", "{{").replace("}", "}}").replace("FROM _table_ ", "FROM {table} ")
+    return spark.sql(escaped, table=df)
 
 
 def _decide(profiled: DataFrame) -> DataFrame:
     """The role decision over a profile; NULL when a column is empty."""
-    few = (F.col("n_unique") <= CATEGORY_LIMIT) | (F.try_divide("n_unique", "n_rows") < CATEGORY_SHARE)
-    numeric = F.col("family") == NUMERIC
-    role = (
-        F.when(F.col("n_filled") == 0, F.lit(None).cast("string"))
-        .when((F.col("family") == TIME) | F.col("is_datetime"), DATETIME)
-        .when(numeric & ~F.col("all_whole"), CONTINUOUS)
-        .when(few, CATEGORICAL)
-        .when(numeric, INTEGER)
-        .otherwise(TEXT)
+    return profiled.selectExpr(
+        "position",
+        "column",
+        f"""CASE WHEN n_filled = 0 THEN NULL
+                 WHEN family = '{TIME}' OR is_datetime THEN '{DATETIME}'
+                 WHEN family = '{NUMERIC}' AND NOT all_whole THEN '{CONTINUOUS}'
+                 WHEN n_unique <= {CATEGORY_LIMIT} OR n_unique / n_rows < {CATEGORY_SHARE}D THEN '{CATEGORICAL}'
+                 WHEN family = '{NUMERIC}' THEN '{INTEGER}'
+                 ELSE '{TEXT}' END AS role""",
+        "n_unique",
+        "n_rows",
     )
-    return profiled.select("position", "column", role.alias("role"), "n_unique", "n_rows")
 
 
 def _with_dates(profiled: DataFrame, df: DataFrame, order: list[str]) -> DataFrame:
@@ -93,8 +93,7 @@ def learn_meta(
     ``exact`` counts all of them exactly.
     """
     table = train.drop(*(ignore or []))
-    sketches = {name: estimate_distinct(table, name, _SKETCH_SIZE) for name in table.columns}
-    found = _with_dates(summarise(table, sketches), train.drop(*set(ignore or []) - set(order)), order)
+    found = _with_dates(summarise(table, _SKETCH_SIZE), train.drop(*set(ignore or []) - set(order)), order)
     rows = [r.asDict() for r in found.collect()]  # one row per column
 
     def counted(row: dict) -> bool:

@@ -126,9 +126,10 @@ def flat_orders(
 
     The joined table is written once; cut points are then found on its order columns alone.
     """
-    sold = equi_join(orders, items, order_key, "inner", null_safe=True, hot=hot_keys(items, order_key))
+    hot_orders = hot_keys(items, order_key)
+    sold = equi_join(items, orders, order_key, "inner", null_safe=True, hot=hot_orders)
     described = equi_join(sold, products, product_key, "left", null_safe=True, hot=hot_keys(items, product_key))
-    flat = equi_join(described, reviews, order_key, "left", null_safe=True, hot=hot_keys(items, order_key))
+    flat = equi_join(described, reviews, order_key, "left", null_safe=True, hot=hot_orders)
     flat = copy_columns(flat, copies or {})
     at = parse_timestamp_strict(col(time)) if _is_text(flat, time) else col(time).cast("timestamp_ntz")
     flat = flat.withColumn(time, at)

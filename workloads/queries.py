@@ -53,10 +53,10 @@ def split_train_rows(spark, sf_dir):
 
 @query
 def split_by_text(spark, sf_dir):
-    """Chronological order with a hot leading text column and a narrow search, many passes deep."""
+    """An order that starts with a text of few values, found with a search several passes deep."""
     orders = table(spark, sf_dir, "orders")
     order = ["o_orderpriority", "o_orderdate", "o_orderkey"]
-    split = splits.split_contiguous(orders, order, sort_limit=500, accuracy=200)
+    split = splits.split_contiguous(orders, order, sort_limit=2_000)
     return split.select("o_orderkey", "split")
 
 
