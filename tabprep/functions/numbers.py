@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,20 +41,45 @@ def double_text(value: Column) -> Column:
 
     Plain digits from 1e-4 up to 1e16, otherwise a lower-case exponent of at least two digits.
     """
-    printed = value.cast("string")
     size = F.abs(value)
-    plain = F.regexp_replace(printed.try_cast("decimal(38,22)").cast("string"), r"0+$", "")
-    plain = F.regexp_replace(plain, r"\.$", ".0")
-    mantissa = F.regexp_replace(F.substring_index(printed, "E", 1), r"\.0$", "")
-    exponent = F.substring_index(printed, "E", -1)
-    digits = F.regexp_replace(exponent, "^-", "")
-    digits = F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
-    scientific = F.concat(mantissa, F.when(exponent.startswith("-"), "e-").otherwise("e+"), digits)
     return (
         F.when(F.isnan(value), "nan")
         .when(value == float("inf"), "inf")
         .when(value == float("-inf"), "-inf")
-        .when((size >= 1e-3) & (size < 1e7) | (value == 0), printed)
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(scientific)
+        .when((value % 1 == 0) & (size > 0) & (size < 1e16), value.cast("decimal(20,1)").cast("string"))
+        .when((size >= 1e-4) & (size < 1e16), _named(_shortest(value), _plain))
+        .when(value == 0, value.cast("string"))
+        .otherwise(_named(_shortest(value), _scientific))
     )
+
+
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _shortest(value: Column) -> Column:
+    """The fewest digits that read back as ``value``; the cast alone may print one or two too many.
+
+    Where two such texts exist, the last digit may differ from the one Python picks.
+    """
+
+    def choose(printed: Column) -> Column:
+        rounded = [F.format_string(f"%.{digits}E", value) for digits in (14, 15, 16)]
+        exact = F.coalesce(*[F.when(text.try_cast("double") == value, text) for text in rounded], printed)
+        return F.when(F.length(printed) < 17, printed).otherwise(exact)
+
+    return _named(value.cast("string"), choose)
+
+
+def _plain(digits: Column) -> Column:
+    text = F.regexp_replace(digits.try_cast("decimal(38,22)").cast("string"), r"0+$", "")
+    return F.regexp_replace(text, r"\.$", ".0")
+
+
+def _scientific(digits: Column) -> Column:
+    mantissa = F.regexp_replace(F.substring_index(digits, "E", 1), r"\.?0*$", "")
+    exponent = F.regexp_replace(F.substring_index(digits, "E", -1), r"^\+", "")
+    power = F.regexp_replace(exponent, r"^-?0*", "")
+    padded = F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power)
+    return F.concat(mantissa, F.when(exponent.startswith("-"), "e-").otherwise("e+"), padded)

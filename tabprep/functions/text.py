@@ -51,7 +51,7 @@ def render(value: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         whole = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
         micros = F.date_format(value, "SSSSSS")
-        return F.when(micros == "000000", whole).otherwise(F.concat_ws(".", whole, micros))
+        return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
     return value.cast("string")
 
 

@@ -19,14 +19,19 @@ from tabprep.workspace import pin
 _OFFSET_BITS = 33  # monotonically_increasing_id keeps the in-partition offset in its low 33 bits
 
 
-def sort_keys(order: list[str]) -> list[Column]:
-    return [F.asc_nulls_last(name) for name in order]
+def order_column(df: DataFrame, name: str) -> Column:
+    """An order column in which NaN counts as missing."""
+    return missing_if_nan(col(name)) if isinstance(df.schema[name].dataType, FLOATING) else col(name)
+
+
+def sort_keys(df: DataFrame, order: list[str]) -> list[Column]:
+    return [order_column(df, name).asc_nulls_last() for name in order]
 
 
 def chronological(df: DataFrame, order: list[str]) -> DataFrame:
     """Globally sorted rows."""
     require_columns(df, order)
-    return df.orderBy(*sort_keys(order))
+    return df.orderBy(*sort_keys(df, order))
 
 
 def with_shuffle_key(df: DataFrame, key: str, seed: int = 42, name: str = "_shuffle") -> DataFrame:
@@ -54,7 +59,7 @@ def with_row_number(df: DataFrame, order: list[str], name: str = "_row") -> Data
     columns that are needed: everything in ``df`` is shuffled and written.
     """
     require_columns(df, order)
-    ranged = df.repartitionByRange(*sort_keys(order)).sortWithinPartitions(*sort_keys(order))
+    ranged = df.repartitionByRange(*sort_keys(df, order)).sortWithinPartitions(*sort_keys(df, order))
     offset = F.monotonically_increasing_id().bitwiseAND((1 << _OFFSET_BITS) - 1)
     stored = pin(ranged.select("*", F.spark_partition_id().alias("_part"), offset.alias("_offset")), "ordered")
     # One row per partition: bounded by the number of shuffle partitions, not by the data.
@@ -97,9 +102,7 @@ def reaches(df: DataFrame, order: list[str], key: dict) -> Column:
 
 
 def _compared(df: DataFrame, name: str, value) -> tuple[Column, Column | None]:
-    kind = df.schema[name].dataType
-    column = missing_if_nan(col(name)) if isinstance(kind, FLOATING) else col(name)
-    return column, None if value is None else typed_literal(value, kind)
+    return order_column(df, name), None if value is None else typed_literal(value, df.schema[name].dataType)
 
 
 def typed_literal(value, kind: T.DataType) -> Column:

@@ -38,13 +38,15 @@ def _leaves(kind: T.StructType, path: tuple[str, ...] = ()) -> list[tuple[tuple[
 
 
 def flatten_payload(
-    df: DataFrame, column: str, schema: T.StructType | str | None = None, replacing: list[str] | None = None
+    df: DataFrame, column: str, schema: T.StructType | str | None = None, replacing: list[str] | None = None,
+    filling: list[str] | None = None,
 ) -> DataFrame:
     """Add one column per leaf of the JSON objects in ``column``, named by its dotted path.
 
     Arrays stay one cell. Texts that are not JSON objects give empty cells. ``schema`` names the
     wanted keys; without it they are discovered with ``payload_schema``. A leaf that has the name of
-    a column of ``df`` is an error unless that column is in ``replacing``, where the leaf wins.
+    a column of ``df`` is an error unless that column is in ``replacing``, where the leaf wins, or in
+    ``filling``, where the column fills in for a missing leaf.
     """
     if schema is None:
         schema = payload_schema(df, column)
@@ -52,18 +54,19 @@ def flatten_payload(
         schema = T._parse_datatype_string(schema)
     leaves = _leaves(schema)
     names = [".".join(path) for path, _ in leaves]
-    clash = set(names) & (set(df.columns) - set(replacing or []))
+    clash = set(names) & (set(df.columns) - {*(replacing or []), *(filling or [])})
     if clash:
         raise ValueError(f"payload keys {sorted(clash)} are already columns")
     if not leaves:
         return df
     parsed = F.from_json(F.when(_looks_like_object(col(column)), col(column)), schema, {"allowSingleQuotes": "false"})
     kept = [c for c in df.columns if c not in names]
-    opened = df.select(*[col(c) for c in kept], parsed.alias("_payload"))
+    spare = {c: f"_spare{i}" for i, c in enumerate(filling or []) if c in df.columns}
+    opened = df.select(*[col(c) for c in kept], *[col(c).alias(n) for c, n in spare.items()], parsed.alias("_payload"))
     cells = []
     for (path, _), name in zip(leaves, names):
         cell = F.col("_payload")
         for step in path:
             cell = cell.getField(step)
-        cells.append(cell.alias(name))
+        cells.append((F.coalesce(cell, F.col(spare[name])) if name in spare else cell).alias(name))
     return opened.select(*[col(c) for c in kept], *cells)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.functions.draws import uniform
@@ -25,15 +25,18 @@ PROMPT_TRAILER = "\nNow generate exactly one new record in the exact same JSON f
 MISSING_TIME, MISSING_VALUE = "NaT", "nan"
 
 
-def json_line(df: DataFrame, columns: list[str]) -> Column:
-    """One row as a JSON object whose values are all strings."""
-    parts = []
-    for name in columns:
-        kind = df.schema[name].dataType
+def with_json_line(df: DataFrame, columns: list[str], name: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns plus each row as a JSON object whose values are all strings."""
+    cells = []
+    for i, column in enumerate(columns):
+        kind = df.schema[column].dataType
         missing = MISSING_TIME if kind.typeName().startswith(("timestamp", "date")) else MISSING_VALUE
-        cell = json_string(F.coalesce(render(col(name), kind), F.lit(missing)))
-        parts.append(F.concat(json_string(F.lit(name)), F.lit(": "), cell))
-    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+        cells.append(F.coalesce(render(col(column), kind), F.lit(missing)).alias(f"_c{i}"))
+    # Cells are rendered in a projection of their own, which keeps the generated code small.
+    rendered = df.select(*[col(c) for c in keep], *cells)
+    parts = [F.concat(json_string(F.lit(c)), F.lit(": "), json_string(F.col(f"_c{i}"))) for i, c in enumerate(columns)]
+    line = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    return rendered.select(*[col(c) for c in keep], line.alias(name))
 
 
 def draw_positions(prompts: DataFrame, rows: int, shots: int, seed: int = 42, key: str = "prompt_id") -> DataFrame:
@@ -71,8 +74,8 @@ def few_shot_prompts(
                                                  *[col(c).alias(n) for c, n in zip(order, names)])
     matched = reduce(lambda a, b: a & b, [col(c).eqNullSafe(F.col(n)) for c, n in zip(order, names)])
     examples = train.join(pin(picked, "draws"), matched)
-    lines = examples.select(F.col("_prompt").alias(key), "_shot", json_line(train, columns).alias("_line"))
+    lines = with_json_line(examples, columns, "_line", ["_prompt", "_shot"])
     # A group holds the ``shots`` lines of one prompt, never more.
     body = F.transform(F.array_sort(F.collect_list(F.struct("_shot", "_line"))), lambda x: x["_line"])
     text = F.concat(F.lit(PROMPT_HEADER), F.array_join(body, "\n"), F.lit("\n"), F.lit(PROMPT_TRAILER))
-    return lines.groupBy(col(key)).agg(text.alias("prompt"))
+    return lines.groupBy(F.col("_prompt").alias(key)).agg(text.alias("prompt"))

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprep.functions.numbers import FLOATING, INTEGRAL, missing_if_nan
+from tabprep.functions.numbers import FLOATING, INTEGRAL
 from tabprep.operators.columns import col, require_columns
-from tabprep.operators.ordering import sort_keys, typed_literal
+from tabprep.operators.ordering import order_column, sort_keys, typed_literal
 
 _CHUNK = 6  # bytes of a text compared at a time: with their number, 51 bits, which a double holds exactly
 _CHUNK_END = 1 << 8 * _CHUNK + 3
@@ -38,7 +38,7 @@ def rows_at(
     At most ``sort_limit`` rows, of the order columns only, are ever sorted per position.
     """
     require_columns(df, order)
-    keys = df.select(*[col(name) for name in order])
+    keys = df.select(*[order_column(df, name).alias(name) for name in order])
     for field in keys.schema:
         if not isinstance(field.dataType, _ORDERED):
             raise TypeError(f"cannot order by {field.name}: cast {field.dataType.simpleString()} first")
@@ -71,7 +71,7 @@ def _answer_together(keys: DataFrame, waiting: dict[int, Request]) -> dict[int,
 
 
 def _take(keys: DataFrame, order: list[str], where: Column, rank: int) -> dict:
-    return keys.where(where).orderBy(*sort_keys(order)).offset(rank).limit(1).first().asDict()
+    return keys.where(where).orderBy(*sort_keys(keys, order)).offset(rank).limit(1).first().asDict()
 
 
 def _search(
@@ -83,8 +83,6 @@ def _search(
         if rows <= sort_limit:
             break
         column, kind = col(name), keys.schema[name].dataType
-        if isinstance(kind, FLOATING):
-            column = missing_if_nan(column)
         present = where & column.isNotNull()
         filled, low, high = yield present, [_count(present), _lowest(present, column), _highest(present, column)]
         if rank >= filled:  # nulls come last
@@ -110,7 +108,8 @@ def _narrow(
     value: Column, kind: T.DataType, low, high, where: Column, rank: int, rows: int, sort_limit: int, accuracy: int
 ) -> Generator[Request, list, tuple[Column, int, int]]:
     """Shrink the range of ``value`` around ``rank`` until it is one value or few rows."""
-    integral = isinstance(kind, INTEGRAL)
+    integral, base = isinstance(kind, INTEGRAL), where
+    above, below = [], []  # the ends of the current range, as conditions
     while low != high and rows > sort_limit:
         # percentile_approx works on doubles: near integers are measured from the lower end of the
         # range and far ones in steps of 2048, so that either is exact.
@@ -132,21 +131,25 @@ def _narrow(
         first_end, last_end = (first + spread, last + spread) if spread else (first, last)
         a, a_end, b, b_end = (typed_literal(v, kind) for v in (first, first_end, last, last_end))
         zones = [
-            (where & (value < a), low, first),
-            (where & (value >= a) & (value <= a_end), first, first_end),
-            (where & (value > a_end) & (value < b), first_end, last),
-            (where & (value >= b) & (value <= b_end) & (value > a_end), last, last_end),
-            (where & (value > b_end), last_end, high),
+            (above, [value < a], low, first),
+            ([value >= a], [value <= a_end], first, first_end),
+            ([value > a_end], [value < b], first_end, last),
+            ([value >= b, value > a_end], [value <= b_end], last, last_end),
+            ([value > b_end], below, last_end, high),
         ]
-        sizes = yield where, [_count(zone) for zone, _, _ in zones]
-        for (zone, low, high), size in zip(zones, sizes):
+        sizes = yield where, [_count(_all(base, *start, *end)) for start, end, _, _ in zones]
+        for (above, below, low, high), size in zip(zones, sizes):
             if rank < size:
                 break
             rank -= size
-        where, rows = zone, size
+        where, rows = _all(base, *above, *below), size
     return where, rank, rows
 
 
+def _all(*conditions: Column) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
 def _lowest(where: Column, value: Column) -> Column:
     return F.min(F.when(where, value))
 

@@ -31,13 +31,13 @@ def look_ahead(
     block = F.floor(F.col("_row") / block_rows)
     is_head = F.pmod("_row", F.lit(block_rows)) < steps
     copies = F.when(is_head, F.array(block, block - 1)).otherwise(F.array(block))
-    placed = numbered.select("*", F.explode(copies).alias("_block"))
-    ahead = Window.partitionBy("_block").orderBy("_row")
+    placed = numbered.select("*", F.explode(copies).alias("_stretch"))
+    ahead = Window.partitionBy("_stretch").orderBy("_row")
     later = F.lead(col(value), steps).over(ahead)
     if series:
         later = F.when(F.lead(col(series), steps).over(ahead).eqNullSafe(col(series)), later)
-    looked = placed.select(*needed, "_row", "_block", later.alias(name))
-    return looked.where(F.col("_block") == block).drop("_row", "_block")
+    looked = placed.select(*needed, "_row", "_stretch", later.alias(name))
+    return looked.where(F.col("_stretch") == block).drop("_row", "_stretch")
 
 
 def with_future_change(

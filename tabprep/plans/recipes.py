@@ -1,6 +1,7 @@
 """Recipes: chains of operators that turn raw tables into one labelled table.
 
-Each returns its output columns plus ``split``. ``order`` must be unique within the rows that remain.
+Each returns its output columns plus ``split``; with ``keep_order`` the columns that define the row
+order stay as well. Orders must be unique within the rows that remain.
 """
 
 from __future__ import annotations
@@ -38,15 +39,16 @@ def _is_text(df: DataFrame, name: str) -> bool:
 def payload_events(
     raw: DataFrame, payload: str, time: str, target: str, columns: list[str], tiebreak: list[str],
     payload_schema: T.StructType | str | None = None, elements: dict[str, tuple[str, int]] | None = None,
-    drop: list[str] | None = None,
+    drop: list[str] | None = None, filling: list[str] | None = None, keep_order: bool = False,
 ) -> DataFrame:
     """Events with a JSON payload, split chronologically.
 
     ``elements`` adds ``{name: (array column, index)}``; columns in ``drop`` go if present, before
-    payload keys of the same name arrive. Events without ``target`` are left out; events
-    without a readable time come last.
+    payload keys of the same name arrive, and columns in ``filling`` stand in for missing keys. Events
+    without ``target`` are left out; events without a readable time come last. Order: ``_at`` and
+    ``tiebreak``.
     """
-    flat = flatten_payload(raw, payload, payload_schema, replacing=drop)
+    flat = flatten_payload(raw, payload, payload_schema, replacing=drop, filling=filling)
     flat = clear_null_tokens(flat)
     for name, (array, index) in (elements or {}).items():
         flat = flat.withColumn(name, element_or(col(array), index))
@@ -56,18 +58,19 @@ def payload_events(
     flat = drop_missing(flat, [target])
     helpers = [c for c in ["_at", *tiebreak] if c not in columns]
     flat = keep(flat, [*columns, *helpers])
-    return drop_if_present(split_contiguous(flat, ["_at", *tiebreak]), helpers)
+    return drop_if_present(split_contiguous(flat, ["_at", *tiebreak]), [] if keep_order else helpers)
 
 
 def shuffled_table(
     raw: DataFrame, key: str, drop: list[str] | None = None, numeric: list[str] | None = None,
     required: list[str] | None = None, complete: bool = False, suffix: str = "", seed: int = 42,
+    keep_order: bool = False,
 ) -> DataFrame:
     """A static table in a seeded random order.
 
     ``numeric`` texts are parsed (others become NULL), rows without the ``required`` columns, or
     with ``complete`` any incomplete row, are left out, and ``suffix`` is put on all names. ``key``
-    identifies rows; list it in ``drop`` to keep it out of the result.
+    identifies rows; list it in ``drop`` to keep it out of the result. Order: ``_shuffle`` and ``key``.
     """
     table = drop_if_present(nan_to_null(raw), [c for c in drop or [] if c != key])
     numbers = {c: parse_number(col(c)) for c in numeric or [] if _is_text(table, c)}
@@ -76,20 +79,23 @@ def shuffled_table(
     table = drop_missing(table, checked if complete else required) if complete or required else table
     if suffix:
         table = suffix_names(table, suffix, skip=[key])
-    split = split_contiguous(with_shuffle_key(table, key, seed), ["_shuffle", key]).drop("_shuffle")
+    split = split_contiguous(with_shuffle_key(table, key, seed), ["_shuffle", key])
+    if keep_order:
+        return split
     if key in (drop or []):
-        return split.drop(key)
-    return split.withColumnRenamed(key, key.strip() + suffix) if suffix else split
+        return split.drop("_shuffle", key)
+    return split.drop("_shuffle").withColumnRenamed(key, key.strip() + suffix if suffix else key)
 
 
 def purged_series(
     raw: DataFrame, time: str, value: str, columns: list[str], steps: int = 5, gap: int = 120,
-    tiebreak: list[str] | None = None, target: str = "future_return", keep_time: bool = False,
+    tiebreak: list[str] | None = None, target: str = "future_return", keep_time: bool = False, keep_order: bool = False,
 ) -> DataFrame:
     """One long series with the relative change of ``value`` over the next ``steps`` rows as target.
 
     Split chronologically with ``gap`` rows left out between the splits (their ``split`` is NULL).
     ``time`` and ``value`` are dropped at the end; ``keep_time`` keeps the time, to the minute.
+    Order: ``_at`` and ``tiebreak``.
     """
     tiebreak = tiebreak or []
     at = parse_timestamp_strict(col(time)) if _is_text(raw, time) else col(time).cast("timestamp_ntz")
@@ -100,29 +106,33 @@ def purged_series(
     output = [*columns, col(target), "split"]
     if keep_time:
         output = [format_minute(F.col("_at")).alias(time), *output]
+    if keep_order:
+        output += [c for c in ["_at", *tiebreak] if c not in columns]
     return split.select(*output)
 
 
 def distinct_texts(
     raw: DataFrame, keys: list[str], order: list[str], drop: list[str] | None = None, seed: int = 42,
+    keep_order: bool = False,
 ) -> DataFrame:
     """A text table with first-wins duplicates removed on each of ``keys`` in turn, line breaks
-    replaced, in a seeded random order. ``order`` is the source order and must be unique."""
+    replaced, in a seeded random order. ``order`` is the source order. Order: ``_shuffle`` and ``order``."""
     survivors = keep_first_chain(raw, keys, order)
     dropped = [c for c in drop or [] if c not in order]
     table = pin(join_text_lines(drop_required(survivors, dropped)), "survivors")
     mixed = F.concat_ws("|", *[F.coalesce(col(c).cast("string"), F.lit("")) for c in order])
     table = with_shuffle_key(table.withColumn("_key", mixed), "_key", seed)
     split = split_contiguous(table, ["_shuffle", *order])
-    return split.drop("_shuffle", "_key", *[c for c in drop or [] if c in order])
+    return split.drop("_key") if keep_order else split.drop("_shuffle", "_key", *[c for c in drop or [] if c in order])
 
 
 def flat_orders(
     orders: DataFrame, items: DataFrame, products: DataFrame, reviews: DataFrame, order_key: str, product_key: str,
     time: str, target: str, columns: list[str], tiebreak: list[str], copies: dict[str, str] | None = None,
+    keep_order: bool = False,
 ) -> DataFrame:
     """Orders with their items, the product of each item and every review of the order, in one
-    table that is split chronologically. ``tiebreak`` must tell apart rows of the same time.
+    table that is split chronologically. Order: ``time`` and ``tiebreak``.
 
     The joined table is written once; cut points are then found on its order columns alone.
     """
@@ -135,4 +145,4 @@ def flat_orders(
     flat = flat.withColumn(time, at)
     helpers = [c for c in tiebreak if c not in columns]
     flat = pin(drop_missing(keep(flat, [*columns, *helpers]), [target]), "flat")
-    return split_contiguous(flat, [time, *tiebreak]).drop(*helpers)
+    return split_contiguous(flat, [time, *tiebreak]).drop(*([] if keep_order else helpers))

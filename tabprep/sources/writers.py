@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabprep.meta import TableMeta
 from tabprep.operators.columns import keep
 from tabprep.operators.layouts import apply_layout
-from tabprep.operators.ordering import sort_keys
+from tabprep.operators.ordering import chronological
 from tabprep.operators.splits import only
 
 
@@ -22,7 +22,7 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
 
     ``order`` sorts the rows across the part files.
     """
-    rows = df.orderBy(*sort_keys(order)) if order else df
+    rows = chronological(df, order) if order else df
     flat = rows.select(*[F.date_format(f.name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(f.name)
                          if f.dataType.typeName().startswith("timestamp") else F.col(f"`{f.name}`")
                          for f in rows.schema])

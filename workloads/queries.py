@@ -375,7 +375,7 @@ def layout_manifest(spark, sf_dir):
 @query
 def serialize_rows(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
-    return customer.select("c_custkey", prompts.json_line(customer, customer.columns).alias("line"))
+    return prompts.with_json_line(customer, customer.columns, "line", ["c_custkey"])
 
 
 @query
