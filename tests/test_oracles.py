@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as driver
 from workloads.check import connect, differences
 
-SF_DIR = f"/root/testdata/{os.environ.get('TEST_SF', 'sf0.001')}"
+SF_DIR = f"/root/testdata/{os.environ.get('TEST_SF', 'sf0.01')}"
 
 
 @pytest.fixture(scope="module")
