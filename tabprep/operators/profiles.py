@@ -13,6 +13,7 @@ from tabprep.functions.numbers import FLOATING, INTEGRAL
 from tabprep.operators.columns import quoted, sql_text
 
 NUMERIC, STRING, TIME = "numeric", "string", "time"
+_MERGERS = 1_024
 _TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -57,14 +58,14 @@ def _comparable(df: DataFrame, name: str) -> tuple[str, str]:
     return "string", f"CAST({value} AS string)"
 
 
-def estimate_sql(df: DataFrame, name: str, size: int) -> str:
-    """SQL aggregate: distinct values from a sketch of ``2**size`` buckets; NULL for times."""
+def sketch_sql(df: DataFrame, name: str, size: int) -> str:
+    """SQL aggregate: a sketch of ``2**size`` buckets of the distinct values; NULL for times."""
     carrier, value = _comparable(df, name)
     if family(df.schema[name].dataType) == TIME:
-        return "CAST(NULL AS bigint)"
+        return "CAST(NULL AS binary)"
     if carrier == "double":
         value = f"if({value} IS NULL, NULL, xxhash64({value}))"
-    return f"hll_sketch_estimate(hll_sketch_agg({value}, {size}))"
+    return f"hll_sketch_agg({value}, {size})"
 
 
 def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
@@ -84,21 +85,27 @@ def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
     return reduce(DataFrame.unionAll, counts)
 
 
-def summarise(df: DataFrame, estimates: int | None = None) -> DataFrame:
-    """One row per column from one aggregation: ``position, column, family, n_rows, n_filled, all_whole``.
+def summarise(df: DataFrame, sketch_size: int | None = None) -> DataFrame:
+    """One row per column from one scan: ``position, column, family, n_rows, n_filled, all_whole``.
 
-    ``estimates`` adds ``estimate``, the distinct values from sketches of that size.
+    ``sketch_size`` adds ``estimate``, the distinct values from sketches of that size. Tasks' results
+    are merged in up to ``_MERGERS`` groups before the last merge, which keeps that one small.
     """
-    aggregates, cells = ["count(*) AS n"], []
+    partial, merged, cells = ["count(*) AS n"], ["sum(n) AS n"], []
     for i, name in enumerate(df.columns):
-        aggregates += [f"count({_filled(df, name)}) AS f{i}", f"{_whole_test(df, name)} AS w{i}"]
+        partial += [f"count({_filled(df, name)}) AS f{i}", f"{_whole_test(df, name)} AS w{i}"]
+        merged += [f"sum(f{i}) AS f{i}", f"bool_and(w{i}) AS w{i}"]
         cell = [str(i), sql_text(name), sql_text(family(df.schema[name].dataType)), "n", f"f{i}", f"w{i}"]
-        if estimates:
-            aggregates.append(f"{estimate_sql(df, name, estimates)} AS e{i}")
+        if sketch_size:
+            sketch = sketch_sql(df, name, sketch_size)
+            partial.append(f"{sketch} AS e{i}")
+            union = "NULL" if sketch.startswith("CAST(NULL") else f"hll_sketch_estimate(hll_union_agg(e{i}))"
+            merged.append(f"CAST({union} AS bigint) AS e{i}")
             cell.append(f"e{i}")
         cells.append(", ".join(cell))
-    fields = "position, column, family, n_rows, n_filled, all_whole" + (", estimate" if estimates else "")
-    row = df.agg(*[F.expr(sql) for sql in aggregates])
+    fields = "position, column, family, n_rows, n_filled, all_whole" + (", estimate" if sketch_size else "")
+    groups = df.groupBy((F.spark_partition_id() % _MERGERS).alias("_merger")).agg(*[F.expr(sql) for sql in partial])
+    row = groups.agg(*[F.expr(sql) for sql in merged]).na.fill(0)
     return row.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS ({fields})")
 
 

@@ -1,14 +1,16 @@
 """The rows at given positions of a total order, found without sorting the table.
 
-For each wanted position the search narrows a range of the first order column with
-``percentile_approx`` and exact counts until few rows are left (or one value is, in which case
-the next column takes over); only that bounded remainder is sorted. Every pass is a scan of the
-order columns with map-side aggregation: rows are never shuffled, and hot values need no
-special treatment because they are only counted.
+For each wanted position the search narrows a range of the first order column until few rows are
+left (or one value is, in which case the next column takes over); only that bounded remainder is
+sorted. ``percentile_approx`` over a sample proposes the ends of the next range and a count of all
+rows on either side decides, so the result is exact whatever the sample holds. Every pass is a scan
+of the order columns with map-side aggregation: rows are never shuffled, what tasks send to
+the final merge is bounded, and hot values need no special treatment because they are only counted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Generator
 from functools import reduce
 
@@ -24,6 +26,7 @@ _CHUNK = 6  # bytes of a text compared at a time: with their number, 51 bits, wh
 _CHUNK_END = 1 << 8 * _CHUNK + 3
 _EXACT = 1 << 53  # integers up to here survive the double arithmetic of percentile_approx
 _STEP_BITS = 11
+_SAMPLE = 1_000_000  # rows that propose a range: their sketches are merged in one task
 
 _ORDERED = (*INTEGRAL, *FLOATING, T.DateType, T.TimestampNTZType, T.StringType)
 
@@ -66,7 +69,7 @@ def _answer_together(keys: DataFrame, waiting: dict[int, Request]) -> dict[int,
         slots[position] = slice(len(columns), len(columns) + len(measures))
         columns += [measure.alias(f"m{len(columns) + i}") for i, measure in enumerate(measures)]
     wanted = reduce(lambda a, b: a | b, [where for where, _ in waiting.values()])
-    row = keys.where(wanted).agg(*columns).first()
+    row = keys.where(wanted).withColumn("_chance", F.rand()).agg(*columns).first()
     return {position: list(row[slot]) for position, slot in slots.items()}
 
 
@@ -120,10 +123,16 @@ def _narrow(
             measured = value - F.lit(low)
         else:
             measured, spread = F.shiftright(value.cast("bigint"), _STEP_BITS), (1 << _STEP_BITS) - 1
-        slack = 2.0 / accuracy
+        sampled, slack = where, 2.0 / accuracy
+        if rows > _SAMPLE:
+            sampled = where & (F.col("_chance") < _SAMPLE / rows)
+            slack += 2.5 / math.sqrt(_SAMPLE)  # five standard deviations of a sampled share
         share = (rank + 0.5) / rows
         shares = [max(0.0, share - slack), min(1.0, share + slack)]
-        ((first, last),) = yield where, [F.percentile_approx(F.when(where, measured), shares, accuracy)]
+        (proposed,) = yield where, [F.percentile_approx(F.when(sampled, measured), shares, accuracy)]
+        if proposed is None:
+            continue
+        first, last = proposed
         if spread:
             first, last = first << _STEP_BITS, last << _STEP_BITS
         elif integral:

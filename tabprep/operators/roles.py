@@ -24,9 +24,9 @@ from tabprep.operators.columns import col, quoted, sql_text
 from tabprep.operators.profiles import NUMERIC, STRING, TIME, distinct_counts, profile, summarise
 from tabprep.operators.rows import text_columns
 
-# A sketch of this size has a standard error below 1%; estimates within a factor of two of the limit
-# are settled by an exact count, so a wrong role would take an error of fifty standard deviations.
-_SKETCH_SIZE, _DOUBT = 14, 2.0
+# A sketch of this size has a standard error of 1.6%; estimates within a factor of two of the limit
+# are settled by an exact count, so a wrong role would take an error of thirty standard deviations.
+_SKETCH_SIZE, _DOUBT = 12, 2.0
 
 
 def sniff_dates(df: DataFrame, order: list[str], values: int = SNIFFED_VALUES) -> DataFrame:

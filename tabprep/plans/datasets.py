@@ -17,7 +17,6 @@ from tabprep.operators.splits import contiguous_zones, find_cuts, only
 from tabprep.plans import recipes
 from tabprep.sources.readers import INDEX_COLUMN, read_csv, read_json_lines
 from tabprep.sources.structural import ROWS, structural_ids, structural_table
-from tabprep.workspace import pin
 
 # The columns the tables consist of, need and drop.
 ATTACK_LOG_COLUMNS = ["pattern", "source_ip", "source_port", "request_raw", "request_url", "attackerPort", "victimPort", "md5"]
@@ -148,9 +147,8 @@ def prepare_table(table: DataFrame, order: list[str], target: str, task: str, na
     """Learn roles from the train rows of a labelled table and coerce all rows to them.
 
     ``order`` is the row order for date sniffing; those of its columns that start with ``_`` are
-    dropped. The table is written once, as learning and every later use read it again.
+    dropped. ``table`` is read again for learning and for every later use: pin one that is dear to make.
     """
-    table = pin(table, "labelled")
     helpers = [c for c in order if c.startswith("_")]
     meta = learn_meta(only(table, "train"), order, ignore=helpers, target=target, task=task, name=name)
     return Prepared(_table_first(coerce(table.drop(*helpers), meta)), meta)

@@ -23,7 +23,7 @@ from tabprep.operators.columns import (
     keep,
     suffix_names,
 )
-from tabprep.operators.joins import equi_join, hot_keys
+from tabprep.operators.joins import deal_out, equi_join, hot_keys
 from tabprep.operators.ordering import with_shuffle_key
 from tabprep.operators.payloads import flatten_payload
 from tabprep.operators.rows import drop_missing, keep_first_chain, nan_to_null
@@ -134,12 +134,19 @@ def flat_orders(
     """Orders with their items, the product of each item and every review of the order, in one
     table that is split chronologically. Order: ``time`` and ``tiebreak``.
 
-    The joined table is written once; cut points are then found on its order columns alone.
+    Products come first, so that orders and reviews, which share a key, meet items in one shuffle of
+    them. The joined table is written once; cut points are then found on its order columns alone.
     """
-    hot_orders = hot_keys(items, order_key)
-    sold = equi_join(items, orders, order_key, "inner", null_safe=True, hot=hot_orders)
-    described = equi_join(sold, products, product_key, "left", null_safe=True, hot=hot_keys(items, product_key))
-    flat = equi_join(described, reviews, order_key, "left", null_safe=True, hot=hot_orders)
+    used = {*columns, *tiebreak, time, target, order_key, product_key, *(copies or {}).values()}
+    orders, items, products, reviews = (
+        table.select(*[col(c) for c in table.columns if c in used]) for table in (orders, items, products, reviews)
+    )
+    hot_products, hot_orders = hot_keys(items, product_key), hot_keys(items, order_key)
+    described = equi_join(items, products, product_key, "left", null_safe=True, hot=hot_products)
+    if hot_orders:
+        described = deal_out(described, order_key, hot_orders)
+    sold = equi_join(described, orders, order_key, "inner", null_safe=True, hot=hot_orders)
+    flat = equi_join(sold, reviews, order_key, "left", null_safe=True, hot=hot_orders)
     flat = copy_columns(flat, copies or {})
     at = parse_timestamp_strict(col(time)) if _is_text(flat, time) else col(time).cast("timestamp_ntz")
     flat = flat.withColumn(time, at)

@@ -51,6 +51,16 @@ def test_rows_at_matches_a_sorted_list(spark, kind):
     assert {p: found[p]["id"] for p in wanted} == {p: ordered[p]["id"] for p in wanted}
 
 
+@pytest.mark.parametrize("sample", [1, 40])
+def test_rows_at_is_exact_whatever_the_sample(spark, monkeypatch, sample):
+    monkeypatch.setattr("tabprep.operators.ranks._SAMPLE", sample)
+    rng = random.Random(6)
+    rows = [(rng.choice([5, 5, 5, rng.randrange(1_000)]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "v bigint, id bigint").repartition(4)
+    found = rows_at(df, ["v", "id"], [3, 450, 880], 900, sort_limit=60)
+    assert {p: (k["v"], k["id"]) for p, k in found.items()} == {p: sorted(rows)[p] for p in (3, 450, 880)}
+
+
 def test_rows_at_rejects_what_it_cannot_order(spark):
     ids = spark.range(50)
     with pytest.raises(ValueError):

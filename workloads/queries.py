@@ -15,7 +15,7 @@ from tabprep.plans import recipes
 from tabprep.sources.readers import read_split
 from tabprep.sources.structural import structural_table
 from tabprep.sources.writers import write_splits
-from tabprep.workspace import new_path, pin
+from tabprep.workspace import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -503,7 +503,7 @@ def recipe_flat_orders(spark, sf_dir):
 @query
 def flagship(spark, sf_dir):
     """Flatten, split, learn roles from train, coerce every split, lay out."""
-    flat = pin(_flat_orders(spark, sf_dir, ["o_orderkey", "review_id", "l_partkey", "l_linenumber", *_FLAT_COLUMNS]), "flat")
+    flat = _flat_orders(spark, sf_dir, ["o_orderkey", "review_id", "l_partkey", "l_linenumber", *_FLAT_COLUMNS])
     keys = ["o_orderkey", "review_id", "l_linenumber"]
     order = ["o_orderdate", "o_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "review_id"]
     meta = roles.learn_meta(splits.only(flat, "train"), order, ignore=keys, target="freight", task="regression")
