@@ -6,6 +6,8 @@ order stay as well. Orders must be unique within the rows that remain.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +25,11 @@ from tabprep.operators.columns import (
     keep,
     suffix_names,
 )
+from tabprep.operators.completions import parse_completions
 from tabprep.operators.joins import deal_out, equi_join, hot_keys
 from tabprep.operators.ordering import with_shuffle_key
 from tabprep.operators.payloads import flatten_payload
+from tabprep.operators.prompts import few_shot_prompts
 from tabprep.operators.rows import drop_missing, keep_first_chain, nan_to_null
 from tabprep.operators.series import with_future_change
 from tabprep.operators.splits import split_contiguous, split_purged
@@ -153,3 +157,17 @@ def flat_orders(
     helpers = [c for c in tiebreak if c not in columns]
     flat = pin(drop_missing(keep(flat, [*columns, *helpers]), [target]), "flat")
     return split_contiguous(flat, [time, *tiebreak]).drop(*([] if keep_order else helpers))
+
+
+def synthetic_rows(
+    train: DataFrame, order: list[str], columns: list[str], prompts: DataFrame,
+    completions: Callable[[DataFrame], DataFrame], shots: int = 5, seed: int = 42, key: str = "prompt_id",
+) -> DataFrame:
+    """``key`` and one text column per name in ``columns``: a row read from each prompt's completion.
+
+    ``completions`` turns the prompt table (``key, prompt``) into ``key, generated_text``: a join with
+    stored completions, or ``operators.completions.complete`` with a batch function. Completions
+    that hold no readable row stay as rows of NULLs.
+    """
+    asked = few_shot_prompts(train, order, columns, prompts, shots, seed, key)
+    return parse_completions(completions(asked), "generated_text", columns, carry=[key])

@@ -151,6 +151,9 @@ def test_attack_log(spark, tmp_path):
     found = datasets.load(spark, "attack_log", path=str(path))
     assert found.columns == [*datasets.ATTACK_LOG_COLUMNS, "split"]
     _same(found, frame.astype({"attackerPort": str}))
+    prepared = datasets.prepare(spark, "attack_log", path=str(path))
+    assert prepared.meta.columns == tuple(datasets.ATTACK_LOG_COLUMNS)
+    assert prepared.meta.role("md5") is None and prepared.meta.role("pattern") == "categorical"
 
 
 def test_shop_orders(spark, tmp_path):
@@ -180,6 +183,15 @@ def test_shop_orders(spark, tmp_path):
     flat = flat.sort_values(["order_purchase_timestamp", "order_id", "order_item_id", "review_id"])
     assert found.columns == [*datasets.SHOP_ORDER_COLUMNS, "split"]
     _same(found, _split_frame(flat[datasets.SHOP_ORDER_COLUMNS]))
+    prepared = datasets.prepare(spark, "shop_orders", **paths)
+    assert prepared.meta.columns == tuple(datasets.SHOP_ORDER_COLUMNS)
+    assert prepared.meta.role("order_purchase_timestamp") == "datetime"
+    assert prepared.meta.role("order_delivered_customer_date") == "datetime"
+    assert prepared.meta.role("price") == "continuous" and prepared.meta.role("review_score") == "categorical"
+    train = prepared.data("train", layouts.EPOCH)
+    assert train.count() == int(0.75 * len(flat))
+    assert dict(train.dtypes)["order_delivered_customer_date"] == "double"
+    assert train.where("review_score is null or price is null").count() == 0
 
 
 def test_order_book(spark, tmp_path):

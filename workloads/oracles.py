@@ -137,8 +137,8 @@ CUSTOMER_LINE = """'{"c_custkey": "' || c_custkey || '", "c_name": "' || c_name
     || '", "c_acctbal": "' || c_acctbal::VARCHAR || '", "c_mktsegment": "' || c_mktsegment || '"}'"""
 
 
-def few_shot() -> str:
-    """The subset draw, one step after the other."""
+def few_shot_draws() -> str:
+    """Common table expressions up to ``shots``: the subset draw, one step after the other."""
     steps = "base AS (SELECT s_suppkey AS prompt_id, (SELECT count(*) FROM customer) AS n FROM supplier)"
     previous, drawn = "base", []
     for i in range(1, 6):
@@ -148,13 +148,23 @@ def few_shot() -> str:
         steps += f", s{i} AS (SELECT *, CASE WHEN {seen} THEN {top} - 1 ELSE {pick} END AS d{i} FROM {previous})"
         previous, drawn = f"s{i}", [*drawn, f"d{i}"]
     shots = " UNION ALL ".join(f"SELECT prompt_id, {i} AS shot, d{i} AS r FROM s5" for i in range(1, 6))
-    header, trailer = FEW_SHOT_HEADER.replace("'", "''"), FEW_SHOT_TRAILER
-    return f"""WITH {steps}, shots AS ({shots}), lines AS (
+    return f"WITH {steps}, shots AS ({shots})"
+
+
+def few_shot() -> str:
+    header = FEW_SHOT_HEADER.replace("'", "''")
+    return f"""{few_shot_draws()}, lines AS (
         SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS r, {CUSTOMER_LINE} AS line FROM customer)
-        SELECT prompt_id, '{header}' || string_agg(line, chr(10) ORDER BY shot) || '{trailer}' AS prompt
+        SELECT prompt_id, '{header}' || string_agg(line, chr(10) ORDER BY shot) || '{FEW_SHOT_TRAILER}' AS prompt
         FROM shots JOIN lines USING (r) GROUP BY prompt_id"""
 
 
+def last_examples() -> str:
+    return f"""{few_shot_draws()}, numbered AS (
+        SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS r FROM customer)
+        SELECT prompt_id, c_name, c_acctbal::VARCHAR AS c_acctbal FROM shots JOIN numbered USING (r) WHERE shot = 5"""
+
+
 def manifest() -> str:
     roles = role_rows("lineitem")
     order = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(PROFILED["lineitem"][1]))
@@ -320,6 +330,7 @@ def all_oracles() -> dict[str, str]:
                 c_mktsegment AS c_mktsegment_, {shuffle_number(42, 'c_custkey')} AS k FROM customer
                 WHERE c_custkey % 4 <> 0)""",
             "k, c_custkey_", "c_custkey_, c_nationkey_, c_acctbal_, c_mktsegment_"),
+        "recipe_few_shot": last_examples(),
         "recipe_purged_series": split(
             f"""(SELECT event_id, event_type, ts, (later - value) / value AS future_return FROM
                 (SELECT *, {later.format('ORDER BY ts, event_id')} AS later FROM events)

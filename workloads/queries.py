@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabprep.functions import dates, numbers, text
 from tabprep.operators import columns, layouts, ordering, payloads, profiles, prompts, roles, rows, series, splits
-from tabprep.operators.completions import parse_completions
+from tabprep.operators.completions import complete, parse_completions
 from tabprep.operators.joins import equi_join, hot_keys
 from tabprep.plans import recipes
 from tabprep.sources.readers import read_split
@@ -461,6 +461,22 @@ def recipe_complete(spark, sf_dir):
     return recipes.shuffled_table(raw, "c_custkey", drop=["c_name", "not_there"], complete=True, suffix="_", seed=42)
 
 
+def _repeat_last_example(batches):
+    """A stand-in for a model: completes each prompt with its last example."""
+    for batch in batches:
+        last = batch["prompt"].str.split("\n").str[-4]
+        yield batch[["prompt_id"]].assign(generated_text=" " + last.str[1:] + " {}")
+
+
+@query
+def recipe_few_shot(spark, sf_dir):
+    """From train rows to prompts, completions and parsed rows; one prompt per supplier."""
+    customer = table(spark, sf_dir, "customer")
+    ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("prompt_id"))
+    return recipes.synthetic_rows(customer, ["c_custkey"], ["c_name", "c_acctbal"], ids,
+                                  lambda asked: complete(asked, _repeat_last_example))
+
+
 @query
 def recipe_purged_series(spark, sf_dir):
     events = table(spark, sf_dir, "events")
