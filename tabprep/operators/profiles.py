@@ -59,12 +59,15 @@ def _comparable(df: DataFrame, name: str) -> tuple[str, str]:
 
 
 def sketch_sql(df: DataFrame, name: str, size: int) -> str:
-    """SQL aggregate: a sketch of ``2**size`` buckets of the distinct values; NULL for times."""
+    """SQL aggregate: a sketch of ``2**size`` buckets of the distinct values; NULL for times.
+
+    Of floating columns only whole values are counted: with any other value a column is continuous anyway.
+    """
     carrier, value = _comparable(df, name)
     if family(df.schema[name].dataType) == TIME:
         return "CAST(NULL AS binary)"
     if carrier == "double":
-        value = f"if({value} IS NULL, NULL, xxhash64({value}))"
+        value = f"if({value} % 1 = 0, xxhash64({value}), NULL)"
     return f"hll_sketch_agg({value}, {size})"
 
 

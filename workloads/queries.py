@@ -461,20 +461,22 @@ def recipe_complete(spark, sf_dir):
     return recipes.shuffled_table(raw, "c_custkey", drop=["c_name", "not_there"], complete=True, suffix="_", seed=42)
 
 
-def _repeat_last_example(batches):
-    """A stand-in for a model: completes each prompt with its last example."""
-    for batch in batches:
-        last = batch["prompt"].str.split("\n").str[-4]
-        yield batch[["prompt_id"]].assign(generated_text=" " + last.str[1:] + " {}")
-
-
 @query
 def recipe_few_shot(spark, sf_dir):
-    """From train rows to prompts, completions and parsed rows; one prompt per supplier."""
+    """From train rows to prompts, completions and parsed rows; one prompt per supplier.
+
+    Each prompt is completed with its own last example.
+    """
+
+    def repeat_last_example(batches):
+        for batch in batches:
+            last = batch["prompt"].str.split("\n").str[-4]
+            yield batch[["prompt_id"]].assign(generated_text=" " + last.str[1:] + " {}")
+
     customer = table(spark, sf_dir, "customer")
     ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("prompt_id"))
     return recipes.synthetic_rows(customer, ["c_custkey"], ["c_name", "c_acctbal"], ids,
-                                  lambda asked: complete(asked, _repeat_last_example))
+                                  lambda asked: complete(asked, repeat_last_example))
 
 
 @query
