@@ -39,15 +39,19 @@ def with_shuffle_key(df: DataFrame, key: str, seed: int = 42, name: str = "_shuf
     return df.withColumn(name, shuffle_number(seed, col(key)))
 
 
-def with_source_order(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Pin a file-based table with columns that record the order of its rows in the files."""
+def with_source_order(df: DataFrame, stage: bool = True) -> tuple[DataFrame, list[str]]:
+    """A file-based table with columns that record the order of its rows in the files.
+
+    The table is pinned, since the columns are numbers of one reading. Without ``stage`` that is left to
+    the caller, who must not read the result twice before.
+    """
     tagged = df.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
     )
-    return pin(tagged, "source"), ["_file", "_block", "_line"]
+    return pin(tagged, "source") if stage else tagged, ["_file", "_block", "_line"]
 
 
 def with_row_number(df: DataFrame, order: list[str], name: str = "_row") -> DataFrame:

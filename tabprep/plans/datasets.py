@@ -17,6 +17,7 @@ from tabprep.operators.splits import contiguous_zones, find_cuts, only
 from tabprep.plans import recipes
 from tabprep.sources.readers import INDEX_COLUMN, read_csv, read_json_lines
 from tabprep.sources.structural import ROWS, structural_ids, structural_table
+from tabprep.workspace import pin
 
 # The columns the tables consist of, need and drop.
 ATTACK_LOG_COLUMNS = ["pattern", "source_ip", "source_port", "request_raw", "request_url", "attackerPort", "victimPort", "md5"]
@@ -44,7 +45,7 @@ def _attack_log(spark: SparkSession, path: str) -> Ordered:
     in_payload = [c for c in ATTACK_LOG_COLUMNS if c not in ("source_ip", "source_port")]
     plain = [c for c in ATTACK_LOG_DROPPED if c != "source"] + in_payload
     schema = ", ".join(f"{c} string" for c in plain) + ", source array<string>"
-    raw, order = with_source_order(read_json_lines(spark, path, schema))
+    raw, order = with_source_order(read_json_lines(spark, path, schema), stage=False)
     # A time given as an object with one text field is read from that field.
     inner = F.get(F.map_values(F.from_json("time", "map<string, string>")), 0)
     raw = raw.withColumn("time", F.when(F.col("time").startswith("{"), inner).otherwise(F.col("time")))
@@ -57,7 +58,7 @@ def _attack_log(spark: SparkSession, path: str) -> Ordered:
 
 
 def _health_records(spark: SparkSession, path: str) -> Ordered:
-    raw = read_csv(spark, path)
+    raw = pin(read_csv(spark, path), "records")
     table = recipes.shuffled_table(raw, "id", drop=["id"], numeric=["bmi"], required=["stroke"], keep_order=True)
     return table, ["_shuffle", "id"]
 
@@ -83,7 +84,7 @@ def _artworks(spark: SparkSession, path: str) -> Ordered:
 
 
 def _shop_orders(spark: SparkSession, orders: str, items: str, products: str, reviews: str) -> Ordered:
-    tables = [read_csv(spark, path) for path in (orders, items, products, reviews)]
+    tables = [pin(read_csv(spark, path), "shop") for path in (orders, items, products, reviews)]
     tiebreak = ["order_id", "order_item_id", "review_id"]
     table = recipes.flat_orders(
         *tables, "order_id", "product_id", "order_purchase_timestamp", "freight_value", SHOP_ORDER_COLUMNS, tiebreak,

@@ -49,8 +49,8 @@ def payload_events(
 
     ``elements`` adds ``{name: (array column, index)}``; columns in ``drop`` go if present, before
     payload keys of the same name arrive, and columns in ``filling`` stand in for missing keys. Events
-    without ``target`` are left out; events without a readable time come last. Order: ``_at`` and
-    ``tiebreak``.
+    without ``target`` are left out; events without a readable time come last. The flat table is written
+    once, so that payloads are parsed once. Order: ``_at`` and ``tiebreak``.
     """
     flat = flatten_payload(raw, payload, payload_schema, replacing=drop, filling=filling)
     flat = clear_null_tokens(flat)
@@ -61,7 +61,7 @@ def payload_events(
     flat = drop_if_present(flat, [c for c in drop or [] if c not in [*columns, *tiebreak]])
     flat = drop_missing(flat, [target])
     helpers = [c for c in ["_at", *tiebreak] if c not in columns]
-    flat = keep(flat, [*columns, *helpers])
+    flat = pin(keep(flat, [*columns, *helpers]), "events")
     return drop_if_present(split_contiguous(flat, ["_at", *tiebreak]), [] if keep_order else helpers)
 
 

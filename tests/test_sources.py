@@ -126,7 +126,7 @@ def test_structural_table(spark):
     assert (clear["target_class"] == 1).all()
 
 
-# --- the reference tables ------------------------------------------------------------------------
+# --- the benchmark tables ------------------------------------------------------------------------
 
 
 def test_attack_log(spark, tmp_path):

@@ -216,7 +216,7 @@ def rename_strip_suffix(spark, sf_dir):
 def join_inner(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     orders = table(spark, sf_dir, "orders")
-    joined = equi_join(orders, items, "o_orderkey", hot=hot_keys(items, "o_orderkey"))
+    joined = equi_join(orders, items, "o_orderkey", hot=hot_keys(items, "o_orderkey", smallest=0))
     return joined.select("o_orderkey", "o_orderstatus", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
@@ -225,7 +225,7 @@ def join_left_dim(spark, sf_dir):
     """A dimension join with the hottest keys dealt out over several groups."""
     items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
     part = table(spark, sf_dir, "part").where("p_size > 10")
-    hot = hot_keys(items, "p_partkey", share=0.0005)
+    hot = hot_keys(items, "p_partkey", share=0.0007, smallest=0)
     joined = equi_join(items, part, "p_partkey", "left", hot=hot, copies=8)
     return joined.select("l_orderkey", "l_linenumber", "p_partkey", "l_suppkey", "p_name", "p_retailprice")
 
