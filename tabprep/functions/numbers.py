@@ -41,14 +41,15 @@ def double_text(value: Column) -> Column:
 
     Plain digits from 1e-4 up to 1e16, otherwise a lower-case exponent of at least two digits.
     """
-    size = F.abs(value)
+    size, printed = F.abs(value), value.cast("string")
+    short = (size >= 1e-3) & (size < 1e7) & (F.length(printed) < 17)
     return (
         F.when(F.isnan(value), "nan")
         .when(value == float("inf"), "inf")
         .when(value == float("-inf"), "-inf")
         .when((value % 1 == 0) & (size > 0) & (size < 1e16), value.cast("decimal(20,1)").cast("string"))
+        .when(short | (value == 0), printed)
         .when((size >= 1e-4) & (size < 1e16), _named(_shortest(value), _plain))
-        .when(value == 0, value.cast("string"))
         .otherwise(_named(_shortest(value), _scientific))
     )
 

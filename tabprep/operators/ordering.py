@@ -19,13 +19,13 @@ from tabprep.workspace import pin
 _OFFSET_BITS = 33  # monotonically_increasing_id keeps the in-partition offset in its low 33 bits
 
 
-def order_column(df: DataFrame, name: str) -> Column:
-    """An order column in which NaN counts as missing."""
+def filled(df: DataFrame, name: str) -> Column:
+    """A column in which NaN counts as missing."""
     return missing_if_nan(col(name)) if isinstance(df.schema[name].dataType, FLOATING) else col(name)
 
 
 def sort_keys(df: DataFrame, order: list[str]) -> list[Column]:
-    return [order_column(df, name).asc_nulls_last() for name in order]
+    return [filled(df, name).asc_nulls_last() for name in order]
 
 
 def chronological(df: DataFrame, order: list[str]) -> DataFrame:
@@ -106,7 +106,7 @@ def reaches(df: DataFrame, order: list[str], key: dict) -> Column:
 
 
 def _compared(df: DataFrame, name: str, value) -> tuple[Column, Column | None]:
-    return order_column(df, name), None if value is None else typed_literal(value, df.schema[name].dataType)
+    return filled(df, name), None if value is None else typed_literal(value, df.schema[name].dataType)
 
 
 def typed_literal(value, kind: T.DataType) -> Column:

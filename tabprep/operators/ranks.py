@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tabprep.functions.numbers import FLOATING, INTEGRAL
 from tabprep.operators.columns import col, require_columns
-from tabprep.operators.ordering import order_column, sort_keys, typed_literal
+from tabprep.operators.ordering import filled, sort_keys, typed_literal
 
 _CHUNK = 6  # bytes of a text compared at a time: with their number, 51 bits, which a double holds exactly
 _CHUNK_END = 1 << 8 * _CHUNK + 3
@@ -41,7 +41,7 @@ def rows_at(
     At most ``sort_limit`` rows, of the order columns only, are ever sorted per position.
     """
     require_columns(df, order)
-    keys = df.select(*[order_column(df, name).alias(name) for name in order])
+    keys = df.select(*[filled(df, name).alias(name) for name in order])
     for field in keys.schema:
         if not isinstance(field.dataType, _ORDERED):
             raise TypeError(f"cannot order by {field.name}: cast {field.dataType.simpleString()} first")
@@ -120,7 +120,7 @@ def _narrow(
         if not integral:
             measured = value
         elif high - low < _EXACT:
-            measured = value - F.lit(low)
+            measured = value.cast("bigint") - F.lit(low)
         else:
             measured, spread = F.shiftright(value.cast("bigint"), _STEP_BITS), (1 << _STEP_BITS) - 1
         sampled, slack = where, 2.0 / accuracy

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from tabprep.functions.text import render
 from tabprep.meta import TableMeta
 from tabprep.operators.columns import keep
 from tabprep.operators.layouts import apply_layout
-from tabprep.operators.ordering import chronological
+from tabprep.operators.ordering import chronological, filled
 from tabprep.operators.splits import only
 
 
@@ -23,15 +23,13 @@ def write_splits(df: DataFrame, path: str, compact: bool = False) -> None:
 
 
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """CSV with a header; missing cells and empty texts are empty fields.
+    """CSV with a header and cells in Python's spelling; missing cells and empty texts are empty fields.
 
     ``order`` sorts the rows across the part files.
     """
     rows = chronological(df, order) if order else df
-    flat = rows.select(*[F.date_format(f.name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(f.name)
-                         if f.dataType.typeName().startswith("timestamp") else F.col(f"`{f.name}`")
-                         for f in rows.schema])
-    flat.write.mode("overwrite").options(header=True, emptyValue="", escape='"').csv(path)
+    texts = rows.select(*[render(filled(rows, f.name), f.dataType).alias(f.name) for f in rows.schema])
+    texts.write.mode("overwrite").options(header=True, emptyValue="", escape='"').csv(path)
 
 
 def write_layout(df: DataFrame, meta: TableMeta, layout: str, path: str, splits: list[str] | None = None) -> list[str]:

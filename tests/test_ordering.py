@@ -23,6 +23,8 @@ def _rank(row, names):
 def _values(kind, rng):
     if kind == "hot":
         return rng.choice([7, 7, 7, 7, 1, 9, None])
+    if kind == "ends":
+        return rng.choice([-(2**31), 2**31 - 1]) if rng.random() < 0.9 else rng.randrange(-9, 9)
     if kind == "far":
         return rng.choice([-(2**62), 2**62]) + rng.randrange(40)
     if kind == "wide":
@@ -36,7 +38,7 @@ def _values(kind, rng):
     return datetime.datetime(2020, 1, 1) + datetime.timedelta(microseconds=rng.randrange(10**9))
 
 
-TYPES = {"hot": "int", "far": "bigint", "wide": "bigint", "real": "double", "text": "string", "day": "date",
+TYPES = {"hot": "int", "ends": "int", "far": "bigint", "wide": "bigint", "real": "double", "text": "string", "day": "date",
          "moment": "timestamp_ntz"}
 
 

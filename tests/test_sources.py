@@ -87,7 +87,15 @@ def test_csv_layouts(spark, tmp_path):
     writers.write_csv(df.drop("split"), str(tmp_path / "plain.csv"), order=["n"])
     plain = _pandas_csv(tmp_path / "plain.csv")
     assert list(plain["n"]) == ["3", "4", "5"] and list(plain["t"])[0] == ""
-    assert pd.to_datetime(plain["t"][1]) == pd.Timestamp(2020, 1, 1)
+    assert plain["t"][1] == "2020-01-01 00:00:00"
+
+
+def test_csv_cells_match_pandas(spark, tmp_path):
+    frame = pd.DataFrame({"n": [1, 2, 3], "x": [1e7, 0.1, 1e-5], "y": [1e16, None, 2.5], "b": [True, False, True], "s": ["a,b", 'q"', "é"]})
+    frame.to_csv(tmp_path / "pandas.csv", index=False)
+    writers.write_csv(spark.createDataFrame(frame), str(tmp_path / "ours"), order=["n"])
+    theirs = pd.read_csv(tmp_path / "pandas.csv", dtype=str, keep_default_na=False)
+    assert _pandas_csv(tmp_path / "ours").values.tolist() == theirs.values.tolist()
 
 
 def test_splits_are_read_by_folder(spark, tmp_path):
