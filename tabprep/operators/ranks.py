@@ -87,11 +87,11 @@ def _search(
             break
         column, kind = col(name), keys.schema[name].dataType
         present = where & column.isNotNull()
-        filled, low, high = yield present, [_count(present), _lowest(present, column), _highest(present, column)]
-        if rank >= filled:  # nulls come last
-            where, rank, rows = where & column.isNull(), rank - filled, rows - filled
+        held, low, high = yield present, [_count(present), _lowest(present, column), _highest(present, column)]
+        if rank >= held:  # nulls come last
+            where, rank, rows = where & column.isNull(), rank - held, rows - held
             continue
-        where, rows = present, filled
+        where, rows = present, held
         if not isinstance(kind, T.StringType):
             where, rank, rows = yield from _narrow(column, kind, low, high, where, rank, rows, sort_limit, accuracy)
             continue
