@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tabprep.workspace import pin
 
@@ -85,6 +86,67 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+class Memory(dict):
+    """What a function gives for short frequent keys; the older half goes when both halves are full."""
+
+    def __init__(self, function, size: int):
+        self.function, self.size, self.old = function, size, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.function(key)
+        if len(key) <= 40:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+def rewrite_texts(docs: DataFrame, schema: StructType, change: Callable, *needed: str) -> DataFrame:
+    """The columns of ``schema`` of ``docs`` with new texts, batch by batch.
+
+    ``change`` takes lists of the ``needed`` columns and the texts, and gives lists of which rows stay and of new texts.
+    """
+    _find_package(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            kept, texts = change(*[batch.column(name).to_pylist() for name in (*needed, "text")])
+            place = batch.schema.get_field_index("text")
+            batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+            yield batch.select(schema.names).filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
+class HashArray:
+    """Sorted 64-bit hashes with an index of their leading bits: finds many keys at once."""
+
+    def __init__(self, keys: np.ndarray):
+        hashes = mix(keys)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        bits = max(int(4 * len(keys)).bit_length(), 1)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``hashes``, and whether the key is there."""
+        if not len(self.hashes):
+            return np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
+        wanted, last = mix(keys), len(self.hashes) - 1
+        place = np.minimum(self.first[wanted >> self.shift], last)
+        there = self.hashes[place]
+        behind = np.flatnonzero(there < wanted)
+        while len(behind):
+            behind = behind[place[behind] < last]
+            place[behind] += 1
+            behind = behind[self.hashes[place[behind]] < wanted[behind]]
+        return place, self.hashes[place] == wanted
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, divisor: int, held: int) -> DataFrame:
     """``doc_id, label, text`` of at most ``rows`` labelled training documents, chosen by the hash of the id.
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import blocks, map_batches
+from tabprep.llm.common import blocks, map_batches, rewrite_texts
 
 #: Bytes to themselves if they are part of words, A-Z to a-z, all others to a space.
 TABLE = bytes(
@@ -283,3 +283,38 @@ def remove_spans(text: str, spans: list[int]) -> str:
         at = places[end - 1][1]
     out.append(raw[at:])
     return b"".join(out).decode()
+
+
+def cut_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs``, all columns, without the words of occurrences of test windows; rows of which no word is left go.
+
+    Rows without a word before stay. No shuffle.
+    """
+    shares = [docs.sparkSession.sparkContext.broadcast(Phrases(block, window)) for block in phrase_blocks(benchmark)]
+
+    def change(texts):
+        new, kept = list(texts), [True] * len(texts)
+        for start, end in block_bounds(texts):
+            words = [words_of(text) for text in texts[start:end]]
+            for share in shares:
+                hits, starts, documents, _ = share.value.matches(words)
+                for d in set(documents.tolist()):
+                    spans = spans_of(hits[starts[d] : starts[d] + len(words[d])])
+                    new[start + d] = remove_spans(new[start + d], spans)
+                    words[d] = words_of(new[start + d])
+                    kept[start + d] = bool(words[d])
+        return kept, new
+
+    return rewrite_texts(docs, docs.schema, change)
+
+
+def block_bounds(texts: list[str | None], size: int = SHARD_CHARS) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about ``size`` characters."""
+    start = total = 0
+    for i, text in enumerate(texts):
+        total += len(text or "")
+        if total >= size:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

@@ -28,7 +28,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.array([xxhash.xxh3_64_intdigest(word) for word in words], np.uint64)
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
     size = min(width, len(words))
     out = np.zeros(len(words) - size + 1, np.uint64)
     for k in range(size):

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import SPACES, blocks, map_batches
+from tabprep.llm.common import SPACES, blocks, map_batches, rewrite_texts
 
 SPAN = 3
 #: A long line wraps where a sentence ends.
@@ -107,6 +107,30 @@ def cut(text: str, covered: list[dict]) -> tuple[str, int]:
     return (kept.strip(SPACES.decode()) if gone[0] or gone[-1] else kept), int(gone.sum())
 
 
+def with_cuts(docs: DataFrame, min_words: int) -> DataFrame:
+    """``docs`` with the column ``__covered``: the windows to remove, in one join by a hash of the row."""
+    cuts = repeated_windows(docs, min_words).select(
+        F.col("doc_id").alias("__cut_id"), F.col("row").alias("__cut_row"), F.col("covered").alias("__covered")
+    )
+    own = docs.withColumn("__row", row_key())
+    return own.join(
+        cuts, (F.col("__row") == F.col("__cut_row")) & F.col("doc_id").eqNullSafe(F.col("__cut_id")), "left"
+    ).select(*docs.columns, "__covered")
+
+
+def cut_documents(docs: DataFrame, min_words: int = 12) -> DataFrame:
+    """``docs``, all columns, with shortened texts as in ``deduplicate_lines``; rows of which no word is left go.
+
+    Rows without a word before stay.
+    """
+
+    def change(covered, texts):
+        new = [cut(t, c)[0] if c and t else t for c, t in zip(covered, texts)]
+        return [a == b or bool(a.strip()) for a, b in zip(new, texts)], new
+
+    return rewrite_texts(with_cuts(docs, min_words), docs.schema, change, "__covered")
+
+
 def deduplicate_lines(docs: DataFrame, min_words: int = 12) -> DataFrame:
     """``doc_id, n_lines, n_removed, text`` of every row of ``docs``; lines are pieces as in ``wrapped``.
 
@@ -114,12 +138,7 @@ def deduplicate_lines(docs: DataFrame, min_words: int = 12) -> DataFrame:
     Null texts stay null with 0 lines; empty texts and texts of fewer than three lines are never changed. Rows equal in id
     and text count as one row and are cut alike. Other columns are ignored. Documents meet their cuts in one join by a hash of the row.
     """
-    covered = repeated_windows(docs, min_words)
-    own = docs.select("doc_id", row_key(), "text")
-    cuts = covered.select(F.col("doc_id").alias("cut_id"), F.col("row").alias("cut_row"), "covered")
-    joined = own.join(
-        cuts, (F.col("row") == F.col("cut_row")) & F.col("doc_id").eqNullSafe(F.col("cut_id")), "left"
-    ).select("doc_id", "covered", "text")
+    joined = with_cuts(docs.select("doc_id", "text"), min_words).select("doc_id", "__covered", "text")
     fields = [("doc_id", "long"), ("n_lines", "long"), ("n_removed", "long"), ("text", "string")]
 
     def run(batches):

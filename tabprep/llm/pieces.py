@@ -13,11 +13,9 @@ import re
 
 from pyspark.sql import DataFrame
 
-from tabprep.llm.common import blocks, map_batches
+from tabprep.llm.common import Memory, blocks, map_batches
 
 SPACE = "▁"
-UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
 
 def default_model() -> str:
     """The public model file; its path is only a default of the ``model`` parameters."""
@@ -43,22 +41,43 @@ class Codec:
         self.ids = {self.pieces[i]: i for i in ordinary}
         self.scores = {self.pieces[i]: source.get_score(i) for i in ordinary}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(size) if self.is_byte[i]}
-        if any(SPACE in piece.lstrip(SPACE) for piece in self.ids):
-            raise ValueError("pieces must not run over the start of a word")
+        self.pattern = self._unit_pattern()
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            if len(piece) == 1 or self.merge(piece) == [piece]:  # others are never left by merging
-                self.automaton.add_word(piece, piece)
+            if len(piece) == 1 or self.merges(piece)[0] == [piece]:  # others are never left by merging
+                self.automaton.add_word(piece, (len(piece), piece))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words = Memory(lambda unit: ",".join(map(str, self.unit_ids(unit))), cached_words)
-        self.decoded = Memory(self._decoded, cached_words)
+        self.ends: dict[str, list[tuple[str, float]]] = {}
+        self.starts: dict[str, list[tuple[str, float]]] = {}
+        self.words = Memory(self._word, cached_words)
+        self.parts = Memory(self._part, cached_words)
+        self.odd: set[str] = set()
+
+    def _unit_pattern(self) -> re.Pattern:
+        """Units that no piece runs over the end of: spaces, signs, then letters and digits.
 
-    def merge(self, text: str) -> list[str]:
-        """Merging by its definition: best score first, leftmost on ties. Used on two tokens at a time."""
+        Where a sign comes next that some piece has right behind a letter or digit, the unit goes on to the next space.
+        """
+        if any(SPACE in piece.lstrip(SPACE) for piece in self.ids):
+            raise ValueError("pieces must not run over the start of a word")
+        behind: dict[str, set[str]] = {}
+        for piece in self.ids:
+            for a, b in zip(piece, piece[1:]):
+                if a.isalnum() and not b.isalnum():
+                    behind.setdefault(b, set()).add(a)
+        stops = "".join(
+            f"(?!(?<=[{''.join(map(re.escape, sorted(letters)))}]){re.escape(sign)})" for sign, letters in sorted(behind.items())
+        )
+        return re.compile(rf"(?=.){SPACE}*+(?:[^\w{SPACE}]|_)*+[^\W_]*+{stops}|{SPACE}*[^{SPACE}]+", re.DOTALL)
+
+    def merges(self, text: str) -> tuple[list[str], list[tuple[float, int, str, str]]]:
+        """Merging by its definition, best score first, leftmost on ties: what is left, and score, place and
+        sides of every merge in turn."""
         parts: list[str | None] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, str]] = []
+        done = []
 
         def offer(left: int, right: int) -> None:
             joined = parts[left] + parts[right]
@@ -68,10 +87,11 @@ class Codec:
         for i in range(len(parts) - 1):
             offer(i, i + 1)
         while heap:
-            _, left, joined = heapq.heappop(heap)
+            score, left, joined = heapq.heappop(heap)
             right = after[left] if parts[left] is not None else len(parts)
             if right >= len(parts) or parts[left] + parts[right] != joined:
                 continue
+            done.append((-score, left, parts[left], parts[right]))
             parts[left], parts[right] = joined, None
             after[left] = after[right]
             if after[left] < len(parts):
@@ -79,36 +99,63 @@ class Codec:
                 offer(left, after[left])
             if before[left] >= 0:
                 offer(before[left], left)
-        return [part for part in parts if part is not None]
+        return [part for part in parts if part is not None], done
+
+    def edge(self, token: str, at_end: bool) -> list[tuple[str, float]]:
+        """The fragments that stand at one end of a token while it is merged, from a character on, each with the score
+        at which it is merged away: the lowest score merged until then."""
+        cache = self.ends if at_end else self.starts
+        if token not in cache:
+            out, lowest, now = [], float("inf"), token[-1] if at_end else token[0]
+            for score, place, left, right in self.merges(token)[1]:
+                lowest = min(lowest, score)
+                if place + len(left) + len(right) == len(token) if at_end else place == 0:
+                    out.append((now, lowest))
+                    now = left + right
+            cache[token] = [*out, (now, float("-inf"))]
+        return cache[token]
 
     def compatible(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(left + right) == [left, right]
-        return known
+        """Whether merging leaves the two tokens apart: no two fragments that meet at their border join first."""
+        if right[0] == SPACE:  # only runs of spaces: their pieces share one score, so places decide
+            return self.merges(left + right)[0] == [left, right]
+        ends, starts, scores = self.edge(left, True), self.edge(right, False), self.scores
+        i = j = 0
+        while True:
+            (a, until_a), (b, until_b) = ends[i], starts[j]
+            score = scores.get(a + b)
+            if score is not None and score > until_a and score >= until_b:
+                return False
+            if i + 1 == len(ends) and j + 1 == len(starts):
+                return True
+            if until_a >= until_b:
+                i += 1
+            else:
+                j += 1
 
     def tokens(self, unit: str) -> list[str]:
         """Tokens of one unit by the prefix table. Characters outside the vocabulary stand alone."""
-        last: list[str] = [""] * (len(unit) + 1)
-        matches: list[list[str]] = [[] for _ in range(len(unit) + 1)]
-        for end, piece in self.automaton.iter(unit):
-            matches[end + 1].append(piece)
-        pairs = self.pairs
-        for end in range(1, len(unit) + 1):
-            for piece in matches[end]:
-                before = last[end - len(piece)]
-                if not before or (pairs.get((before, piece)) if (before, piece) in pairs else self.compatible(before, piece)):
-                    if before or end == len(piece):
-                        last[end] = piece
-                        break
-            else:
-                last[end] = unit[end - 1]
+        last: list[str] = [""] * len(unit)
+        known = self.pairs.get
+        for end, (size, piece) in self.automaton.iter(unit):  # in order of their ends
+            if last[end]:
+                continue
+            if size <= end:
+                # characters outside the vocabulary have no match; the one just before may still be unset
+                before = last[end - size] or unit[end - size]
+                fits = known((before, piece))
+                if fits is None:
+                    if len(self.pairs) > 500_000:
+                        self.pairs.clear()
+                    fits = self.pairs[before, piece] = self.compatible(before, piece)
+                if not fits:
+                    continue
+            last[end] = piece
         out, end = [], len(unit)
         while end:
-            out.append(last[end])
-            end -= len(last[end])
+            token = last[end - 1] or unit[end - 1]
+            out.append(token)
+            end -= len(token)
         out.reverse()
         return out
 
@@ -122,16 +169,25 @@ class Codec:
                 out.append(known)
         return out
 
-    def _decoded(self, unit: str) -> str:
-        return self.pieces_text([int(i) for i in self.words[unit].split(",")]).replace(SPACE, " ")
+    def _word(self, word: str) -> str:
+        """The ids, as text, of what stands between two single spaces of a text, with the space before it."""
+        return ",".join(map(self.parts.__getitem__, self.pattern.findall(SPACE + word)))
+
+    def _part(self, unit: str) -> str:
+        """The ids of a unit as text; units whose ids decode to something else are noted."""
+        ids = [self.ids.get(token, -1) for token in self.tokens(unit)]
+        if -1 in ids:
+            ids = self.unit_ids(unit)
+            decoded = self.pieces_text(ids)
+        else:
+            decoded = "".join(map(self.pieces.__getitem__, ids))
+        if decoded != unit:
+            self.odd.add(unit)
+        return ",".join(map(str, ids))
 
     def units(self, text: str) -> list[str]:
         """The text with its leading space and marked spaces, cut where no token can run across."""
-        if not text:
-            return []
-        if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-            return UNITS.findall(SPACE + text.replace(" ", SPACE))
-        return (SPACE + text.replace(" ", " " + SPACE)).split(" ")
+        return self.pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str) -> list[int]:
         return [i for unit in self.units(text) for i in self.unit_ids(unit)]
@@ -155,28 +211,17 @@ class Codec:
 
     def encode_text(self, text: str) -> tuple[int, str, str]:
         """Number of ids, ids joined by commas, and the text decoded from them, unit by unit."""
-        units = self.units(text)
-        ids = ",".join(map(self.words.__getitem__, units))
-        decoded = "".join(map(self.decoded.__getitem__, units))
-        return ids.count(",") + 1 if ids else 0, ids, decoded.removeprefix(" ")
-
-
-class Memory(dict):
-    """What a function gives for short frequent keys; the older half goes when both halves are full."""
-
-    def __init__(self, function, size: int):
-        self.function, self.size, self.old = function, size, {}
-
-    def __missing__(self, key: str) -> str:
-        found = self.old.get(key)
-        if found is None:
-            found = self.function(key)
-        if len(key) <= 40:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[key] = found
-        return found
+        if not text:
+            return 0, "", ""
+        if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
+            ids = ",".join(map(self.parts.__getitem__, self.units(text)))
+        else:
+            ids = ",".join(map(self.words.__getitem__, text.split(" ")))
+        if self.odd:
+            decoded = self.decode([int(i) for i in ids.split(",")])
+        else:
+            decoded = text.replace(SPACE, " ")  # every unit decodes to itself, but for the mark that stands for spaces
+        return ids.count(",") + 1, ids, decoded
 
 
 _codecs: dict[str, Codec] = {}

@@ -7,13 +7,14 @@ word beginnings, chosen by how much more often toxic training documents hold the
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import blocks, labelled_sample, map_batches, remainder
+from tabprep.llm.common import Memory, blocks, labelled_sample, map_batches, remainder
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STARTS = (3, 4, 5, 6)
@@ -35,16 +36,15 @@ class Ordinal:
 
     def grades(self, text: str | None) -> np.ndarray:
         """Probabilities of the grades 0, 1, ..."""
-        total, known = 0.0, self.weights
-        words = set(LETTERS.findall((text or "").lower()))
-        for word in words:
-            total += known.get(word, 0.0)
-        for n in STARTS:
-            for start in {word[:n] for word in words if len(word) > n}:
-                total += known.get("^" + start, 0.0)
+        found = set().union(*filter(None, map(self.memory.__getitem__, (text or "").lower().encode().split())))
+        total = sum(self.weights[f] for f in sorted(found))
         below = 1 / (1 + np.exp(-np.clip(self.thresholds - total, -500, 500)))
         return np.diff(np.concatenate([[0.0], below, [1.0]]))
 
+    def __post_init__(self):
+        #: What known features a blank-separated part of a text has, remembered for frequent parts.
+        self.memory = Memory(lambda part: tuple(f for f in features(part.decode()) if f in self.weights), 200_000)
+
 
 def fit_ordinal(
     rows: list[list[int]], grades: np.ndarray, width: int, ridge: float = 0.02, steps: int = 400
@@ -89,10 +89,16 @@ def train(sample: DataFrame, max_features: int = 4_000, min_documents: int = 4,
     and 2. Without rows of both labels the smoothed share of toxic rows is returned.
     """
 
-    def explode(batches):
-        for labels, texts in blocks(batches, 500_000):
-            found = [(f, label) for label, text in zip(labels, texts) for f in features(text)]
-            yield {"feature": [f for f, _ in found], "label": [label for _, label in found]}
+    def count(batches):
+        toxic: Counter[str] = Counter()
+        clean: Counter[str] = Counter()
+        for labels, texts in blocks(batches):
+            for label, text in zip(labels, texts):
+                (toxic if label else clean).update(features(text))
+            if len(toxic) + len(clean) > 500_000:
+                yield from ({"feature": list(c), "n": list(c.values()), "label": [k] * len(c)} for k, c in ((1, toxic), (0, clean)))
+                toxic, clean = Counter(), Counter()
+        yield from ({"feature": list(c), "n": list(c.values()), "label": [k] * len(c)} for k, c in ((1, toxic), (0, clean)))
 
     totals = {row["label"]: row["n"] for row in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
@@ -101,8 +107,10 @@ def train(sample: DataFrame, max_features: int = 4_000, min_documents: int = 4,
     t, c = F.col("toxic"), F.col("clean")
     share = F.lit(toxic / (clean + toxic))
     counted = (
-        map_batches(sample.select("label", "text"), [("feature", "string"), ("label", "int")], explode)
-        .groupBy("feature").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+        map_batches(sample.select("label", "text"), [("feature", "string"), ("n", "long"), ("label", "int")], count)
+        .groupBy("feature").agg(
+            F.sum(F.col("n") * F.col("label")).alias("toxic"), F.sum(F.col("n") * (1 - F.col("label"))).alias("clean")
+        )
         .withColumn("z", (t - (t + c) * share) / F.sqrt((t + c) * share * (1 - share)))
         .where((t >= min_documents) & (F.col("z") >= min_z))
         .orderBy(F.desc("z"), "feature").limit(max_features).select("feature")
@@ -128,7 +136,7 @@ def train(sample: DataFrame, max_features: int = 4_000, min_documents: int = 4,
 
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, threshold: float = 0.5, divisor: int = 5, held: int = 0,
-    sample_rows: int = 20_000,
+    sample_rows: int = 8_000,
 ) -> DataFrame:
     """``doc_id, held_out, score, severity, grade, predicted`` for every row of ``docs``.
 
@@ -154,3 +162,9 @@ def toxicity_scores(
 
     scored = map_batches(docs.select("doc_id", "text"), fields, run)
     return scored.withColumn("held_out", remainder("doc_id", divisor) == held)
+
+
+def toxic_ids(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``rejected_id`` of documents with a toxic verdict on any of their rows, once; learned from all labels."""
+    scores = toxicity_scores(docs, labels, threshold, divisor=1, held=-1)
+    return scores.where("predicted = 1").select(F.col("doc_id").alias("rejected_id")).distinct()
