@@ -296,13 +296,16 @@ def cut_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         new, kept = list(texts), [True] * len(texts)
         for start, end in block_bounds(texts):
             words = [words_of(text) for text in texts[start:end]]
+            hits, starts = np.zeros(sum(map(len, words)) + len(words), bool), None
+            touched: set[int] = set()
             for share in shares:
-                hits, starts, documents, _ = share.value.matches(words)
-                for d in set(documents.tolist()):
-                    spans = spans_of(hits[starts[d] : starts[d] + len(words[d])])
-                    new[start + d] = remove_spans(new[start + d], spans)
-                    words[d] = words_of(new[start + d])
-                    kept[start + d] = bool(words[d])
+                own, starts, documents, _ = share.value.matches(words)
+                hits |= own
+                touched.update(documents.tolist())
+            for d in touched:
+                own = hits[starts[d] : starts[d] + len(words[d])]
+                new[start + d] = remove_spans(new[start + d], spans_of(own))
+                kept[start + d] = not own.all()
         return kept, new
 
     return rewrite_texts(docs, docs.schema, change)
