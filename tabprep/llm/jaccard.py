@@ -19,8 +19,13 @@ from tabprep.workspace import pin
 
 #: Cells of the frequency sketch that orders tokens from rare to frequent. Any order gives the same links.
 SKETCH_BITS = 21
-#: A group holds at most about this many sets.
+#: Bits of the filter of documents whose sets are looked at closely.
+FILTER_BITS = 26
+#: A group holds at most about this many sets, and this many tokens.
 GROUP = 200
+GROUP_TOKENS = 500_000
+#: A token in more groups than this is not paired out; its groups form a cluster instead.
+PAIRED = 32
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -77,7 +82,7 @@ def least_overlap(n: int, percent: int) -> int:
 
 def shared_in_prefix(n: int, percent: int) -> int:
     """Tokens that two linked sets of at least ``n`` share at least within their prefixes."""
-    return max(1, min(n // 20, least_overlap(n, percent)))
+    return max(1, min(n // 10, least_overlap(n, percent)))
 
 
 def rare_prefix(tokens: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
@@ -134,50 +139,86 @@ def _suspects(marks: DataFrame) -> DataFrame:
     ).select("set_id", F.col("doc_id").alias("doc_key"))
 
 
+def _id_bits(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _id_filter(suspects: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the documents that stand for suspect sets: others need not send their tokens.
+
+    It only saves work: what it lets through by chance is dropped by the join with the suspects.
+    """
+    step = 1 << 20
+
+    def run(batches):
+        for batch in batches:
+            bits = np.unique(_id_bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+            yield {"slice": bits // step, "bit": bits % step}
+
+    def build(key, frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(step, bool)
+        bits[frame["bit"].to_numpy()] = True
+        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    fields = [("slice", "long"), ("bit", "long")]
+    known = suspects.where("doc_key is not null").select("doc_key")
+    parts = map_batches(known, fields, run).groupBy("slice").applyInPandas(build, "slice long, bits binary")
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in parts.collect():  # 2**FILTER_BITS bits in all
+        out[row["slice"] * step // 8 : (row["slice"] + 1) * step // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
 def _sets(docs: DataFrame, suspects: DataFrame, sketch, width: int, percent: int) -> DataFrame:
     """``set_id, n, need, key_a, key_b, prefix, tokens`` of every suspect set, once.
 
     The keys are minima under other hash orders, by which similar sets meet in a group.
     """
     fields = [
-        ("set_id", "long"), ("wanted", "long"), ("n", "long"), ("need", "long"), ("key_a", "long"), ("key_b", "long"),
+        ("set_id", "long"), ("doc_id", "long"), ("n", "long"), ("need", "long"), ("key_a", "long"), ("key_b", "long"),
         ("prefix", "array<long>"), ("tokens", "array<long>"),
     ]
-    found = suspects.join(docs.select("doc_id", "text"), F.col("doc_id").eqNullSafe(F.col("doc_key")))
+    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(suspects))
 
     def run(batches):
-        for wanted, texts in blocks(batches):
+        for ids, texts in blocks(batches):
+            place = _id_bits(np.array([0 if key is None else key for key in ids], np.int64))
+            wanted = (bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
             rows = []
-            for want, text in zip(wanted, texts):
-                tokens = shingles(text, width)
+            for key, text, want in zip(ids, texts, wanted):
+                tokens = shingles(text, width) if want or key is None else ()
                 if not len(tokens):
                     continue
                 second, third = mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), mix(tokens ^ np.uint64(0x14057B7EF767814F))
                 key_a = int((second.min() ^ mix(third.min()[None])[0]).astype(np.int64))
                 key_b = int(mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)).min().astype(np.int64))
                 prefix = rare_prefix(tokens, sketch.value, percent)
-                rows.append((set_hash(tokens), want, len(tokens), shared_in_prefix(len(tokens), percent), key_a, key_b,
+                rows.append((set_hash(tokens), key, len(tokens), shared_in_prefix(len(tokens), percent), key_a, key_b,
                              prefix.view(np.int64), tokens.view(np.int64)))
             if rows:
                 yield {name: list(column) for (name, _), column in zip(fields, zip(*rows))}
 
-    sets = map_batches(found.select(F.col("set_id").alias("wanted"), "text"), fields, run)
-    return sets.where("set_id = wanted").drop("wanted").dropDuplicates(["set_id"])
+    sent = map_batches(docs.select("doc_id", "text"), fields, run)
+    found = sent.join(suspects, "set_id").where(F.col("doc_id").eqNullSafe(F.col("doc_key")))
+    return found.drop("doc_id", "doc_key").dropDuplicates(["set_id"])
 
 
 def _tokens(column: pd.Series) -> list[np.ndarray]:
     return [np.asarray(row, np.int64).view(np.uint64) for row in column]
 
 
+def _parts(members: str, size: str):
+    """In how many parts so many sets with so many tokens are dealt."""
+    return F.ceil(F.greatest(F.col(members) / GROUP, F.col(size) / GROUP_TOKENS)).cast("long")
+
+
 def _groups(sets: DataFrame, key: str, percent: int) -> DataFrame:
     """``set_id, root``: sets of equal key, in groups of about ``GROUP``, merged where links connect them.
 
     A key with more sets is dealt over several groups by hash; what links these is found later.
     """
-    counts = sets.groupBy(key).agg(F.count("*").alias("members")).where("members > 1")
-    dealt = sets.join(counts, key).withColumn(
-        "part", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("members") / GROUP).cast("long"))
-    )
+    counts = sets.groupBy(key).agg(F.count("*").alias("members"), F.sum("n").alias("size")).where("members > 1")
+    dealt = sets.join(counts, key).withColumn("part", F.pmod(F.xxhash64("set_id"), _parts("members", "size")))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n", "set_id"])
@@ -195,50 +236,107 @@ def _groups(sets: DataFrame, key: str, percent: int) -> DataFrame:
     )
 
 
-def _candidates(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """``a, b``: groups not connected yet whose rows of the matrix have enough tokens in common.
+def _clusters(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """``group, cluster``: groups that may hold linked members and are not connected yet, with all they may link to.
 
-    The matrix holds the prefix tokens of a group's members; the shared ones bound the overlap of any two members.
+    The matrix holds a row for each prefix token and group. Groups with enough common tokens share a cluster, and so
+    do all groups of a token of many groups, by one row each.
     """
-    member = sets.select("set_id", "n", "need", "prefix").join(groups, "set_id")
-    sizes = member.groupBy("group").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("need").alias("need"), F.first("component").alias("component")
-    )
-    matrix = member.select(F.explode("prefix").alias("token"), "group", "component").distinct()
-    mixed = matrix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    matrix = matrix.join(mixed.select("token"), "token").select("token", "group", "component")
-    left = matrix.select("token", F.col("group").alias("a"), F.col("component").alias("ca"))
-    right = matrix.select("token", F.col("group").alias("b"), F.col("component").alias("cb"))
+    member = sets.select("set_id", "need", "prefix").join(groups, "set_id")
+    need = member.groupBy("group").agg(F.min("need").alias("need"))
+    matrix = pin(member.select(F.explode("prefix").alias("token"), "group", "component").distinct(), "jaccard-matrix")
+    tokens = matrix.groupBy("token").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k"), F.min("group").alias("low")
+    ).where("x <> y")
+    light = matrix.join(tokens.where(F.col("k") <= PAIRED).select("token"), "token")
+    left = light.select("token", F.col("group").alias("a"), F.col("component").alias("ca"))
+    right = light.select("token", F.col("group").alias("b"), F.col("component").alias("cb"))
     shared = left.join(right, "token").where("a < b and ca <> cb").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    a = sizes.select(F.col("group").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("need").alias("na"))
-    b = sizes.select(F.col("group").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("need").alias("nb"))
-    return shared.join(a, "a").join(b, "b").where(F.col("shared") >= F.least("na", "nb"))
-
-
-def _open(candidates: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` of candidate groups with a link between two members: unions first, then members up to the first link."""
-    members = sets.select("set_id", "tokens").join(groups.select("set_id", "group"), "set_id")
-    left = candidates.select("a", "b").join(
-        members.select(F.col("group").alias("a"), F.col("tokens").alias("ours")), "a"
-    ).select("a", "b", F.col("ours").alias("tokens"))
-    right = candidates.select(F.col("a").alias("c"), F.col("b").alias("d")).join(
-        members.select(F.col("group").alias("d"), F.col("tokens").alias("theirs")), "d"
-    ).select("c", "d", F.col("theirs").alias("tokens"))
-
-    def run(key, ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        a, b = _tokens(ours["tokens"]), _tokens(theirs["tokens"])
-        union = np.unique(np.concatenate(b)) if b else np.zeros(0, np.uint64)
-        found = False
-        for query in a:
-            place = np.minimum(np.searchsorted(union, query), len(union) - 1)
-            if int((union[place] == query).sum()) < least_overlap(len(query), percent):
-                continue
-            if any(linked(query, other, percent) for other in b):
-                found = True
-                break
-        return pd.DataFrame({"a": [key[0]] * found, "b": [key[1]] * found})
-
-    return left.groupBy("a", "b").cogroup(right.groupBy("c", "d")).applyInPandas(run, "a long, b long")
+    pairs = (
+        shared.join(need.select(F.col("group").alias("a"), F.col("need").alias("na")), "a")
+        .join(need.select(F.col("group").alias("b"), F.col("need").alias("nb")), "b")
+        .where(F.col("shared") >= F.least("na", "nb")).select("a", "b")
+    )
+    heavy = tokens.where(F.col("k") > PAIRED).select("token", "low")
+    stars = matrix.join(heavy, "token").select(F.col("group").alias("a"), F.col("low").alias("b")).distinct()
+    found = components(pairs.unionByName(stars), "jaccard-clusters")
+    return found.select(F.col("node").alias("group"), F.col("component").alias("cluster"))
+
+
+def _open(clusters: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links between groups of a cluster. Large clusters are dealt over blocks, and every pair of blocks is a task's group."""
+    member = sets.select("set_id", "n").join(groups, "set_id").join(clusters, "group")
+    sizes = member.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("size"))
+    dealt = member.join(sizes, "cluster").withColumn("parts", _parts("members", "size")).select(
+        "set_id", "group", "component", "cluster", "parts", F.pmod(F.xxhash64("group"), F.col("parts")).alias("part")
+    )
+    rows = sets.select("set_id", "need", "prefix", "tokens").join(dealt, "set_id").withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    ).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("set_id")
+        names, place = np.unique(frame["group"].to_numpy(), return_inverse=True)
+        tokens, prefixes = _tokens(frame["tokens"]), _tokens(frame["prefix"])
+        members: list[list[np.ndarray]] = [[] for _ in names]
+        need, part = np.full(len(names), 1 << 60), np.zeros(len(names), np.int64)
+        root: dict[int, int] = {}
+        component = np.zeros(len(names), np.int64)
+        for i, g in enumerate(place):
+            members[g].append(tokens[i])
+            need[g] = min(need[g], frame["need"].iat[i])
+            part[g], component[g] = frame["part"].iat[i], frame["component"].iat[i]
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        # the token-group matrix of this block: common prefix tokens bound what two groups share
+        _, column = np.unique(np.concatenate(prefixes), return_inverse=True)
+        owner = np.repeat(place, [len(p) for p in prefixes])
+        cells = np.unique(np.column_stack([column, owner]), axis=0)
+        counts = np.bincount(cells[:, 0])
+        cells = cells[counts[cells[:, 0]] > 1]
+        used, column = np.unique(cells[:, 0], return_inverse=True)
+        bound = np.zeros((len(names), len(names)), np.float32)
+        for at in range(0, len(used), 4096):
+            chosen = (column >= at) & (column < at + 4096)
+            matrix = np.zeros((len(names), min(4096, len(used) - at)), np.float32)
+            matrix[cells[chosen, 1], column[chosen] - at] = 1
+            bound += matrix @ matrix.T
+        maybe = np.triu(bound >= np.minimum(need[:, None], need[None, :]), 1)
+        maybe &= component[:, None] != component[None, :]
+        if key[1] != key[2]:
+            maybe &= part[:, None] != part[None, :]
+        a, b = np.nonzero(maybe)
+        order = np.argsort(-bound[a, b], kind="stable")
+        unions: dict[int, np.ndarray] = {}
+        links = []
+        for x, y in zip(a[order].tolist(), b[order].tolist()):
+            cx, cy = find(int(component[x])), find(int(component[y]))
+            if cx != cy and _group_link(members, unions, x, y, percent):
+                root[cx] = cy
+                links.append((names[x], names[y]))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    wanted = rows.select("cluster", "low", "high", "set_id", "group", "component", "part", "need", "prefix", "tokens")
+    return wanted.groupBy("cluster", "low", "high").applyInPandas(run, "a long, b long")
+
+
+def _group_link(members: list[list[np.ndarray]], unions: dict[int, np.ndarray], x: int, y: int, percent: int) -> bool:
+    """Whether a member of one group links to one of another: opened only for members whose overlap with the union reaches it."""
+    if len(members[y]) == 1:
+        x, y = y, x
+    if y not in unions:
+        unions[y] = np.unique(np.concatenate(members[y]))
+    union = unions[y]
+    for query in members[x]:
+        place = np.minimum(np.searchsorted(union, query), len(union) - 1)
+        if int((union[place] == query).sum()) >= least_overlap(len(query), percent):
+            if any(linked(query, other, percent) for other in members[y]):
+                return True
+    return False
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -275,8 +373,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
             "set_id", "group", F.coalesce("component", "set_id").alias("component")
         ), "jaccard-members",
     )
-    candidates = pin(_candidates(sets, groups), "jaccard-candidates")
-    more = _open(candidates, sets, groups, percent)
+    clusters = pin(_clusters(sets, groups), "jaccard-cluster-rows")
+    more = _open(clusters, sets, groups, percent)
     linked_sets = components(edges.unionByName(more), "jaccard-linked")
     smallest = marks.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("smallest"))
     reached = linked_sets.withColumnRenamed("node", "set_id").join(smallest, "set_id")
