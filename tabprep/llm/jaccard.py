@@ -61,7 +61,7 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
             small = np.minimum(total, 255).astype(np.uint8).reshape(-1, step)
             yield {"slice": list(range(len(small))), "counts": [row.tobytes() for row in small]}
 
-    def add(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(step, np.int64)
         for row in frame["counts"]:
             total += np.frombuffer(row, np.uint8)
@@ -155,7 +155,7 @@ def _id_filter(suspects: DataFrame) -> np.ndarray:
             bits = np.unique(_id_bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
             yield {"slice": bits // step, "bit": bits % step}
 
-    def build(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(step, bool)
         bits[frame["bit"].to_numpy()] = True
         return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(bits).tobytes()]})
@@ -274,7 +274,7 @@ def _open(clusters: DataFrame, sets: DataFrame, groups: DataFrame, percent: int)
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     ).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("set_id")
         names, place = np.unique(frame["group"].to_numpy(), return_inverse=True)
         tokens, prefixes = _tokens(frame["tokens"]), _tokens(frame["prefix"])
