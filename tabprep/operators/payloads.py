@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,12 +16,33 @@ def payload_schema(df: DataFrame, column: str) -> T.StructType:
 
     Texts that are not JSON objects count as empty objects.
     """
-    parsed = F.when(_looks_like_object(col(column)), F.try_parse_json(col(column)))
+    wrapped = F.when(_looks_like_object(col(column)), F.try_parse_json(_wrapped(col(column))))
+    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    parsed = F.when(alone, F.try_variant_get(wrapped, "$[0]", "variant"))
     found = df.agg(F.schema_of_variant_agg(parsed).alias("found")).first()["found"]
-    # The shape comes back as text such as OBJECT<a: BIGINT, b: OBJECT<c: STRING>>.
-    text = found.replace("OBJECT<", "STRUCT<").replace("VARIANT", "STRING").replace("VOID", "STRING")
+    # The shape comes back as text such as OBJECT<a: BIGINT, b: OBJECT<c: STRING>>; only types are renamed, not keys.
+    text = _TYPE_WORD.sub(lambda m: m[1] + ("STRUCT<" if m[2] == "OBJECT<" else "STRING"), found)
     kind = T._parse_datatype_string(text) if text.startswith("STRUCT<") else T.StructType()
-    return kind if isinstance(kind, T.StructType) else T.StructType()
+    return _with_doubles(kind) if isinstance(kind, T.StructType) else T.StructType()
+
+
+_TYPE_WORD = re.compile(r"(^|: |\bARRAY<)(OBJECT<|VARIANT\b|VOID\b)")
+
+
+def _with_doubles(kind: T.DataType) -> T.DataType:
+    """Fractions are found as decimals of the seen digits; they are read as doubles."""
+    if isinstance(kind, T.DecimalType):
+        return T.DoubleType()
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_with_doubles(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _with_doubles(f.dataType)) for f in kind])
+    return kind
+
+
+def _wrapped(text: Column) -> Column:
+    """As an array of one element, so that text behind the object makes it invalid."""
+    return F.concat(F.lit("["), text, F.lit("]"))
 
 
 def _looks_like_object(text: Column) -> Column:
@@ -59,7 +82,10 @@ def flatten_payload(
         raise ValueError(f"payload keys {sorted(clash)} are already columns")
     if not leaves:
         return df
-    parsed = F.from_json(F.when(_looks_like_object(col(column)), col(column)), schema, {"allowSingleQuotes": "false"})
+    listed = F.from_json(
+        F.when(_looks_like_object(col(column)), _wrapped(col(column))), T.ArrayType(schema), {"allowSingleQuotes": "false"}
+    )
+    parsed = F.when(F.size(listed) == 1, F.get(listed, 0))
     kept = [c for c in df.columns if c not in names]
     spare = {c: f"_spare{i}" for i, c in enumerate(filling or []) if c in df.columns}
     opened = df.select(*[col(c) for c in kept], *[col(c).alias(n) for c, n in spare.items()], parsed.alias("_payload"))

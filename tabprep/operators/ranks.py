@@ -69,7 +69,7 @@ def _answer_together(keys: DataFrame, waiting: dict[int, Request]) -> dict[int,
         slots[position] = slice(len(columns), len(columns) + len(measures))
         columns += [measure.alias(f"m{len(columns) + i}") for i, measure in enumerate(measures)]
     wanted = reduce(lambda a, b: a | b, [where for where, _ in waiting.values()])
-    row = keys.where(wanted).withColumn("_chance", F.rand()).agg(*columns).first()
+    row = keys.where(wanted).withColumn("_chance", F.rand(7)).agg(*columns).first()
     return {position: list(row[slot]) for position, slot in slots.items()}
 
 

@@ -78,13 +78,14 @@ def _order_book(spark: SparkSession, path: str) -> Ordered:
 
 
 def _artworks(spark: SparkSession, path: str) -> Ordered:
-    raw, order = with_source_order(read_csv(spark, path))
+    raw, order = with_source_order(read_csv(spark, path, multi_line=True))  # titles hold line breaks
     table = recipes.distinct_texts(raw, ARTWORK_KEYS, order, drop=[*ARTWORK_DROPPED, *order], keep_order=True)
     return table, ["_shuffle", *order]
 
 
 def _shop_orders(spark: SparkSession, orders: str, items: str, products: str, reviews: str) -> Ordered:
-    tables = [pin(read_csv(spark, path), "shop") for path in (orders, items, products, reviews)]
+    tables = [pin(read_csv(spark, path), "shop") for path in (orders, items, products)]
+    tables.append(pin(read_csv(spark, reviews, multi_line=True), "shop"))  # reviews hold line breaks
     tiebreak = ["order_id", "order_item_id", "review_id"]
     table = recipes.flat_orders(
         *tables, "order_id", "product_id", "order_purchase_timestamp", "freight_value", SHOP_ORDER_COLUMNS, tiebreak,

@@ -133,10 +133,10 @@ def distinct_texts(
 def flat_orders(
     orders: DataFrame, items: DataFrame, products: DataFrame, reviews: DataFrame, order_key: str, product_key: str,
     time: str, target: str, columns: list[str], tiebreak: list[str], copies: dict[str, str] | None = None,
-    keep_order: bool = False,
+    keep_order: bool = False, null_safe: bool = False,
 ) -> DataFrame:
     """Orders with their items, the product of each item and every review of the order, in one
-    table that is split chronologically. Order: ``time`` and ``tiebreak``.
+    table that is split chronologically. Order: ``time`` and ``tiebreak``. ``null_safe`` lets missing keys meet.
 
     Products come first, so that orders and reviews, which share a key, meet items in one shuffle of
     them. The joined table is written once; cut points are then found on its order columns alone.
@@ -146,11 +146,11 @@ def flat_orders(
         table.select(*[col(c) for c in table.columns if c in used]) for table in (orders, items, products, reviews)
     )
     hot_products, hot_orders = hot_keys(items, product_key), hot_keys(items, order_key)
-    described = equi_join(items, products, product_key, "left", null_safe=True, hot=hot_products)
+    described = equi_join(items, products, product_key, "left", null_safe=null_safe, hot=hot_products)
     if hot_orders:
         described = deal_out(described, order_key, hot_orders)
-    sold = equi_join(described, orders, order_key, "inner", null_safe=True, hot=hot_orders)
-    flat = equi_join(sold, reviews, order_key, "left", null_safe=True, hot=hot_orders)
+    sold = equi_join(described, orders, order_key, "inner", null_safe=null_safe, hot=hot_orders)
+    flat = equi_join(sold, reviews, order_key, "left", null_safe=null_safe, hot=hot_orders)
     flat = copy_columns(flat, copies or {})
     at = parse_timestamp_strict(col(time)) if _is_text(flat, time) else col(time).cast("timestamp_ntz")
     flat = flat.withColumn(time, at)

@@ -22,13 +22,12 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str)
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
 ) -> DataFrame:
     """CSV with a header; null spellings become NULL.
 
     Without ``schema`` the column types are inferred from all rows. ``multi_line`` allows line
-    breaks inside cells, which makes Spark read each file in one task: convert large files to
-    parquet once, or turn it off where cells have none.
+    breaks inside cells, which makes Spark read each file in one task; without it files are split.
     """
     options = {"header": True, "multiLine": multi_line, "escape": '"'}
     raw = spark.read.options(**options, inferSchema=False).csv(path)

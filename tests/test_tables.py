@@ -296,3 +296,11 @@ def test_pin_writes_to_the_configured_folder(spark):
     assert pinned.schema == T.StructType([T.StructField("id", T.LongType())])
     assert workspace.release(spark) > 0
     assert workspace.release(spark) == 0
+
+
+def test_payload_keys_that_hold_type_words(spark):
+    rows = [('{"AVOID": "x", "my_VARIANT": {"OBJECT": 1.5}, "VOID": null}',), ('{"AVOID": "y"} junk',), ('{"AVOID": "a"},{"AVOID": "b"}',)]
+    found = payloads.flatten_payload(spark.createDataFrame(rows, "p string"), "p")
+    assert sorted(found.columns) == ["AVOID", "VOID", "my_VARIANT.OBJECT", "p"]
+    assert dict(found.dtypes)["my_VARIANT.OBJECT"] == "double"
+    assert sorted((r["AVOID"] or "", r["my_VARIANT.OBJECT"]) for r in found.collect()) == [("", None), ("", None), ("x", 1.5)]

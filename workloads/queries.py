@@ -34,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unmatched(part: DataFrame, rule: str) -> DataFrame:
+    """All parts; those of the rule get a key that no item has."""
+    return part.withColumn("p_partkey", F.when(F.expr(rule), -F.col("p_partkey")).otherwise(F.col("p_partkey")))
+
+
 # --- ordering and splits -------------------------------------------------------------------------
 
 
@@ -224,7 +229,7 @@ def join_inner(spark, sf_dir):
 def join_left_dim(spark, sf_dir):
     """A dimension join with the hottest keys dealt out over several groups."""
     items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
-    part = table(spark, sf_dir, "part").where("p_size > 10")
+    part = unmatched(table(spark, sf_dir, "part"), "p_size <= 10")
     hot = hot_keys(items, "p_partkey", share=0.0007, smallest=0)
     joined = equi_join(items, part, "p_partkey", "left", hot=hot, copies=8)
     return joined.select("l_orderkey", "l_linenumber", "p_partkey", "l_suppkey", "p_name", "p_retailprice")
@@ -500,7 +505,7 @@ def _flat_orders(spark, sf_dir, columns: list[str]) -> DataFrame:
     """Orders, their items, the part of each item, and events standing in for reviews."""
     items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     items = items.withColumn("freight", F.when(F.col("l_suppkey") % 10 != 0, F.col("l_tax")))
-    part = table(spark, sf_dir, "part").where("p_size > 5")
+    part = unmatched(table(spark, sf_dir, "part"), "p_size <= 5")
     parts = part.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_size",
                         F.length("p_name").alias("p_name_lenght"))
     reviews = table(spark, sf_dir, "events").select(
