@@ -253,7 +253,7 @@ def test_repeated_windows_are_cut(spark):
     passage = "Here is a first sentence of some length. A second one follows with more words. Then a third one ends it all."
     rows = [
         (1, f"own start\n{block}\nown end"), (2, f"other start\n{block}\nother end"), (3, f"{block}"),
-        (4, f"Words before {passage} Words after it here."), (5, f"Something else. {passage} And a tail."),
+        (4, f"Words before. {passage} Words after it here."), (5, f"Something else. {passage} And a tail."),
         (6, "single\nshort"), (7, None), (8, "clean text of its own\nwith lines\nthat nobody shares\nat all"),
         (9, "third line of the shared block"),
     ]
