@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,9 +11,17 @@ from pyspark.sql import types as T
 EPOCH = "1970-01-01 00:00:00"
 
 
-def parse_timestamp(text: Column) -> Column:
-    """Text to timestamp; anything else becomes NULL. A bare time of day is not a timestamp."""
-    return F.when(text.contains("-"), F.try_to_timestamp(text).cast("timestamp_ntz"))
+def parse_timestamp(text: Column, date_format: str | None = None) -> Column:
+    """Text to timestamp; anything else becomes NULL.
+
+    ``date_format`` is one of ``DATE_FORMATS``, as ``sniff_dates`` finds it; by default texts are ISO dates with or
+    without a time. A time of day falls on 1970-01-01 when its format is asked for, and is NULL otherwise.
+    """
+    if date_format in OTHER_FORMATS:
+        shape, pattern, prepare = OTHER_FORMATS[date_format]
+        prepared = F.when(text.rlike(f"^{shape}$"), prepare(text))
+        return F.try_to_timestamp(prepared, F.lit(pattern)).cast("timestamp_ntz")
+    return F.when(text.rlike(r"^\s*\d{4}-"), F.try_to_timestamp(text).cast("timestamp_ntz"))
 
 
 def parse_timestamp_strict(text: Column) -> Column:
@@ -21,10 +31,10 @@ def parse_timestamp_strict(text: Column) -> Column:
     return F.when(text.isNotNull() & parsed.isNull(), F.raise_error(message)).otherwise(parsed)
 
 
-def as_timestamp(value: Column, data_type: T.DataType) -> Column:
-    """Zone-less timestamp of a timestamp, date or text column."""
+def as_timestamp(value: Column, data_type: T.DataType, date_format: str | None = None) -> Column:
+    """Zone-less timestamp of a timestamp, date or text column; texts are read by ``date_format``."""
     if isinstance(data_type, T.StringType):
-        return parse_timestamp(value)
+        return parse_timestamp(value, date_format)
     return value.cast("timestamp_ntz")
 
 
@@ -44,25 +54,62 @@ def epoch_seconds(value: Column) -> Column:
     return F.coalesce(seconds, F.lit(0.0))
 
 
-def _date_shapes() -> dict[str, tuple[str, ...]]:
-    """Shape of a date text (digits as 0, any fraction as .0, any zone as z) -> format names."""
-    shapes: dict[str, tuple[str, ...]] = {"0000-00-00": ("date",)}
-    for separator in " T":
-        for clock in ("00:00", "00:00:00", "00:00:00.0"):
-            for zone in ("", "z"):
-                shape = f"0000-00-00{separator}{clock}{zone}"
-                shapes[shape] = (shape,)
-    for first in ("0", "00"):
-        for second in ("0", "00"):
-            shapes[f"{first}/{second}/0000"] = ("month first", "day first")
-    shapes |= {"0000": ("year",), "0:00": ("clock",), "00:00": ("clock",), "0000Q0": ("quarter",)}
-    return shapes
-
-
-DATE_SHAPES = _date_shapes()
-DATE_FORMATS = list(dict.fromkeys(name for names in DATE_SHAPES.values() for name in names))
-
-# No date text is longer than this.
+def _iso_shapes() -> list[str]:
+    """Shapes of ISO dates: digits as 0, any fraction as .0, any zone as z."""
+    clocks = ("00:00", "00:00:00", "00:00:00.0")
+    times = [f"{sep}{clock}{zone}" for sep in " T" for clock in clocks for zone in ("", "z")]
+    return [f"0000-00-00{time}" for time in ("", *times)]
+
+
+def _other_formats() -> dict[str, tuple[str, str, Callable[[Column], Column]]]:
+    """Format name -> (regular expression, datetime pattern, what is done to a text before parsing).
+
+    Where a text fits several, the earlier one counts: month before day.
+    """
+
+    def same(text: Column) -> Column:
+        return text
+
+    def century(text: Column) -> Column:
+        first = F.when(F.right(text, F.lit(2)) >= "69", "19").otherwise("20")
+        return F.concat(F.regexp_extract(text, r"^(.*/)\d\d$", 1), first, F.right(text, F.lit(2)))
+
+    def first_month(text: Column) -> Column:
+        month = (F.right(text, F.lit(1)).try_cast("int") * 3 - 2).cast("string")
+        return F.concat(F.left(text, F.lit(4)), F.lit("-"), F.lpad(month, 2, "0"))
+
+    formats: dict[str, tuple[str, str, Callable[[Column], Column]]] = {}
+    clocks = {"": ("", ""), " minute": (r" \d{1,2}:\d\d", " H:mm"), " second": (r" \d{1,2}:\d\d:\d\d", " H:mm:ss")}
+    for mark, separator in (("", "/"), (" dashed", "-")):
+        for order, pattern in (("month first", f"M{separator}d{separator}yyyy"), ("day first", f"d{separator}M{separator}yyyy")):
+            for clock, (shape, more) in clocks.items():
+                formats[f"{order}{mark}{clock}"] = (rf"\d{{1,2}}{separator}\d{{1,2}}{separator}\d{{4}}{shape}", pattern + more, same)
+    for name, separator in (("year first slashed", "/"), ("year first dotted", r"\.")):
+        plain = separator[-1]
+        for clock, (shape, more) in clocks.items():
+            formats[name + clock] = (
+                rf"\d{{4}}{separator}\d{{1,2}}{separator}\d{{1,2}}{shape}", f"yyyy{plain}M{plain}d{more}", same
+            )
+    for name, pattern in (("month first, short year", "M/d/yyyy"), ("day first, short year", "d/M/yyyy")):
+        formats[name] = (r"\d{1,2}/\d{1,2}/\d\d", pattern, century)
+    for name, letters in (("short", "MMM"), ("long", "MMMM")):
+        formats[f"{name} month, day, year"] = (r"[A-Za-z]+ \d{1,2}, \d{4}", f"{letters} d, yyyy", same)
+        formats[f"day, {name} month, year"] = (r"\d{1,2} [A-Za-z]+ \d{4}", f"d {letters} yyyy", same)
+    return formats | {
+        "digits": (r"\d{8}", "yyyyMMdd", same),
+        "year and month": (r"\d{4}-\d\d", "yyyy-MM", same),
+        "year": (r"\d{4}", "yyyy", same),
+        "quarter": (r"\d{4}Q[1-4]", "yyyy-MM", first_month),
+        "clock": (r"\d{1,2}:\d\d", "H:mm", same),
+        "clock second": (r"\d{1,2}:\d\d:\d\d", "H:mm:ss", same),
+    }
+
+
+ISO_SHAPES = _iso_shapes()
+OTHER_FORMATS = _other_formats()
+DATE_FORMATS = [*ISO_SHAPES, *OTHER_FORMATS]
+
+# No date text is longer than this: an ISO date with nine decimals and a zone has 35 characters.
 LONGEST_DATE = 40
 
 # The years a nanosecond timestamp can hold in full.
@@ -73,32 +120,29 @@ def _bit(name: str) -> int:
     return 1 << DATE_FORMATS.index(name)
 
 
-def shape_sql(text: str) -> str:
-    """SQL for the shape of a text column, as in ``DATE_SHAPES``."""
-    digits = f"regexp_replace(translate({text}, '123456789', '000000000'), r'(Z|[+-]00:?00)$', 'z')"
-    return rf"regexp_replace({digits}, r'\.0{{1,9}}(z?)$', '.0$1')"
-
-
-def format_mask_sql(text: str, shape: str) -> str:
-    """SQL whose bit i is set when ``text`` fits the i-th of ``DATE_FORMATS`` and names a real date."""
-    isos = {shape: names[0] for shape, names in DATE_SHAPES.items() if shape.startswith("0000-")}
-    bits = ", ".join(f"'{shape}', {_bit(name)}" for shape, name in isos.items())
-    years = f"BETWEEN {FIRST_YEAR} AND {LAST_YEAR}"
-    clock = r"([01]\d|2[0-3])(:[0-5]\d){1,2}"
-
-    def slashed(name: str, month: int, day: int) -> str:
-        part = f"lpad(get(split({text}, '/'), %d), 2, '0')"
-        date = f"concat_ws('-', right({text}, 4), {part % month}, {part % day})"
-        return f"if(try_cast({date} AS date) IS NOT NULL, {_bit(name)}, 0)"
-
-    return rf"""coalesce(CASE
-        WHEN {shape} LIKE '0000-%' THEN
-            if(try_cast(left({text}, 4) AS int) {years} AND try_cast(left({text}, 10) AS date) IS NOT NULL
-               AND (length({text}) = 10 OR substr({text}, 12) RLIKE r'^{clock}'), try_element_at(map({bits}), {shape}), 0)
-        WHEN {shape} RLIKE '^0{{1,2}}/0{{1,2}}/0000$' THEN
-            if(try_cast(right({text}, 4) AS int) {years},
-               {slashed("month first", 0, 1)} + {slashed("day first", 1, 0)}, 0)
-        WHEN {shape} = '0000' THEN if(try_cast({text} AS int) {years}, {_bit("year")}, 0)
-        WHEN {shape} IN ('0:00', '00:00') THEN if(lpad({text}, 5, '0') RLIKE r'^{clock}$', {_bit("clock")}, 0)
-        WHEN {text} RLIKE r'^\d{{4}}Q[1-4]$' THEN if(try_cast(left({text}, 4) AS int) {years}, {_bit("quarter")}, 0)
-        END, 0)"""
+def _shape(text: Column) -> Column:
+    digits = F.regexp_replace(F.translate(text, "123456789", "000000000"), r"(Z|[+-]00:?00)$", "z")
+    return F.regexp_replace(digits, r"\.0{1,9}(z?)$", ".0$1")
+
+
+def format_mask(text: Column) -> Column:
+    """A number whose bit i is set when ``text`` fits the i-th of ``DATE_FORMATS`` and names a real date."""
+
+    def in_range(when: Column) -> Column:
+        return F.coalesce(F.year(when).between(FIRST_YEAR, LAST_YEAR), F.lit(False))
+
+    shape, clock = _shape(text), r"^.{11}([01]\d|2[0-3])(:[0-5]\d){1,2}"
+    day = F.left(text, F.lit(10)).try_cast("date")
+    iso = in_range(day) & ((F.length(text) == 10) | text.rlike(clock))
+    bits = F.create_map(*[F.lit(x) for name in ISO_SHAPES for x in (name, _bit(name))])
+    mask = F.when(iso, F.coalesce(F.try_element_at(bits, shape), F.lit(0)).cast("long")).otherwise(F.lit(0).cast("long"))
+    for name in OTHER_FORMATS:
+        fits = in_range(parse_timestamp(text, name))
+        mask = mask.bitwiseOR(F.when(fits, F.lit(_bit(name)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return F.coalesce(mask, F.lit(0).cast("long"))
+
+
+def first_format(mask: Column) -> Column:
+    """The name of the lowest bit of a ``format_mask``; NULL for 0."""
+    lowest = F.round(F.log2(mask.bitwiseAND(-mask))).cast("int")
+    return F.when(mask != 0, F.element_at(F.array(*[F.lit(name) for name in DATE_FORMATS]), lowest + 1))

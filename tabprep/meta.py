@@ -22,6 +22,7 @@ class TableMeta:
     target: str | None = None
     task: str = "classification"
     name: str = ""
+    formats: tuple[tuple[str, str], ...] = ()  # date format of text columns that hold dates
 
     @classmethod
     def of(cls, columns: Iterable[str], roles: dict[str, str | None], **more) -> TableMeta:
@@ -31,6 +32,9 @@ class TableMeta:
     def role(self, column: str) -> str | None:
         return dict(self.roles).get(column)
 
+    def date_format(self, column: str) -> str | None:
+        return dict(self.formats).get(column)
+
     def having(self, *roles: str) -> list[str]:
         """Columns with one of ``roles``, in source order."""
         chosen = dict(self.roles)

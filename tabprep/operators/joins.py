@@ -12,25 +12,22 @@ from tabprep.operators.columns import col, require_columns
 from tabprep.operators.ordering import typed_literal
 
 _SAMPLE = 1_000_000  # rows looked at when searching hot keys
-_SMALLEST = 1_000_000
 _COPIES = 64
 
 
-def hot_keys(
-    df: DataFrame, key: str, share: float = 0.01, sample: int = _SAMPLE, smallest: int = _SMALLEST
-) -> list:
+def hot_keys(df: DataFrame, key: str, share: float = 0.01, sample: int = _SAMPLE) -> list:
     """Keys (NULL included) that hold at least about ``share`` of the rows: at most ``1 / share``.
 
-    Counted on a sample, because the list only steers how rows are spread over tasks. A table of
-    fewer than ``smallest`` rows has none: one task can take it all.
+    Counted on a sample, because the list only steers how rows are spread over tasks. A key
+    seen once is not hot.
     """
     rows = df.count()
-    if rows < max(smallest, 1):
+    if not rows:
         return []
     fraction = min(1.0, sample / rows)
     keys = df.select(col(key).alias("key"))
     counts = (keys if fraction == 1.0 else keys.sample(fraction, seed=42)).groupBy("key").count()
-    return [row["key"] for row in counts.where(F.col("count") >= share * fraction * rows).collect()]
+    return [row["key"] for row in counts.where(F.col("count") >= max(2.0, share * fraction * rows)).collect()]
 
 
 def _is_hot(df: DataFrame, key: str, hot: list) -> Column:

@@ -48,7 +48,7 @@ def apply_layout(df: DataFrame, meta: TableMeta, layout: str, also: list[str] |
 
     def change(name: str) -> Column:
         if meta.role(name) == DATETIME:
-            return epoch_seconds(as_timestamp(col(name), df.schema[name].dataType)).alias(name)
+            return epoch_seconds(as_timestamp(col(name), df.schema[name].dataType, meta.date_format(name))).alias(name)
         return col(name)
 
     return df.select(*[change(name) for name in names], *[col(name) for name in also or []])

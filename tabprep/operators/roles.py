@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprep.functions.dates import LONGEST_DATE, format_mask_sql, shape_sql
+from tabprep.functions.dates import LONGEST_DATE, first_format, format_mask
 from tabprep.functions.numbers import FLOATING, missing_if_nan, parse_number
 from tabprep.functions.text import MISSING, render
 from tabprep.meta import (
@@ -30,26 +30,28 @@ _SKETCH_SIZE, _DOUBT = 12, 2.0
 
 
 def sniff_dates(df: DataFrame, order: list[str], values: int = SNIFFED_VALUES) -> DataFrame:
-    """``(column, is_datetime)`` for every text column that has values.
+    """``(column, is_datetime, date_format)`` for every text column that has values.
 
-    A column holds dates when one date format fits its first ``values`` non-null texts in ``order``.
+    A column holds dates when one date format fits its first ``values`` non-null texts in ``order``;
+    ``date_format`` names it.
     A text too long for a date is replaced by a mark as it is read, so the top-k per column moves
     only short rows however long the texts are.
     """
     names, spark = text_columns(df), df.sparkSession
     if not names:
-        return spark.createDataFrame([], "column string, is_datetime boolean")
+        return spark.createDataFrame([], "column string, is_datetime boolean, date_format string")
     keys = ", ".join(f"{quoted(key)} NULLS LAST" for key in order)
     heads = [
         f"(SELECT {sql_text(name)} AS column, if(length({cell}) <= {LONGEST_DATE}, {cell}, '-') AS cell "
         f"FROM _table_ WHERE {cell} IS NOT NULL ORDER BY {keys} LIMIT {values})"
         for name, cell in ((name, quoted(name)) for name in names)
     ]
-    query = f"""WITH heads AS ({" UNION ALL ".join(heads)}),
-        shaped AS (SELECT column, cell, {shape_sql("cell")} AS shape FROM heads)
-        SELECT column, bit_and({format_mask_sql("cell", "shape")}) <> 0 AS is_datetime FROM shaped GROUP BY column"""
+    query = " UNION ALL ".join(heads)
     escaped = query.replace("{", "{{").replace("}", "}}").replace("FROM _table_ ", "FROM {table} ")
-    return spark.sql(escaped, table=df)
+    fitting = spark.sql(escaped, table=df).groupBy("column").agg(F.bit_and(format_mask(F.col("cell"))).alias("mask"))
+    return fitting.select(
+        "column", (F.col("mask") != 0).alias("is_datetime"), first_format(F.col("mask")).alias("date_format")
+    )
 
 
 def _decide(profiled: DataFrame) -> DataFrame:
@@ -65,6 +67,7 @@ def _decide(profiled: DataFrame) -> DataFrame:
                  ELSE '{TEXT}' END AS role""",
         "n_unique",
         "n_rows",
+        "date_format",
     )
 
 
@@ -74,7 +77,7 @@ def _with_dates(profiled: DataFrame, df: DataFrame, order: list[str]) -> DataFra
 
 
 def infer_roles(df: DataFrame, order: list[str], ignore: list[str] | None = None) -> DataFrame:
-    """``position, column, role, n_unique, n_rows`` of a (train) table with exact distinct counts.
+    """``position, column, role, n_unique, n_rows, date_format`` of a (train) table with exact distinct counts.
 
     ``order`` gives the source order used for date sniffing; ``ignore`` lists helper columns
     that get no role.
@@ -112,16 +115,17 @@ def learn_meta(
             row["estimate"] = exact_counts.get(row["column"], row["estimate"])
 
     settled = [(r["position"], r["column"], r["family"], r["n_rows"], r["n_filled"], r["all_whole"], r["is_datetime"],
-                r["estimate"]) for r in rows]
+                r["estimate"], r["date_format"]) for r in rows]
     schema = ("position int, column string, family string, n_rows bigint, n_filled bigint, all_whole boolean, "
-              "is_datetime boolean, n_unique bigint")
+              "is_datetime boolean, n_unique bigint, date_format string")
     return meta_from_roles(_decide(train.sparkSession.createDataFrame(settled, schema)), **meta)
 
 
 def meta_from_roles(roles: DataFrame, **meta) -> TableMeta:
     """``TableMeta`` of an ``infer_roles`` table (one row per column)."""
-    rows = sorted(roles.select("position", "column", "role").collect(), key=lambda r: r["position"])
-    return TableMeta.of([r["column"] for r in rows], {r["column"]: r["role"] for r in rows}, **meta)
+    rows = sorted(roles.select("position", "column", "role", "date_format").collect(), key=lambda r: r["position"])
+    formats = tuple((r["column"], r["date_format"]) for r in rows if r["date_format"])
+    return TableMeta.of([r["column"] for r in rows], {r["column"]: r["role"] for r in rows}, formats=formats, **meta)
 
 
 def coerce(df: DataFrame, meta: TableMeta) -> DataFrame:

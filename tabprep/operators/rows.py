@@ -24,13 +24,17 @@ def drop_missing(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row per ``key`` in ``order``; all NULL keys count as one key.
+    """The first row per ``key`` in ``order``, missing order values last; all missing keys count as one key.
 
     An aggregation rather than a window: each task reduces its rows to one per key before
     anything is shuffled, so a key that fills a third of the table costs one row per task.
     """
     require_columns(df, [key, *order])
-    kept = F.min_by(F.struct(*[col(c) for c in df.columns if c != key]), F.struct(*[col(c) for c in order]))
+    df = df.withColumn(key, missing_if_nan(col(key))) if isinstance(df.schema[key].dataType, FLOATING) else df
+    kinds = {c: df.schema[c].dataType for c in order}
+    values = {c: missing_if_nan(col(c)) if isinstance(kind, FLOATING) else col(c) for c, kind in kinds.items()}
+    places = [part for value in values.values() for part in (value.isNull(), value)]
+    kept = F.min_by(F.struct(*[col(c) for c in df.columns if c != key]), F.struct(*places))
     first = df.groupBy(col(key).alias(key)).agg(kept.alias("_kept"))
     return first.select(*[col(c) if c == key else F.col("_kept").getField(c).alias(c) for c in df.columns])
 

@@ -63,7 +63,7 @@ def test_dealt_out_join_equals_plain_join(spark, how, null_safe):
     for k, n in left:
         matches = [r for q, r in right if (k == q and k is not None) or (null_safe and k is None and q is None)]
         expected += [(k, n, r) for r in matches] or ([(k, n, None)] if how == "left" else [])
-    hot = joins.hot_keys(a, "k", share=0.1, smallest=0)
+    hot = joins.hot_keys(a, "k", share=0.1)
     assert set(hot) >= {1, None}
     dealt = joins.deal_out(a, "k", hot, copies=5)
     assert dealt.where("k = 1").select("_deal").distinct().count() == 5
@@ -84,13 +84,13 @@ def test_null_keys(spark):
 
 
 def test_hot_keys_of_empty_table(spark):
-    assert joins.hot_keys(spark.createDataFrame([], "k string"), "k", smallest=0) == []
+    assert joins.hot_keys(spark.createDataFrame([], "k string"), "k") == []
     assert joins.hot_keys(spark.range(50), "id") == []
 
 
 def test_hot_keys_from_a_sample(spark):
     df = spark.range(20_000).selectExpr("if(id % 3 = 0, -1, id) AS k")
-    assert joins.hot_keys(df, "k", share=0.1, sample=2_000, smallest=0) == [-1]
+    assert joins.hot_keys(df, "k", share=0.1, sample=2_000) == [-1]
 
 
 PAYLOADS = ['{"a": {"b": 1, "c": "x"}, "l": [1, 2]}', '{"a": {"b": 2}, "z": null}', "[1, 2]", "7", "{bad", None, '{"a": 5}']
@@ -235,6 +235,25 @@ def test_epoch_layout_parses_sniffed_text(spark):
     assert [tuple(r) for r in layouts.apply_layout(df, meta, layouts.EPOCH).collect()] == [(1.0, 86400.0), (2.0, 0.0), (3.0, 0.0)]
 
 
+def test_epoch_layout_reads_the_sniffed_format(spark):
+    day = datetime.datetime(2017, 10, 12)
+    written = {"a": "10/12/2017", "b": "25/12/2017 10:30", "c": "2017", "d": "2017Q2", "e": "10:30", "f": "20171012",
+               "g": "Oct 12, 2017", "h": "12 October 2017", "i": "10/12/70", "j": "2017.10.12", "k": "2017-10"}
+    df = spark.createDataFrame([tuple(written.values())] * 12, ", ".join(f"{c} string" for c in written))
+    meta = roles.learn_meta(df.withColumn("z", F.lit(1)), ["z"], ignore=["z"])
+    assert {meta.role(c) for c in written} == {"datetime"}
+
+    def seconds(when):
+        return (when - datetime.datetime(1970, 1, 1)).total_seconds()
+
+    expected = {c: seconds(day) for c in written} | {
+        "b": seconds(datetime.datetime(2017, 12, 25, 10, 30)), "c": seconds(datetime.datetime(2017, 1, 1)),
+        "d": seconds(datetime.datetime(2017, 4, 1)), "e": 37_800.0, "i": seconds(datetime.datetime(1970, 10, 12)),
+        "k": seconds(datetime.datetime(2017, 10, 1)),
+    }
+    assert layouts.apply_layout(df, meta, layouts.EPOCH).first().asDict() == expected
+
+
 # --- prompts and completions ---------------------------------------------------------------------
 
 

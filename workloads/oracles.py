@@ -275,6 +275,10 @@ def all_oracles() -> dict[str, str]:
             JOIN nation ON c_nationkey = n_nationkey
             JOIN region ON nullif(n_regionkey, 0) IS NOT DISTINCT FROM nullif(r_regionkey, 0)""",
         "profile_columns": profile_rows("lineitem") + " UNION ALL " + profile_rows("customer"),
+        "layout_epoch_text": """SELECT o_orderkey, day AS slashed, epoch(date_trunc('year', o_orderdate)) AS "year",
+            epoch(date_trunc('minute', o_orderdate)) AS clocked, day AS digits, day AS named, day AS dotted,
+            epoch(date_trunc('month', o_orderdate)) AS "month"
+            FROM (SELECT *, epoch(date_trunc('day', o_orderdate)) AS day FROM orders)""",
         "sniff_datetime": " UNION ALL ".join(
             f"SELECT '{c}' AS \"column\", {is_date_column(sniffed, c, 'o_orderkey')} AS is_datetime" for c in sniffed_columns
         ),

@@ -221,7 +221,7 @@ def rename_strip_suffix(spark, sf_dir):
 def join_inner(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     orders = table(spark, sf_dir, "orders")
-    joined = equi_join(orders, items, "o_orderkey", hot=hot_keys(items, "o_orderkey", smallest=0))
+    joined = equi_join(orders, items, "o_orderkey", hot=hot_keys(items, "o_orderkey"))
     return joined.select("o_orderkey", "o_orderstatus", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
@@ -230,7 +230,7 @@ def join_left_dim(spark, sf_dir):
     """A dimension join with the hottest keys dealt out over several groups."""
     items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
     part = unmatched(table(spark, sf_dir, "part"), "p_size <= 10")
-    hot = hot_keys(items, "p_partkey", share=0.0007, smallest=0)
+    hot = hot_keys(items, "p_partkey", share=0.0007)
     joined = equi_join(items, part, "p_partkey", "left", hot=hot, copies=8)
     return joined.select("l_orderkey", "l_linenumber", "p_partkey", "l_suppkey", "p_name", "p_retailprice")
 
@@ -298,7 +298,18 @@ def sniff_datetime(spark, sf_dir):
         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")).alias("mixed"),
         F.col("o_totalprice").cast("string").alias("price"),
     )
-    return roles.sniff_dates(written, ["o_orderkey"])
+    return roles.sniff_dates(written, ["o_orderkey"]).select("column", "is_datetime")
+
+
+@query
+def layout_epoch_text(spark, sf_dir):
+    """Dates written as text in several forms, sniffed, and read by the form that was found."""
+    orders = table(spark, sf_dir, "orders")
+    forms = {"slashed": "MM/dd/yyyy", "year": "yyyy", "clocked": "dd/MM/yyyy HH:mm", "digits": "yyyyMMdd", "named": "d MMMM yyyy",
+             "dotted": "yyyy.MM.dd", "month": "yyyy-MM"}
+    written = orders.select("o_orderkey", *[F.date_format("o_orderdate", form).alias(name) for name, form in forms.items()])
+    meta = roles.learn_meta(written, ["o_orderkey"])
+    return layouts.apply_layout(written, meta, layouts.EPOCH)
 
 
 @query
