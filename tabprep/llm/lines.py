@@ -1,88 +1,192 @@
 """Line de-duplication with overlapping windows of three lines.
 
 The hashes of every three consecutive lines are compared over all documents; all occurrences but the first are
-removed by merging the positions they cover.
+removed by merging the positions they cover. Lines are physical lines, the sentences that they wrap to, and short pieces whose
+bounds follow from the words around them alone, so that a repeated passage shares whole pieces wherever it starts and ends.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
+from dataclasses import dataclass
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import SPACES, blocks, map_batches, rewrite_texts
+from tabprep.llm.common import SPACES, STEP, blocks, map_batches, mix, rewrite_texts
+from tabprep.llm.jaccard import _id_bits as filter_bits
+from tabprep.llm.jaccard import _id_filter as hash_filter
+from tabprep.workspace import pin
 
 SPAN = 3
-#: A long line wraps where a sentence ends.
-WRAP = re.compile(r"(?<=[.!?])(?= +\S)")
-
-
-def wrapped(text: str) -> tuple[list[str], list[int]]:
-    """Pieces that join to the text, each a line or a sentence of it, and the physical line of each."""
-    pieces, owners = [], []
-    for i, line in enumerate(text.split("\n")):
-        for k, piece in enumerate(WRAP.split(line)):
-            pieces.append(("\n" if i and not k else "") + piece)
-            owners.append(i)
-    return pieces, owners
-
-
-def windows(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
-    """Two hash halves, first piece and number of pieces of every window of three lines.
-
-    Lines are physical lines that hold a word and, so that prose is covered too, the sentences that they wrap to. A window of
-    sentences counts from ``min_words`` words on. Surrounding spaces do not matter.
+#: Of every so many words in a row one begins a piece. Which one follows from these words and the one before, so two copies of
+#: a passage agree on bounds REACH words from its ends. Passages of more than 50 words hold at least one whole window:
+#: 51 words have 51 - 2 * REACH + 1 such places, and the first bound and a window from there take REACH + SPAN * REACH of them.
+REACH = 8
+#: Characters that are a word each, as their scripts are written without spaces.
+UNSPACED = [
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0xA4CF),
+    (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF),
+    (0x20000, 0x3FFFF),
+]
+_kinds = np.zeros(0x110000, np.uint8)
+for _low, _high in UNSPACED:
+    _kinds[_low : _high + 1] = 1
+for _code in range(0x300, 0x20000):
+    if unicodedata.category(chr(_code))[0] == "M":
+        _kinds[_code] = 2  # belongs to the character before
+_kinds[list(SPACES)] = 3
+_BREAK = ord("\n")
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1) modulo 2 ** 64."""
+    key = int(base)
+    if key not in _powers or len(_powers[key]) < n:
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        _powers[key] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[key][:n]
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = STEP) -> np.ndarray:
+    """A hash of ``values[start:end]`` for each pair, the same wherever the span lies."""
+    n = len(values)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * powers(base, n), dtype=np.uint64, out=sums[1:])
+    back = powers(np.uint64(pow(int(base), -1, 1 << 64)), n + 1)
+    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
+@dataclass
+class Pieces:
+    """Words and pieces of several texts, numbered through. ``owner``: text of a piece; ``first``: its first word, and the end of all."""
+
+    word_hash: np.ndarray
+    last: np.ndarray  # index behind every word in its text
+    first: np.ndarray
+    owner: np.ndarray
+    lines: np.ndarray  # first words, of physical lines
+    sentences: np.ndarray  # and of sentences or lines
+    content: np.ndarray  # and of texts and where the words around say so
+    ends: np.ndarray  # number of words up to the end of each text
+
+
+def pieces_of(texts: list[str | None]) -> Pieces:
+    """A piece begins where a line, a sentence within a line, or a content-defined stretch of at most ``REACH`` words does."""
+    raw = ("\n".join(text or "" for text in texts) + "\n").encode("utf-32-le", "surrogatepass")
+    chars = np.frombuffer(raw, np.uint32)
+    bounds = np.cumsum([len(text or "") + 1 for text in texts])
+    kind = _kinds[chars]
+    space = kind == 3
+    before = np.concatenate([[True], space[:-1]])
+    start = ~space & before
+    if ((kind == 1) | (kind == 2)).any():
+        base = np.maximum.accumulate(np.where(kind == 2, 0, np.arange(len(chars))))
+        alone = kind[base] == 1
+        start |= (kind == 1) | (~space & (kind != 2) & np.concatenate([[False], alone[:-1]]))
+    begins = np.flatnonzero(start)
+    after = np.concatenate([space[1:], [True]]) | np.concatenate([start[1:], [True]])
+    closes = np.flatnonzero(~space & after) + 1
+    word_hash = span_hashes(chars.astype(np.uint64) + np.uint64(1), begins, closes)
+    n, of = len(begins), np.searchsorted(bounds, begins, "right")
+    ends = np.searchsorted(begins, bounds)
+
+    opens = np.ones(n, bool)  # the first word of a text
+    opens[1:] = of[1:] != of[:-1]
+    breaks = np.concatenate([[0], np.cumsum(chars == _BREAK)])
+    plain = np.concatenate([[0], np.cumsum(space & (chars != 32))])
+    line, sentence = opens.copy(), opens.copy()
+    if n:
+        line[1:] |= breaks[begins[1:]] > breaks[closes[:-1]]
+        gap = (begins[1:] > closes[:-1]) & (plain[begins[1:]] == plain[closes[:-1]])
+        sentence[1:] |= line[1:] | (gap & np.isin(chars[closes[:-1] - 1], [ord(c) for c in ".!?"]))
+    content = opens.copy()
+    if n > REACH:
+        around = mix(np.concatenate([[np.uint64(0)], word_hash[:-1]]) * STEP + word_hash)
+        lowest = np.lib.stride_tricks.sliding_window_view(around, REACH).argmin(axis=1)
+        places = np.arange(n - REACH + 1)
+        inside = ~opens[places] & (of[places] == of[places + REACH - 1])
+        content[(places + lowest)[inside]] = True
+    first = np.flatnonzero(line | sentence | content)
+    return Pieces(
+        word_hash, closes - (bounds - [len(text or "") + 1 for text in texts])[of], np.append(first, n), of[first],
+        np.flatnonzero(line), np.flatnonzero(sentence), np.flatnonzero(content), ends,
+    )
+
+
+def windows(texts: list[str | None], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hash halves, text, first piece and number of pieces of every window.
+
+    Windows are three physical lines that hold a word; three sentences or lines of ``min_words`` words or more; and at least three
+    content-defined pieces, or as many as it takes to ``min_words``. The words of a window count, not the spaces between.
     """
-    pieces, owners = wrapped(text)
-    stripped = [piece.strip(" \t\n\x0b\x0c\r") for piece in pieces]
-    filled = [i for i, piece in enumerate(stripped) if piece]
-    out = []
-
-    def add(places: list[int], parts: list[str], mark: str) -> None:
-        value = xxhash.xxh3_128_intdigest(mark + "\n".join(parts))
-        high, low = value >> 64, value & 0xFFFFFFFFFFFFFFFF
-        out.append((high - (1 << 64) if high >> 63 else high, low - (1 << 64) if low >> 63 else low,
-                    places[0], places[-1] - places[0] + 1))
-
-    counts = [len(stripped[i].encode().split()) for i in filled]
-    for k in range(len(filled) - SPAN + 1):
-        if sum(counts[k : k + SPAN]) >= min_words:
-            add(filled[k : k + SPAN], [stripped[i] for i in filled[k : k + SPAN]], "s")
-    starts: dict[int, list[int]] = {}
-    for i in filled:
-        starts.setdefault(owners[i], []).append(i)
-    if len(starts) < len(filled) or min_words:  # else physical lines are the pieces already seen
-        rows = list(starts.values())
-        texts = [" ".join(stripped[i] for i in row) for row in rows]
-        for k in range(len(rows) - SPAN + 1):
-            part = rows[k : k + SPAN]
-            add([part[0][0], part[-1][-1]], texts[k : k + SPAN], "l")
-    return out
+    found = pieces_of(texts)
+    n = len(found.word_hash)
+    starts, stops = [], []
+
+    def add(bounds: np.ndarray, least: int, lengthen: bool) -> None:
+        bounds = np.append(bounds, n)
+        k = np.arange(len(bounds) - 1)
+        stop = k + SPAN
+        if lengthen:
+            stop = np.maximum(stop, np.searchsorted(bounds, bounds[:-1] + least))
+        whole = stop < len(bounds)
+        begin, end = bounds[k[whole]], bounds[stop[whole]]
+        text = np.searchsorted(found.ends, begin, "right")
+        good = (end <= found.ends[text]) & (end - begin >= least)
+        starts.append(begin[good])
+        stops.append(end[good])
+
+    add(found.lines, 0, False)
+    add(found.sentences, min_words, False)
+    add(found.content, min_words, True)
+    both = np.unique(np.stack([np.concatenate(starts), np.concatenate(stops)]), axis=1) if n else np.zeros((2, 0), np.int64)
+    start, stop = both
+    high = span_hashes(mix(found.word_hash), start, stop)
+    low = span_hashes(mix(found.word_hash ^ _SECOND), start, stop, _SECOND)
+    piece = np.searchsorted(found.first, start)
+    text = np.searchsorted(found.ends, start, "right")
+    origin = np.searchsorted(found.owner, np.arange(len(texts)))
+    return high.view(np.int64), low.view(np.int64), text, piece - origin[text], np.searchsorted(found.first, stop) - piece
+
+
+#: Characters of the texts whose windows are made at once.
+TOGETHER = 500_000
 
 
 def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     """``doc_id, row, covered`` (start and size in pieces) of all occurrences of repeated windows but the first.
 
     ``row`` is a hash of id and text. First is the smallest document id (nulls last), then the smallest ``row``, then
-    the first position. Counting and choosing the first combine in every task before the shuffle.
+    the first position. One half of the hashes is counted first, in every task before the shuffle; only windows in a bitmap of
+    repeated ones are then written. What it lets through by chance is dropped by the exact counts.
     """
     fields = [("high", "long"), ("low", "long"), ("doc_id", "long"), ("row", "long"), ("start", "int"), ("size", "int")]
 
+    def halves(batches):
+        for (texts,) in blocks(batches, TOGETHER):
+            yield {"high": windows(texts, min_words)[0]}
+
+    seen = map_batches(docs.select("text"), [("high", "long")], halves).groupBy("high").agg(F.count("*").alias("n"))
+    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(seen.where("n > 1").select(F.col("high").alias("doc_key"))))
+
     def run(batches):
-        for rows, ids, texts in blocks(batches):
-            columns: dict[str, list] = {name: [] for name, _ in fields}
-            for row, key, text in zip(rows, ids, texts):
-                for high, low, start, size in windows(text or "", min_words):
-                    for name, value in zip(columns, (high, low, key, row, start, size)):
-                        columns[name].append(value)
-            yield columns
+        for rows, ids, texts in blocks(batches, TOGETHER):
+            high, low, text, start, size = windows(texts, min_words)
+            place = filter_bits(high)
+            some = np.flatnonzero((bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
+            yield {
+                "high": high[some], "low": low[some], "doc_id": [ids[i] for i in text[some].tolist()],
+                "row": np.array(rows, np.int64)[text[some]], "start": start[some], "size": size[some],
+            }
 
     found = map_batches(docs.select(row_key(), "doc_id", "text"), fields, run)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
-    found = found.select("high", "low", place.alias("place"), "size")
+    found = pin(found.select("high", "low", place.alias("place"), "size"), "line-windows")
     first = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
     later = found.join(first.drop("n"), ["high", "low"]).where(~F.col("place").eqNullSafe(F.col("first")))
     return later.groupBy("place.doc_id", "place.row").agg(
@@ -95,16 +199,29 @@ def row_key():
     return F.xxhash64("doc_id", "text").alias("row")
 
 
-def cut(text: str, covered: list[dict]) -> tuple[str, int]:
-    """The text without the covered pieces, and the number of pieces removed."""
-    pieces, _ = wrapped(text)
-    steps = np.zeros(len(pieces) + 1, np.int64)
-    for span in covered:
-        steps[span["start"]] += 1
-        steps[span["start"] + span["size"]] -= 1
-    gone = np.cumsum(steps[:-1]) > 0
-    kept = "".join(piece for piece, g in zip(pieces, gone) if not g)
-    return (kept.strip(SPACES.decode()) if gone[0] or gone[-1] else kept), int(gone.sum())
+def cut(texts: list[str | None], covered: list[list[dict] | None]) -> list[tuple[str | None, int, int]]:
+    """For every text: without the covered pieces, the number of its pieces, and of those removed.
+
+    A piece includes the spaces before it. A text without words is one piece.
+    """
+    found = pieces_of(texts)
+    origin = np.searchsorted(found.owner, np.arange(len(texts) + 1))
+    out = []
+    for k, (text, spans) in enumerate(zip(texts, covered)):
+        n = int(origin[k + 1] - origin[k])
+        if not spans or not n:
+            out.append((text, 0 if text is None else max(n, 1), 0))
+            continue
+        steps = np.zeros(n + 1, np.int64)
+        for span in spans:
+            steps[span["start"]] += 1
+            steps[span["start"] + span["size"]] -= 1
+        gone = np.cumsum(steps[:-1]) > 0
+        stops = [0, *found.last[found.first[origin[k] + 1 : origin[k + 1] + 1] - 1].tolist()]
+        stops[-1] = len(text)
+        kept = "".join(text[a:b] for a, b, g in zip(stops, stops[1:], gone) if not g)
+        out.append((kept.strip(SPACES.decode()) if gone[0] or gone[-1] else kept, n, int(gone.sum())))
+    return out
 
 
 def with_cuts(docs: DataFrame, min_words: int) -> DataFrame:
@@ -125,29 +242,29 @@ def cut_documents(docs: DataFrame, min_words: int = 12) -> DataFrame:
     """
 
     def change(covered, texts):
-        new = [cut(t, c)[0] if c and t else t for c, t in zip(covered, texts)]
+        some = [i for i, spans in enumerate(covered) if spans]
+        new = list(texts)
+        for i, (text, _, _) in zip(some, cut([texts[i] for i in some], [covered[i] for i in some])):
+            new[i] = text
         return [a == b or bool(a.strip()) for a, b in zip(new, texts)], new
 
     return rewrite_texts(with_cuts(docs, min_words), docs.schema, change, "__covered")
 
 
 def deduplicate_lines(docs: DataFrame, min_words: int = 12) -> DataFrame:
-    """``doc_id, n_lines, n_removed, text`` of every row of ``docs``; lines are pieces as in ``wrapped``.
+    """``doc_id, n_lines, n_removed, text`` of every row of ``docs``; lines are pieces as in ``pieces_of``.
 
-    Later occurrences of repeated three-line windows are removed, within a document too; a single repeated line stays.
-    Null texts stay null with 0 lines; empty texts and texts of fewer than three lines are never changed. Rows equal in id
+    Later occurrences of repeated windows of three lines, sentences or pieces are removed, within a document too; a single repeated
+    line stays. Of a passage of over 50 words that stands in an earlier text too, no such run stays.
+    Null texts stay null with 0 lines; texts without words have one line; empty texts and texts of fewer than three pieces are never changed. Rows equal in id
     and text count as one row and are cut alike. Other columns are ignored. Documents meet their cuts in one join by a hash of the row.
     """
     joined = with_cuts(docs.select("doc_id", "text"), min_words).select("doc_id", "__covered", "text")
     fields = [("doc_id", "long"), ("n_lines", "long"), ("n_removed", "long"), ("text", "string")]
 
     def run(batches):
-        for ids, spans, texts in blocks(batches):
-            rows = []
-            for key, own_spans, text in zip(ids, spans, texts):
-                n = 0 if text is None else len(wrapped(text)[0])
-                new, removed = cut(text, own_spans) if own_spans and text else (text, 0)
-                rows.append((key, n, removed, new))
+        for ids, spans, texts in blocks(batches, TOGETHER):
+            rows = [(key, n, gone, text) for key, (text, n, gone) in zip(ids, cut(texts, spans))]
             yield {name: column for (name, _), column in zip(fields, zip(*rows))}
 
     return map_batches(joined, fields, run)

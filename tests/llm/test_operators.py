@@ -265,6 +265,23 @@ def test_repeated_windows_are_cut(spark):
     assert all(kept[key] == rows[key - 1][1] for key in (6, 7, 8, 9))
 
 
+def test_repeated_passages_are_cut_wherever_they_start(spark):
+    def words(name, n):
+        return " ".join(f"{name}{i * i % 97}x{i}" for i in range(n))
+
+    sentences = "Here is a first sentence of some length. A second one follows with more words. Then a third one ends it all."
+    passage, han = words("p", 51), "".join(chr(0x4E00 + i * 37 % 5003) for i in range(51))
+    rows = [(1, f"Words before {sentences} Words after it here."), (2, f"Something else. {sentences} And a tail.")]
+    for k in range(12):  # mid-sentence, at any place of a line
+        rows += [(10 + k, f"{words(f'a{k}', k)} {passage} {words(f'b{k}', 12 - k)}")]
+    rows += [(30, f"文{han}語"), (31, f"明日{han}。今"), (32, "x " + passage.replace(" ", "\n")), (33, words("short", 60))]
+    found = lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = {row.doc_id: row.text for row in found}
+    assert kept[1] == rows[0][1] and kept[10] == rows[2][1] and kept[30] == rows[-4][1] and kept[33] == rows[-1][1]
+    assert "second one follows" not in kept[2] and kept[2].endswith("And a tail.")
+    assert all(passage not in " ".join(kept[k].split()) for k in (*range(11, 22), 32)) and han not in kept[31]
+
+
 def test_hash_array_and_components(spark):
     keys = np.random.default_rng(0).integers(0, 1 << 60, 5_000).astype(np.uint64)
     array = HashArray(np.unique(keys))
