@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import Memory, blocks, labelled_sample, map_batches, remainder
+from tabprep.llm.common import Memory, blocks, labelled_sample, map_batches, remainder, rewrite_texts
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STARTS = (3, 4, 5, 6)
@@ -164,7 +164,13 @@ def toxicity_scores(
     return scored.withColumn("held_out", remainder("doc_id", divisor) == held)
 
 
-def toxic_ids(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``rejected_id`` of documents with a toxic verdict on any of their rows, once; learned from all labels."""
-    scores = toxicity_scores(docs, labels, threshold, divisor=1, held=-1)
-    return scores.where("predicted = 1").select(F.col("doc_id").alias("rejected_id")).distinct()
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs``, all columns, without rows whose own text gets a toxic verdict; learned from all labels. Ids decide nothing."""
+    model = train(labelled_sample(docs, labels, "toxic", 8_000, 1, -1))
+
+    def change(texts):
+        if isinstance(model, float):
+            return [model < threshold] * len(texts), texts
+        return [bool(1 - model.grades(text)[0] < threshold) for text in texts], texts
+
+    return rewrite_texts(docs, docs.schema, change)

@@ -36,6 +36,31 @@ def test_planted_cases(spark):
     assert set(texts) == {-5, -4, -3, -2} and item not in texts[-3] and texts[-2] == rows[3][1]
 
 
+def test_rows_are_judged_by_their_own_text(spark, monkeypatch):
+    def prose(name):
+        return " ".join(f"{name}{i}" for i in range(60))
+
+    rows = [
+        (None, prose("a")), (None, prose("b")), (None, prose("b") + " end"), (None, prose("c")), (None, prose("c")),
+        (1, prose("c")), (1, prose("d")), (2, prose("d")), (2, prose("e")), (3, prose("f")), (3, prose("f")), (None, None), (4, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, (r.text or "")[:1]) for r in near if r.text is None or r.text[0] != "b"), key=str) == sorted(
+        [(None, "a"), (1, "c"), (1, "d"), (2, "e"), (3, "f"), (None, ""), (4, "")], key=str
+    )
+    assert [r.doc_id for r in near if (r.text or "").startswith("b")] == [None]
+
+    bad, good = (" ".join(f"{name}{i}" for i in range(8)) for name in ("bad", "good"))
+    labelled = [(k, f"{bad if k % 2 else good} number {k}") for k in range(200)]
+    odd = [(None, bad), (None, good), (200, bad), (200, good)]
+    docs = spark.createDataFrame(labelled + odd, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: labels)
+    clean = corpus_pipeline.drop_toxic(spark, docs, SF).collect()
+    assert [tuple(r) for r in clean if r.text in (bad, good)] == [(None, good), (200, good)]
+
+
 def test_registration(spark):
     assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in all_queries()}
     assert set(all_queries()) <= set(driver.queries()) and "pipeline" in driver.queries()
