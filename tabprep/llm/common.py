@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tabprep.workspace import pin
+from tabprep.workspace import discard, pin
 
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
@@ -39,7 +39,7 @@ def remainder(id_col: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def _find_package(spark: SparkSession) -> None:
+def find_package(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where the driver has it.
 
     On a cluster it is installed on the executors or sent with ``--py-files``.
@@ -52,7 +52,7 @@ def _find_package(spark: SparkSession) -> None:
 
 def map_batches(df: DataFrame, fields: list[tuple[str, str]], function: Callable[[Iterator[pa.RecordBatch]], Iterable]):
     """``mapInArrow`` with a function from batches to dictionaries of columns."""
-    _find_package(df.sparkSession)
+    find_package(df.sparkSession)
     schema = pa.schema([(name, ARROW[kind]) for name, kind in fields])
 
     def run(batches):
@@ -86,6 +86,32 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+#: Longest table of powers that a worker keeps (2 MB each).
+_KEPT_POWERS = 1 << 18
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1) modulo 2 ** 64."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, np.uint64)
+        known[0] = 1
+        known = np.cumprod(known, dtype=np.uint64)
+        if n <= _KEPT_POWERS:
+            _powers[base] = known
+    return known[:n]
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = STEP) -> np.ndarray:
+    """A hash of ``values[start:end]`` for each pair, the same wherever the span lies."""
+    n = len(values)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * powers(int(base), n), dtype=np.uint64, out=sums[1:])
+    back = powers(pow(int(base), -1, 1 << 64), n + 1)
+    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
 class Memory(dict):
     """What a function gives for short frequent keys; the older half goes when both halves are full."""
 
@@ -109,7 +135,7 @@ def rewrite_texts(docs: DataFrame, schema: StructType, change: Callable, *needed
 
     ``change`` takes lists of the ``needed`` columns and the texts, and gives lists of which rows stay and of new texts.
     """
-    _find_package(docs.sparkSession)
+    find_package(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -164,25 +190,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, d
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """``node, component`` of an undirected graph given as rows ``a, b``; component is the smallest node.
 
-    Large-star and small-star steps in turn: each is a grouping by node, and the graph is written to the
-    shared folder after every round. Edges are never gathered in one task: stars use the minimum per node.
+    Large-star and small-star steps in turn. The smallest neighbour of every node is an aggregate with map-side minimum, written
+    before it is joined back to the edges: both sides of the join are then plain tables, so that adaptive execution splits
+    the edges of a hot node over tasks. Every round is written to the shared folder and the one before deleted.
     """
     edges = pin(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
     )
-    while True:
+    before = None
+    while (now := _fingerprint(edges)) != before:
+        before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v"))
+        low = pin(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low")
+        large = pin(
+            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large"
+        )
+        least = pin(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            least.select("u", F.col("m").alias("v"))
         )
-        new = pin(small.where("u <> v").distinct(), name)
-        same = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
+        new = pin(small.distinct(), name)
+        discard(edges, low, large, least)
         edges = new
-        if same:
-            break
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Number of edges and two sums over their hashes: equal for equal sets of distinct edges."""
+    hashed = edges.select(F.xxhash64("u", "v").alias("x"), F.hash("v", "u").cast("long").alias("y"))
+    row = hashed.agg(F.count("*"), F.bit_xor("x"), F.sum(F.shiftright("x", 20)), F.sum("y")).first()
+    return tuple(row)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import SPACES, STEP, blocks, map_batches, mix, rewrite_texts
+from tabprep.llm.common import SPACES, STEP, blocks, map_batches, mix, rewrite_texts, span_hashes
 from tabprep.llm.jaccard import _id_bits as filter_bits
 from tabprep.llm.jaccard import _id_filter as hash_filter
 from tabprep.workspace import pin
@@ -39,26 +39,6 @@ for _code in range(0x300, 0x20000):
 _kinds[list(SPACES)] = 3
 _BREAK = ord("\n")
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 to base ** (n - 1) modulo 2 ** 64."""
-    key = int(base)
-    if key not in _powers or len(_powers[key]) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _powers[key] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[key][:n]
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = STEP) -> np.ndarray:
-    """A hash of ``values[start:end]`` for each pair, the same wherever the span lies."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(base, n), dtype=np.uint64, out=sums[1:])
-    back = powers(np.uint64(pow(int(base), -1, 1 << 64)), n + 1)
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
 @dataclass

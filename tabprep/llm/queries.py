@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabprep.llm import decontaminate, jaccard, language, lines, personal, pieces, ppm, quality, rules, toxicity
+from tabprep.llm import (
+    decontaminate, infill, jaccard, language, lines, periodic, personal, pieces, ppm, quality, rules, simhash, toxicity,
+)
 from tabprep.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +73,22 @@ def op9_line_dedup(spark, sf_dir):
 @query
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_simhash(spark, sf_dir):
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), periodic.planted)
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2("runs", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    return infill.fill_in_middle(table(spark, sf_dir, "documents"))
