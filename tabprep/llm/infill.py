@@ -12,13 +12,14 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabprep.llm.common import find_package
 
 #: Code points of a piece.
 CHUNK = 4_096
-#: Partitions of the sort for each input partition.
-SPREAD = 4
+#: Bytes of text that a partition of the sort gets on average.
+SORTED_BYTES = 16 << 20
 # The marks, and where each part goes in either form.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 FORMS = {"psm": (PREFIX, SUFFIX, MIDDLE), "spm": (SUFFIX, PREFIX, MIDDLE)}
@@ -133,14 +134,15 @@ def fill_in_middle(docs: DataFrame, texts: bool = False) -> DataFrame:
     With ``texts`` the last two are the texts ``output, restored`` themselves. Form and cuts follow from a hash of the id. Null texts
     count as empty; empty texts and texts that hold a mark stay plain, with null counts. A row without an id is cut by the hash of
     the empty id; repeated rows each give a row; other columns are ignored. A document key is made from contents and input
-    partition, so a task that is run again gives the same pieces.
+    partition, so a task that is run again gives the same pieces. The size of all texts decides in how many partitions they are sorted.
     """
     sink = Whole if texts else hashlib.sha256
     names = ("output", "restored") if texts else ("output_sha256", "restored_sha256")
     find_package(docs.sparkSession)
-    rows = docs.select(docs["doc_id"].cast("long"), "text").rdd
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), SPREAD * rows.getNumPartitions())
-    pieces = rows.mapPartitionsWithIndex(emit).repartitionAndSortWithinPartitions(tasks, document_of)
+    rows = docs.select(docs["doc_id"].cast("long"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SORTED_BYTES))
+    pieces = rows.rdd.mapPartitionsWithIndex(emit).repartitionAndSortWithinPartitions(tasks, document_of)
     output = pieces.mapPartitions(lambda some: read_outputs(some, sink), preservesPartitioning=True)
     restored = output.repartitionAndSortWithinPartitions(tasks, document_of).mapPartitions(lambda some: read_originals(some, sink))
     schema = f"doc_id long, n long, form string, prefix_chars long, middle_chars long, {names[0]} string, {names[1]} string"
