@@ -11,7 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _DIGITS = 13  # hexadecimal digits, i.e. 52 bits, which a double holds exactly
-_SCALE = float(16**_DIGITS)
+SHUFFLE_END = 16**_DIGITS  # shuffle numbers are below
+_SCALE = float(SHUFFLE_END)
 
 
 def _digest(salt: str, key: Column) -> Column:

@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprep.functions.draws import shuffle_number
+from tabprep.functions.draws import SHUFFLE_END, shuffle_number
 from tabprep.functions.numbers import FLOATING, missing_if_nan
 from tabprep.operators.columns import col, require_columns
 from tabprep.workspace import pin
 
+#: Metadata key of a column of whole numbers that are uniform from 0 up to the given end.
+UNIFORM = "uniform_below"
 _OFFSET_BITS = 33  # monotonically_increasing_id keeps the in-partition offset in its low 33 bits
 
 
@@ -35,8 +37,8 @@ def chronological(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def with_shuffle_key(df: DataFrame, key: str, seed: int = 42, name: str = "_shuffle") -> DataFrame:
-    """Add the number that puts rows in a seeded random order; order by ``[name, key]``."""
-    return df.withColumn(name, shuffle_number(seed, col(key)))
+    """Add the number that puts rows in a seeded random order; order by ``[name, key]``. Its metadata tell that it is uniform."""
+    return df.withColumn(name, shuffle_number(seed, col(key)).alias(name, metadata={UNIFORM: SHUFFLE_END}))
 
 
 def with_source_order(df: DataFrame, stage: bool = True) -> tuple[DataFrame, list[str]]:
@@ -77,8 +79,8 @@ def with_row_number(df: DataFrame, order: list[str], name: str = "_row") -> Data
     return numbered.select(*[col(c) for c in df.columns], (F.col("_offset") + F.col("_start")).alias(name))
 
 
-def precedes(df: DataFrame, order: list[str], key: dict) -> Column:
-    """True for rows that come before ``key`` in ``order``; NULL or false for the others.
+def precedes(df: DataFrame, order: list[str], key: dict, equal: bool = False) -> Column:
+    """True for rows that come before ``key`` in ``order``, or ``equal`` it; NULL or false for the others.
 
     Written with plain comparisons, so that as a filter it reaches the scan.
     """
@@ -90,11 +92,11 @@ def precedes(df: DataFrame, order: list[str], key: dict) -> Column:
             return column.isNotNull() | later
         return (column < wanted) | ((column == wanted) & later)
 
-    return reduce(step, reversed(order), F.lit(False))
+    return reduce(step, reversed(order), F.lit(equal))
 
 
-def reaches(df: DataFrame, order: list[str], key: dict) -> Column:
-    """True for ``key`` itself and the rows after it: the complement of ``precedes``."""
+def reaches(df: DataFrame, order: list[str], key: dict, equal: bool = True) -> Column:
+    """True for ``key`` itself, if ``equal``, and the rows after it: the complement of ``precedes``."""
 
     def step(later: Column, name: str) -> Column:
         column, wanted = _compared(df, name, key[name])
@@ -102,7 +104,12 @@ def reaches(df: DataFrame, order: list[str], key: dict) -> Column:
             return column.isNull() & later
         return (column > wanted) | column.isNull() | ((column == wanted) & later)
 
-    return reduce(step, reversed(order), F.lit(True))
+    return reduce(step, reversed(order), F.lit(equal))
+
+
+def comparable(value: Column, kind: T.DataType) -> Column:
+    """A column as the kind of value that keys hold: timestamps with a zone as microseconds, so that no session zone matters."""
+    return F.unix_micros(value) if isinstance(kind, T.TimestampType) else value
 
 
 def _compared(df: DataFrame, name: str, value) -> tuple[Column, Column | None]:
@@ -113,4 +120,6 @@ def typed_literal(value, kind: T.DataType) -> Column:
     """A literal that keeps zone-less timestamps zone-less, so that it can reach the scan."""
     if isinstance(kind, T.TimestampNTZType):
         return F.lit(str(value)).cast(kind)
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(F.lit(value)) if isinstance(value, int) else F.lit(value)
     return F.lit(value).cast(kind)

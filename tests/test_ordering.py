@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tabprep.operators import splits
+from tabprep.operators import ranks, splits
 from tabprep.operators.ordering import chronological, precedes, reaches, with_row_number, with_shuffle_key
 from tabprep.operators.ranks import rows_at
 
@@ -63,6 +63,52 @@ def test_rows_at_is_exact_whatever_the_sample(spark, monkeypatch, sample):
     assert {p: (k["v"], k["id"]) for p, k in found.items()} == {p: sorted(rows)[p] for p in (3, 450, 880)}
 
 
+@pytest.fixture
+def scans(monkeypatch):
+    """Counts the passes of the search over the table."""
+    count = []
+    for name in ("_draw", "_narrow", "_take"):
+        real = getattr(ranks, name)
+
+        def counted(*args, _real=real):
+            count.append(_real.__name__)
+            return _real(*args)
+
+        monkeypatch.setattr(ranks, name, counted)
+    return count
+
+
+@pytest.mark.parametrize("prefix", [72, 1_000])
+def test_texts_with_a_long_common_beginning(spark, scans, prefix):
+    texts = ["x" * prefix + f"{i * 7919 % 40_000:05d}" for i in range(40_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "v string").repartition(4)
+    found = rows_at(df, ["v"], [9, 20_000], 40_000, accuracy=2_000)
+    assert {p: k["v"] for p, k in found.items()} == {p: sorted(texts)[p] for p in (9, 20_000)}
+    assert len(scans) <= 6 + 2 * (prefix > 128)
+
+
+def test_uniform_orders_take_two_scans(spark, scans):
+    ids = with_shuffle_key(spark.range(60_000), "id", 42)
+    ordered = sorted(ids.collect(), key=lambda r: r["_shuffle"])
+    found = rows_at(ids, ["_shuffle", "id"], [45_000, 51_000], 60_000, accuracy=20_000)
+    assert {p: k["id"] for p, k in found.items()} == {p: ordered[p]["id"] for p in (45_000, 51_000)}
+    assert scans == ["_narrow", "_draw"]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "decimal(20,3)", "boolean", "binary", "float"])
+def test_rows_at_orders_every_kind(spark, kind):
+    made = {
+        "timestamp": "timestamp_micros(id * 1000000007 % 999983 * 1000003)", "decimal(20,3)": "CAST(id * 7919 % 1009 / 8.0 AS decimal(20,3))",
+        "boolean": "id * 7919 % 1009 > 700", "binary": "CAST(hex(id * 7919 % 1009) AS binary)", "float": "CAST(id * 7919 % 1009 / 7.0 AS float)",
+    }[kind]
+    df = spark.range(900).selectExpr(f"if(id % 50 = 3, NULL, {made}) AS v", "id").repartition(3)
+    ordered = [r["id"] for r in df.orderBy(F.col("v").asc_nulls_last(), "id").collect()]
+    found = rows_at(df, ["v", "id"], [0, 400, 890], 900, sort_limit=20, accuracy=60)
+    assert {p: k["id"] for p, k in found.items()} == {p: ordered[p] for p in (0, 400, 890)}
+    cuts = splits.find_cuts(df, ["v", "id"], splits.contiguous_zones(900), sort_limit=20, accuracy=60)
+    assert [r["id"] for r in cuts.rows(df, "val").orderBy(F.col("v").asc_nulls_last(), "id").collect()] == ordered[675:765]
+
+
 def test_rows_at_rejects_what_it_cannot_order(spark):
     ids = spark.range(50)
     with pytest.raises(ValueError):
