@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,7 +25,7 @@ ARROW = {
 #: Bytes that separate words: space and \x09-\x0D. ``bytes.split()`` splits at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
 
-#: Documents of one batch are worked on in blocks of about this many characters.
+#: Documents of one batch are worked on in blocks of about this many bytes.
 BLOCK_CHARS = 2_000_000
 
 #: Multiplier of rolling hashes.
@@ -64,18 +66,22 @@ def map_batches(df: DataFrame, fields: list[tuple[str, str]], function: Callable
     return df.mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind in fields))
 
 
+def slices(batch: pa.RecordBatch, texts: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, each cut after the row with which the texts of a column reach ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        stop = min(int(np.searchsorted(ends, done + size)) + 1, batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def blocks(batches: Iterable[pa.RecordBatch], size: int = BLOCK_CHARS) -> Iterator[list[list]]:
-    """Rows of the batches as lists of columns, cut after about ``size`` characters of the last column."""
+    """Rows of the batches as lists of columns, cut after about ``size`` bytes of the last column."""
     for batch in batches:
-        columns = [column.to_pylist() for column in batch.columns]
-        start = total = 0
-        for i, text in enumerate(columns[-1]):
-            total += len(text or "")
-            if total >= size:
-                yield [column[start : i + 1] for column in columns]
-                start, total = i + 1, 0
-        if start < batch.num_rows:
-            yield [column[start:] for column in columns]
+        for part in slices(batch, batch.num_columns - 1, size):
+            yield [column.to_pylist() for column in part.columns]
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -130,19 +136,22 @@ class Memory(dict):
         return found
 
 
-def rewrite_texts(docs: DataFrame, schema: StructType, change: Callable, *needed: str) -> DataFrame:
-    """The columns of ``schema`` of ``docs`` with new texts, batch by batch.
+def rewrite_texts(
+    docs: DataFrame, schema: StructType, change: Callable, *needed: str, size: int = BLOCK_CHARS
+) -> DataFrame:
+    """The columns of ``schema`` of ``docs`` with new texts, in blocks of about ``size`` bytes of text.
 
     ``change`` takes lists of the ``needed`` columns and the texts, and gives lists of which rows stay and of new texts.
     """
     find_package(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            kept, texts = change(*[batch.column(name).to_pylist() for name in (*needed, "text")])
-            place = batch.schema.get_field_index("text")
-            batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
-            yield batch.select(schema.names).filter(pa.array(kept, pa.bool_()))
+        for whole in batches:
+            place = whole.schema.get_field_index("text")
+            for batch in slices(whole, place, size):
+                kept, texts = change(*[batch.column(name).to_pylist() for name in (*needed, "text")])
+                batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+                yield batch.select(schema.names).filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
 
@@ -173,6 +182,21 @@ class HashArray:
         return place, self.hashes[place] == wanted
 
 
+_CHANCES = 1 << 40
+
+
+def hash_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """At most ``rows`` rows: all of a smaller table, else those with the hash of ``columns`` below a cut that follows from the count.
+
+    The cut lies four standard deviations low, so that the limit behind it takes nothing away but from tables of many equal rows.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    cut = int(max(rows - 4 * math.sqrt(rows), 1) / total * _CHANCES)
+    return df.where(F.pmod(F.xxhash64(*columns), F.lit(_CHANCES)) < cut).limit(rows)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, divisor: int, held: int) -> DataFrame:
     """``doc_id, label, text`` of at most ``rows`` labelled training documents, chosen by the hash of the id.
 
@@ -182,9 +206,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, d
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
         .where(remainder("doc_id", divisor) != held)
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
+    ids = F.broadcast(hash_sample(ids, rows, "doc_id"))
+    return docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "label", "text")
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:

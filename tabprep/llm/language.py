@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import HashArray, blocks, map_batches, remainder
+from tabprep.llm.common import hash_sample, HashArray, blocks, map_batches, remainder
 from tabprep.workspace import pin
 
 ORDER = 4  # n-grams of 16-bit units, packed into 64 bits
@@ -226,7 +226,7 @@ def fit(
         tables[lang] = keys[place], part["n"].to_numpy()[place]
     models = estimate(tables, order)
     if len(models.languages) > 1:
-        ids = training.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
+        ids = hash_sample(training.select("doc_id"), calibration_rows, "doc_id")
 
         def margins(batches):
             for langs, texts in blocks(batches):

@@ -11,12 +11,11 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabprep.llm.common import SPACES, STEP, blocks, map_batches, mix, rewrite_texts, span_hashes
-from tabprep.llm.jaccard import _id_bits as filter_bits
-from tabprep.llm.jaccard import _id_filter as hash_filter
 from tabprep.workspace import pin
 
 SPAN = 3
@@ -99,7 +98,7 @@ def pieces_of(texts: list[str | None]) -> Pieces:
 
 
 def windows(texts: list[str | None], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two hash halves, text, first piece and number of pieces of every window.
+    """A hash and check bits, text, first piece and number of pieces of every window, by text and first piece.
 
     Windows are three physical lines that hold a word; three sentences or lines of ``min_words`` words or more; and at least three
     content-defined pieces, or as many as it takes to ``min_words``. The words of a window count, not the spaces between.
@@ -124,62 +123,107 @@ def windows(texts: list[str | None], min_words: int) -> tuple[np.ndarray, np.nda
     add(found.lines, 0, False)
     add(found.sentences, min_words, False)
     add(found.content, min_words, True)
-    both = np.unique(np.stack([np.concatenate(starts), np.concatenate(stops)]), axis=1) if n else np.zeros((2, 0), np.int64)
-    start, stop = both
-    high = span_hashes(mix(found.word_hash), start, stop)
-    low = span_hashes(mix(found.word_hash ^ _SECOND), start, stop, _SECOND)
+    both = np.unique(np.concatenate(starts) * (n + 1) + np.concatenate(stops)) if n else np.zeros(0, np.int64)
+    start, stop = both // (n + 1), both % (n + 1)
+    values = mix(found.word_hash)
+    whole = span_hashes(values, start, stop)
+    check = span_hashes(values, start, stop, _SECOND) >> np.uint64(64 - CHECK_BITS)
     piece = np.searchsorted(found.first, start)
     text = np.searchsorted(found.ends, start, "right")
     origin = np.searchsorted(found.owner, np.arange(len(texts)))
-    return high.view(np.int64), low.view(np.int64), text, piece - origin[text], np.searchsorted(found.first, stop) - piece
+    return (
+        whole.view(np.int64), check.astype(np.int64), text, piece - origin[text], np.searchsorted(found.first, stop) - piece,
+    )
 
 
-#: Characters of the texts whose windows are made at once.
+#: Bytes of the texts whose windows are made at once, and windows that a task holds before it sends the first of each.
 TOGETHER = 500_000
+HELD = 2_000_000
+#: Bits beside the 64 of the hash by which windows are told apart.
+CHECK_BITS = 16
 
 
-def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, row, covered`` (start and size in pieces) of all occurrences of repeated windows but the first.
+def row_key() -> list[Column]:
+    """Two numbers that name a row, ``__id, __tag``: its id and 31 bits of a hash of id and text, or 64 bits of that hash where there is no id.
 
-    ``row`` is a hash of id and text. First is the smallest document id (nulls last), then the smallest ``row``, then
-    the first position. One half of the hashes is counted first, in every task before the shuffle; only windows in a bitmap of
-    repeated ones are then written. What it lets through by chance is dropped by the exact counts.
+    Rows equal in both are one row to this operator and are cut alike. The tag's last bit says that there is no id.
     """
-    fields = [("high", "long"), ("low", "long"), ("doc_id", "long"), ("row", "long"), ("start", "int"), ("size", "int")]
+    whole = F.xxhash64("doc_id", "text")
+    tag = F.shiftleft(whole.bitwiseAND((1 << 31) - 1), 1) + F.col("doc_id").isNull().cast("long")
+    return [F.coalesce(F.col("doc_id").cast("long"), whole).alias("__id"), tag.alias("__tag")]
+
+
+class Held:
+    """Windows of one task. Of equal ones only the first is sent on; the places of the others are known to be later ones."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, ids: list[int], tags: list[int], found: tuple[np.ndarray, ...]) -> None:
+        whole, check, text, start, size = found
+        ids, tags = np.array(ids, np.int64), np.array(tags, np.int64)
+        self.parts.append((whole, check, ids[text], tags[text], start, size))
+        self.size += len(whole)
+
+    def take(self) -> dict[str, np.ndarray]:
+        """Columns of the rows to send: first windows by hash, and merged stretches of later ones by document (``check`` -1)."""
+        whole, check, ids, tags, start, size = (np.concatenate(columns) for columns in zip(*self.parts))
+        self.parts, self.size = [], 0
+        document = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
+        place = np.lexsort((tags[document], ids[document], tags[document] & 1))  # documents in their order
+        if (np.diff(place) < 0).any():
+            sizes = np.diff(np.append(document, len(ids)))[place]
+            order = np.repeat(document[place] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))
+            whole, check, ids, tags, start, size = (column[order] for column in (whole, check, ids, tags, start, size))
+        order = np.argsort(whole, kind="stable")
+        opens = np.ones(len(order), bool)
+        opens[1:] = (whole[order[1:]] != whole[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+        first = order[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))]
+        same = (ids[order] == ids[first]) & (tags[order] == tags[first]) & (start[order] == start[first])
+        later = np.sort(order[~same])  # copies of a whole row stand at the same place and take nothing from each other
+        lead = order[opens]
+        group = np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))[later]
+        ends = np.maximum.accumulate((group << 32) + start[later] + size[later]) if len(later) else later
+        breaks = np.ones(len(later), bool)
+        breaks[1:] = (group[1:] << 32) + start[later[1:]] > ends[:-1]
+        begin = np.flatnonzero(breaks)
+        stop = ends[np.append(begin[1:], len(later)) - 1] - (group[begin] << 32) if len(later) else ends
+        at = later[begin]
+        return {
+            "hash": np.concatenate([whole[lead], mix(ids[at].view(np.uint64)).view(np.int64)]),
+            "check": np.concatenate([check[lead], np.full(len(at), -1)]),
+            "id": np.concatenate([ids[lead], ids[at]]), "tag": np.concatenate([tags[lead], tags[at]]),
+            "span": np.concatenate([start[lead] << 32 | size[lead], start[at] << 32 | (stop - start[at])]),
+        }
 
-    def halves(batches):
-        for (texts,) in blocks(batches, TOGETHER):
-            yield {"high": windows(texts, min_words)[0]}
 
-    seen = map_batches(docs.select("text"), [("high", "long")], halves).groupBy("high").agg(F.count("*").alias("n"))
-    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(seen.where("n > 1").select(F.col("high").alias("doc_key"))))
+def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """``__id, __tag, __covered`` of every row with later occurrences of repeated windows: spans of start << 32 | size, in pieces.
+
+    The first occurrence is that of the smallest document id (rows without one last), then the smallest tag, then the
+    first position. Every task sends one row of a window however often it met it, so a window that a third of all documents
+    share reaches no more rows than there are tasks; the places of its other occurrences are merged and sent by document.
+    """
+    fields = [("hash", "long"), ("check", "int"), ("id", "long"), ("tag", "long"), ("span", "long")]
 
     def run(batches):
-        for rows, ids, texts in blocks(batches, TOGETHER):
-            high, low, text, start, size = windows(texts, min_words)
-            place = filter_bits(high)
-            some = np.flatnonzero((bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
-            yield {
-                "high": high[some], "low": low[some], "doc_id": [ids[i] for i in text[some].tolist()],
-                "row": np.array(rows, np.int64)[text[some]], "start": start[some], "size": size[some],
-            }
-
-    found = map_batches(docs.select(row_key(), "doc_id", "text"), fields, run)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
-    found = pin(found.select("high", "low", place.alias("place"), "size"), "line-windows")
-    first = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
-    later = found.join(first.drop("n"), ["high", "low"]).where(~F.col("place").eqNullSafe(F.col("first")))
-    return later.groupBy("place.doc_id", "place.row").agg(
-        F.collect_set(F.struct("place.start", "size")).alias("covered")
-    )
-
-
-def row_key():
-    """A hash of id and text: rows equal in both are one row to this operator and are cut alike."""
-    return F.xxhash64("doc_id", "text").alias("row")
-
-
-def cut(texts: list[str | None], covered: list[list[dict] | None]) -> list[tuple[str | None, int, int]]:
+        held = Held()
+        for ids, tags, texts in blocks(batches, TOGETHER):
+            held.add(ids, tags, windows(texts, min_words))
+            if held.size >= HELD:
+                yield held.take()
+        if held.size:
+            yield held.take()
+
+    found = map_batches(docs.select(*row_key(), "text"), fields, run)
+    place = [F.col("tag").bitwiseAND(1), "id", "tag", F.shiftright("span", 32)]
+    ranked = found.withColumn("rank", F.rank().over(W.partitionBy("hash", "check").orderBy(*place)))
+    later = ranked.where("check < 0 OR rank > 1")
+    return later.groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_list("span").alias("__covered"))
+
+
+def cut(texts: list[str | None], covered: list[list[int] | None]) -> list[tuple[str | None, int, int]]:
     """For every text: without the covered pieces, the number of its pieces, and of those removed.
 
     A piece includes the spaces before it. A text without words is one piece.
@@ -194,8 +238,8 @@ def cut(texts: list[str | None], covered: list[list[dict] | None]) -> list[tuple
             continue
         steps = np.zeros(n + 1, np.int64)
         for span in spans:
-            steps[span["start"]] += 1
-            steps[span["start"] + span["size"]] -= 1
+            steps[span >> 32] += 1
+            steps[(span >> 32) + (span & 0xFFFFFFFF)] -= 1
         gone = np.cumsum(steps[:-1]) > 0
         stops = [0, *found.last[found.first[origin[k] + 1 : origin[k + 1] + 1] - 1].tolist()]
         stops[-1] = len(text)
@@ -204,15 +248,18 @@ def cut(texts: list[str | None], covered: list[list[dict] | None]) -> list[tuple
     return out
 
 
-def with_cuts(docs: DataFrame, min_words: int) -> DataFrame:
-    """``docs`` with the column ``__covered``: the windows to remove, in one join by a hash of the row."""
-    cuts = repeated_windows(docs, min_words).select(
-        F.col("doc_id").alias("__cut_id"), F.col("row").alias("__cut_row"), F.col("covered").alias("__covered")
-    )
-    own = docs.withColumn("__row", row_key())
-    return own.join(
-        cuts, (F.col("__row") == F.col("__cut_row")) & F.col("doc_id").eqNullSafe(F.col("__cut_id")), "left"
-    ).select(*docs.columns, "__covered")
+def with_cuts(docs: DataFrame, min_words: int) -> tuple[DataFrame, str]:
+    """``docs`` with the windows to remove in one more column, and the name of that column, in one join by the key of a row.
+
+    The spans are written first: the join is then one of plain tables, whose hot keys adaptive execution splits.
+    """
+    free = "_"
+    while any(name.startswith(f"{free}_") for name in docs.columns):
+        free += "_"
+    keys = [column.alias(f"{free}{name}") for column, name in zip(row_key(), ("_id", "_tag"))]
+    cuts = pin(repeated_windows(docs, min_words), "line-cuts").toDF(f"{free}_id", f"{free}_tag", f"{free}_covered")
+    joined = docs.select("*", *keys).join(cuts, [f"{free}_id", f"{free}_tag"], "left")
+    return joined.select(*docs.columns, f"{free}_covered"), f"{free}_covered"
 
 
 def cut_documents(docs: DataFrame, min_words: int = 12) -> DataFrame:
@@ -228,7 +275,8 @@ def cut_documents(docs: DataFrame, min_words: int = 12) -> DataFrame:
             new[i] = text
         return [a == b or bool(a.strip()) for a, b in zip(new, texts)], new
 
-    return rewrite_texts(with_cuts(docs, min_words), docs.schema, change, "__covered")
+    joined, covered = with_cuts(docs, min_words)
+    return rewrite_texts(joined, docs.schema, change, covered, size=TOGETHER)
 
 
 def deduplicate_lines(docs: DataFrame, min_words: int = 12) -> DataFrame:
@@ -239,7 +287,8 @@ def deduplicate_lines(docs: DataFrame, min_words: int = 12) -> DataFrame:
     Null texts stay null with 0 lines; texts without words have one line; empty texts and texts of fewer than three pieces are never changed. Rows equal in id
     and text count as one row and are cut alike. Other columns are ignored. Documents meet their cuts in one join by a hash of the row.
     """
-    joined = with_cuts(docs.select("doc_id", "text"), min_words).select("doc_id", "__covered", "text")
+    joined, covered = with_cuts(docs.select("doc_id", "text"), min_words)
+    joined = joined.select("doc_id", covered, "text")
     fields = [("doc_id", "long"), ("n_lines", "long"), ("n_removed", "long"), ("text", "string")]
 
     def run(batches):

@@ -27,7 +27,7 @@ def default_model() -> str:
 class Codec:
     """Encoder and decoder of one model file, for merge-type models with byte fallback and a leading space."""
 
-    def __init__(self, model: str, cached_words: int = 300_000):
+    def __init__(self, model: str, cached_words: int = 60_000):
         import ahocorasick
         import sentencepiece
 
@@ -145,7 +145,7 @@ class Codec:
                 before = last[end - size] or unit[end - size]
                 fits = known((before, piece))
                 if fits is None:
-                    if len(self.pairs) > 500_000:
+                    if len(self.pairs) > 200_000:
                         self.pairs.clear()
                     fits = self.pairs[before, piece] = self.compatible(before, piece)
                 if not fits:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import SPACES, blocks, map_batches, remainder
+from tabprep.llm.common import hash_sample, SPACES, blocks, map_batches, remainder
 from tabprep.workspace import pin
 
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -116,7 +116,7 @@ def fit(rows: DataFrame, shrinkage: float = 0.1, calibration_rows: int = 20_000)
         factors.append(np.linalg.inv(lower))
         dets.append(2 * np.log(np.diag(lower)).sum())
     model = Discriminant(np.array(means), np.array(factors), np.array(dets))
-    sample = rows.orderBy(F.xxhash64("doc_id", "x")).limit(calibration_rows).select("label", "x").toPandas()
+    sample = hash_sample(rows, calibration_rows, "doc_id", "x").select("label", "x").toPandas()
     d = np.clip(model.difference(np.array(sample["x"].tolist(), float)), -60, 60)
     y = sample["label"].to_numpy(float)
     beta = np.array([0.0, 0.1])

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.llm.common import Memory, blocks, labelled_sample, map_batches, remainder, rewrite_texts
+from tabprep.workspace import discard, pin
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STARTS = (3, 4, 5, 6)
@@ -43,7 +44,7 @@ class Ordinal:
 
     def __post_init__(self):
         #: What known features a blank-separated part of a text has, remembered for frequent parts.
-        self.memory = Memory(lambda part: tuple(f for f in features(part.decode()) if f in self.weights), 200_000)
+        self.memory = Memory(lambda part: tuple(f for f in features(part.decode()) if f in self.weights), 50_000)
 
 
 def fit_ordinal(
@@ -95,14 +96,16 @@ def train(sample: DataFrame, max_features: int = 4_000, min_documents: int = 4,
         for labels, texts in blocks(batches):
             for label, text in zip(labels, texts):
                 (toxic if label else clean).update(features(text))
-            if len(toxic) + len(clean) > 500_000:
+            if len(toxic) + len(clean) > 100_000:
                 yield from ({"feature": list(c), "n": list(c.values()), "label": [k] * len(c)} for k, c in ((1, toxic), (0, clean)))
                 toxic, clean = Counter(), Counter()
         yield from ({"feature": list(c), "n": list(c.values()), "label": [k] * len(c)} for k, c in ((1, toxic), (0, clean)))
 
+    sample = pin(sample, "toxicity-sample")
     totals = {row["label"]: row["n"] for row in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if min(clean, toxic) < 2:
+        discard(sample)
         return (toxic + 1) / (clean + toxic + 2)
     t, c = F.col("toxic"), F.col("clean")
     share = F.lit(toxic / (clean + toxic))
@@ -125,6 +128,7 @@ def train(sample: DataFrame, max_features: int = 4_000, min_documents: int = 4,
 
     fields = [("label", "int"), ("cells", "array<int>"), ("size", "long")]
     rows = map_batches(sample.select("label", "text"), fields, found).toPandas()  # a few numbers per sampled row
+    discard(sample)
     label = rows["label"].to_numpy(int)
     density = rows["cells"].map(len).to_numpy(float) / np.log1p(rows["size"].to_numpy(float) + 1)
     grades = np.where(label == 1, 1 + (density > np.median(density[label == 1])), 0)
@@ -165,12 +169,15 @@ def toxicity_scores(
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs``, all columns, without rows whose own text gets a toxic verdict; learned from all labels. Ids decide nothing."""
+    """``docs``, all columns, without rows whose own text gets a toxic verdict; learned from all labels. Ids decide nothing.
+
+    Null and empty texts are judged like any other. Where labels of both kinds are missing nothing can be learned, and all rows stay.
+    """
     model = train(labelled_sample(docs, labels, "toxic", 8_000, 1, -1))
+    if isinstance(model, float):
+        return docs
 
     def change(texts):
-        if isinstance(model, float):
-            return [model < threshold] * len(texts), texts
         return [bool(1 - model.grades(text)[0] < threshold) for text in texts], texts
 
     return rewrite_texts(docs, docs.schema, change)

@@ -282,6 +282,61 @@ def test_repeated_passages_are_cut_wherever_they_start(spark):
     assert all(passage not in " ".join(kept[k].split()) for k in (*range(11, 22), 32)) and han not in kept[31]
 
 
+def plain_line_cuts(rows, min_words=12):
+    """Windows as tuples of words in a dictionary; ids are unique, but for rows that are equal."""
+    first, covered = {}, {}
+    distinct = sorted(set(rows), key=lambda row: (row[0] is None, row[0] or 0))
+    for row in distinct:
+        found = lines.pieces_of([row[1]])
+        begins = found.first.tolist()
+        text = (row[1] or "").encode("utf-32-le")
+        stops = found.last.tolist()
+        words = [text[4 * (a if i else 0) : 4 * b].decode("utf-32-le").strip(" \t\n\x0b\x0c\r") for i, (a, b) in enumerate(zip([0, *stops], stops))]
+        spans = set()
+        for kind, least, longer in ((found.lines, 0, False), (found.sentences, min_words, False), (found.content, min_words, True)):
+            bounds = [*kind.tolist(), len(words)]
+            for k in range(len(bounds) - 1):
+                stop = k + 3
+                while longer and stop < len(bounds) - 1 and bounds[stop] - bounds[k] < least:
+                    stop += 1
+                if stop < len(bounds) and bounds[stop] - bounds[k] >= least:
+                    spans.add((bounds[k], bounds[stop]))
+        for a, b in sorted(spans):
+            if first.setdefault(tuple(words[a:b]), (row, a)) != (row, a):
+                covered.setdefault(row, set()).update(range(begins.index(a), ([*begins[:-1], len(words)]).index(b)))
+    return {row: (len(lines.pieces_of([row[1]]).first) - 1, covered.get(row, set())) for row in distinct}
+
+
+@pytest.mark.parametrize("held", [2_000_000, 300])
+def test_line_cuts_against_a_plain_version(spark, docs, odd_docs, held, monkeypatch):
+    monkeypatch.setattr(lines, "HELD", held)
+    block = "one line here\nanother line there\nthird line of it\nfourth line"
+    made = [(k, f"start {k}\n{block}\nend {k}\n{block if k % 3 else ''}") for k in range(20)] + [(3, f"start 3\n{block}\nend 3\n")]
+    made += [(None, block), (None, block), (None, f"{block}\nmore of it"), (90, None), (91, " \n"), (7, made[7][1])]
+    whole = [(r.doc_id, r.text) for r in docs.collect()]
+    odd = [(r.doc_id, r.text) for r in odd_docs.where("doc_id is null or doc_id <> 1").collect()]
+    for rows in (made, whole + whole[:9], odd):
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        found = collections.Counter((r.doc_id, r.n_lines, r.n_removed) for r in lines.deduplicate_lines(table).collect())
+        plain = plain_line_cuts(rows)
+        wanted = collections.Counter()
+        for row in rows:
+            n, gone = plain[row]
+            wanted[(row[0], 0 if row[1] is None else max(n, 1), len(gone))] += 1
+        if rows is made:  # of rows without an id the first is that of the smaller hash: only the totals are fixed
+            some = lambda c: sorted(k for k in c.elements() if k[0] is not None)
+            assert some(found) == some(wanted)
+        else:
+            assert found == wanted
+
+
+def test_columns_that_clash(spark):
+    rows = [(k, "a b c\nd e f\ng h i\nj k l", 1, 2, 3, 4) for k in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __id int, __tag int, __covered int, n int")
+    found = lines.cut_documents(table)
+    assert found.columns == table.columns and [tuple(r) for r in found.collect()] == rows[:1]
+
+
 def test_hash_array_and_components(spark):
     keys = np.random.default_rng(0).integers(0, 1 << 60, 5_000).astype(np.uint64)
     array = HashArray(np.unique(keys))

@@ -66,3 +66,24 @@ def test_registration(spark):
     assert set(all_queries()) <= set(driver.queries()) and "pipeline" in driver.queries()
     for name in ("op5_decontamination", "op13_fill_in_middle"):
         assert differences(driver.queries()[name](spark, SF), connect(SF), driver.oracle_sql()[name]) == []
+
+
+def test_stages_without_anything_to_learn_or_find(spark, odd_docs, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    ids = docs.select("doc_id")
+    for labels in (none, ids.selectExpr("doc_id", "1 AS toxic"), ids.selectExpr("doc_id", "0 AS toxic"), ids.selectExpr("doc_id", "CAST(NULL AS int) AS toxic")):
+        monkeypatch.setattr(corpus_pipeline, "table", lambda *_: labels)  # noqa: B023
+        assert corpus_pipeline.drop_toxic(spark, docs, SF).count() == docs.count()
+        assert corpus_pipeline.drop_toxic(spark, odd_docs, SF).count() == odd_docs.count()
+    items = spark.createDataFrame([], "item_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: items)
+    assert corpus_pipeline.cut_benchmark_passages(spark, odd_docs, SF).count() == odd_docs.count()
+
+
+def test_a_very_long_text_passes_all_stages(spark):
+    text = " ".join(f"word{i * 7919 % 100_003}" for i in range(200_000))
+    now = spark.createDataFrame([(1, text, "en", "s", len(text))], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    for name, stage in corpus_pipeline.STAGES:
+        now = corpus_pipeline.pin(stage(spark, now, SF), f"long-{name}")
+    assert now.count() == 1 and now.first().n_tokens > 200_000
