@@ -167,7 +167,8 @@ class Held:
         self.size += len(whole)
 
     def take(self) -> dict[str, np.ndarray]:
-        """Columns of the rows to send: first windows by hash, and merged stretches of later ones by document (``check`` -1)."""
+        """Columns of the rows to send: first windows, and merged stretches of later ones by document
+        (``mark`` below 0)."""
         whole, check, ids, tags, start, size = (np.concatenate(columns) for columns in zip(*self.parts))
         self.parts, self.size = [], 0
         document = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
@@ -182,7 +183,7 @@ class Held:
         first = order[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))]
         same = (ids[order] == ids[first]) & (tags[order] == tags[first]) & (start[order] == start[first])
         later = np.sort(order[~same])  # copies of a whole row stand at the same place and take nothing from each other
-        lead = order[opens]
+        lead = np.sort(order[opens])  # by document: neighbouring rows then differ little but for the hash
         group = np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))[later]
         ends = np.maximum.accumulate((group << 32) + start[later] + size[later]) if len(later) else later
         breaks = np.ones(len(later), bool)
@@ -192,8 +193,8 @@ class Held:
         at = later[begin]
         return {
             "hash": np.concatenate([whole[lead], mix(ids[at].view(np.uint64)).view(np.int64)]),
-            "check": np.concatenate([check[lead], np.full(len(at), -1)]),
-            "id": np.concatenate([ids[lead], ids[at]]), "tag": np.concatenate([tags[lead], tags[at]]),
+            "mark": np.concatenate([tags[lead] << CHECK_BITS | check[lead], -1 - tags[at]]),
+            "id": np.concatenate([ids[lead], ids[at]]),
             "span": np.concatenate([start[lead] << 32 | size[lead], start[at] << 32 | (stop - start[at])]),
         }
 
@@ -205,7 +206,7 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     first position. Every task sends one row of a window however often it met it, so a window that a third of all documents
     share reaches no more rows than there are tasks; the places of its other occurrences are merged and sent by document.
     """
-    fields = [("hash", "long"), ("check", "int"), ("id", "long"), ("tag", "long"), ("span", "long")]
+    fields = [("hash", "long"), ("mark", "long"), ("id", "long"), ("span", "long")]
 
     def run(batches):
         held = Held()
@@ -217,10 +218,13 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
             yield held.take()
 
     found = map_batches(docs.select(*row_key(), "text"), fields, run)
-    place = [F.col("tag").bitwiseAND(1), "id", "tag", F.shiftright("span", 32)]
-    ranked = found.withColumn("rank", F.rank().over(W.partitionBy("hash", "check").orderBy(*place)))
-    later = ranked.where("check < 0 OR rank > 1")
-    return later.groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_list("span").alias("__covered"))
+    tag = F.when(F.col("mark") < 0, -1 - F.col("mark")).otherwise(F.shiftright("mark", CHECK_BITS))
+    check = F.when(F.col("mark") >= 0, F.col("mark").bitwiseAND((1 << CHECK_BITS) - 1)).otherwise(-1)
+    place = [tag.bitwiseAND(1), "id", tag, F.shiftright("span", 32)]
+    sent = found.repartition("hash")  # by the hash alone: other columns are taken apart behind the shuffle
+    ranked = sent.withColumn("rank", F.rank().over(W.partitionBy("hash", check).orderBy(*place)))
+    later = ranked.where("mark < 0 OR rank > 1")
+    return later.groupBy(F.col("id").alias("__id"), tag.alias("__tag")).agg(F.collect_list("span").alias("__covered"))
 
 
 def cut(texts: list[str | None], covered: list[list[int] | None]) -> list[tuple[str | None, int, int]]:
