@@ -138,7 +138,7 @@ def windows(texts: list[str | None], min_words: int) -> tuple[np.ndarray, np.nda
 
 #: Bytes of the texts whose windows are made at once, and windows that a task holds before it sends the first of each.
 TOGETHER = 500_000
-HELD = 2_000_000
+HELD = 500_000
 #: Bits beside the 64 of the hash by which windows are told apart.
 CHECK_BITS = 16
 
