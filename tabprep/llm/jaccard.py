@@ -8,6 +8,8 @@ members compared exactly.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -15,12 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.llm.common import STEP, blocks, components, map_batches, mix
-from tabprep.workspace import pin
+from tabprep.workspace import discard, pin
 
 #: Cells of the frequency sketch that orders tokens from rare to frequent. Any order gives the same links.
 SKETCH_BITS = 21
-#: Bits of the filter of documents whose sets are looked at closely.
-FILTER_BITS = 26
 #: A group holds at most about this many sets, and this many tokens.
 GROUP = 200
 GROUP_TOKENS = 500_000
@@ -46,32 +46,36 @@ def cell(hashes: np.ndarray) -> np.ndarray:
 
 
 def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Estimated document frequency by cell, over all documents; counts saturate at 255 per task.
+    """Order of magnitude of the document frequency by cell, in eighths of powers of two, over all documents.
 
-    Every task sends one array of a fixed 2**21 bytes in slices; Spark sums each slice.
+    Every task sends one array of fixed size in slices. Spark adds up each slice in two steps, first of as many tasks as there are
+    such sums to add in the second, so that neither step holds more than the square root of the tasks' arrays.
     """
     step = 1 << 14
-    fields = [("slice", "int"), ("counts", "binary")]
+    parts = max(math.isqrt(docs.rdd.getNumPartitions()), 1)
 
     def run(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int32)
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
         for (texts,) in blocks(batches):
             np.add.at(total, cell(np.concatenate([shingles(text, width) for text in texts])), 1)
         if total.any():
-            small = np.minimum(total, 255).astype(np.uint8).reshape(-1, step)
-            yield {"slice": list(range(len(small))), "counts": [row.tobytes() for row in small]}
+            rows = np.minimum(total, 65535).astype(np.uint16).reshape(-1, step)
+            yield {"slice": list(range(len(rows))), "counts": [row.tobytes() for row in rows]}
 
     def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(step, np.int64)
         for row in frame["counts"]:
-            total += np.frombuffer(row, np.uint8)
-        return pd.DataFrame({"slice": [key[0]], "counts": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
+            total += np.frombuffer(row, np.uint16 if len(row) == 2 * step else np.int64)  # of a task, or a sum already
+        return pd.DataFrame({"slice": [key[0]], "counts": [total.tobytes()]})
 
-    parts = map_batches(docs.select("text"), fields, run)
-    summed = parts.groupBy("slice").applyInPandas(add, "slice int, counts binary")
+    sent = map_batches(docs.select("text"), [("slice", "int"), ("counts", "binary")], run)
+    sent = sent.withColumn("part", F.spark_partition_id() % parts)
+    summed = sent.groupBy("slice", "part").applyInPandas(add, "slice int, counts binary")
+    summed = summed.groupBy("slice").applyInPandas(add, "slice int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint16)
-    for row in summed.toLocalIterator():  # a fixed 4 MB in all
-        out[row["slice"] * step : (row["slice"] + 1) * step] = np.frombuffer(row["counts"], np.uint16)
+    for row in summed.toLocalIterator():  # a fixed 16 MB in all
+        counts = np.frombuffer(row["counts"], np.int64)
+        out[row["slice"] * step : (row["slice"] + 1) * step] = 8 * np.log2(counts + 1)
     return out
 
 
@@ -127,7 +131,7 @@ def _marks(docs: DataFrame, sketch, width: int, percent: int) -> DataFrame:
 
 
 def _suspects(marks: DataFrame) -> DataFrame:
-    """``set_id, doc_id`` of sets that share as many prefix tokens with others as a link takes."""
+    """``doc_key`` of one document of every set that shares as many prefix tokens with others as a link takes."""
     postings = marks.select("set_id", F.explode("prefix").alias("token"))
     own = postings.groupBy("token").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("other"))
     alone = own.where("set_id = other").groupBy("set_id").agg(F.count("*").alias("alone"))
@@ -136,71 +140,40 @@ def _suspects(marks: DataFrame) -> DataFrame:
     )
     return sets.join(alone, "set_id", "left").where(
         F.col("size") - F.coalesce("alone", F.lit(0)) >= F.col("need")
-    ).select("set_id", F.col("doc_id").alias("doc_key"))
-
-
-def _id_bits(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _id_filter(suspects: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the documents that stand for suspect sets: others need not send their tokens.
-
-    It only saves work: what it lets through by chance is dropped by the join with the suspects.
-    """
-    step = 1 << 20
-
-    def run(batches):
-        for batch in batches:
-            bits = np.unique(_id_bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
-            yield {"slice": bits // step, "bit": bits % step}
-
-    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(step, bool)
-        bits[frame["bit"].to_numpy()] = True
-        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(bits).tobytes()]})
-
-    fields = [("slice", "long"), ("bit", "long")]
-    known = suspects.where("doc_key is not null").select("doc_key")
-    parts = map_batches(known, fields, run).groupBy("slice").applyInPandas(build, "slice long, bits binary")
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in parts.collect():  # 2**FILTER_BITS bits in all
-        out[row["slice"] * step // 8 : (row["slice"] + 1) * step // 8] = np.frombuffer(row["bits"], np.uint8)
-    return out
+    ).select(F.col("doc_id").alias("doc_key"))
 
 
 def _sets(docs: DataFrame, suspects: DataFrame, sketch, width: int, percent: int) -> DataFrame:
-    """``set_id, n, need, key_a, key_b, prefix, tokens`` of every suspect set, once.
+    """``set_id, n, need, key_a, key_b, prefix, tokens`` of every suspect set, once, and of sets without an id.
 
-    The keys are minima under other hash orders, by which similar sets meet in a group.
+    Documents are chosen by a join with the ids of suspects, which Spark broadcasts where they are few. The keys are minima under
+    other hash orders, by which similar sets meet in a group.
     """
     fields = [
-        ("set_id", "long"), ("doc_id", "long"), ("n", "long"), ("need", "long"), ("key_a", "long"), ("key_b", "long"),
+        ("set_id", "long"), ("n", "long"), ("need", "long"), ("key_a", "long"), ("key_b", "long"),
         ("prefix", "array<long>"), ("tokens", "array<long>"),
     ]
-    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(suspects))
 
     def run(batches):
-        for ids, texts in blocks(batches):
-            place = _id_bits(np.array([0 if key is None else key for key in ids], np.int64))
-            wanted = (bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
+        for (texts,) in blocks(batches):
             rows = []
-            for key, text, want in zip(ids, texts, wanted):
-                tokens = shingles(text, width) if want or key is None else ()
+            for text in texts:
+                tokens = shingles(text, width)
                 if not len(tokens):
                     continue
                 second, third = mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), mix(tokens ^ np.uint64(0x14057B7EF767814F))
                 key_a = int((second.min() ^ mix(third.min()[None])[0]).astype(np.int64))
                 key_b = int(mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)).min().astype(np.int64))
                 prefix = rare_prefix(tokens, sketch.value, percent)
-                rows.append((set_hash(tokens), key, len(tokens), shared_in_prefix(len(tokens), percent), key_a, key_b,
+                rows.append((set_hash(tokens), len(tokens), shared_in_prefix(len(tokens), percent), key_a, key_b,
                              prefix.view(np.int64), tokens.view(np.int64)))
             if rows:
                 yield {name: list(column) for (name, _), column in zip(fields, zip(*rows))}
 
-    sent = map_batches(docs.select("doc_id", "text"), fields, run)
-    found = sent.join(suspects, "set_id").where(F.col("doc_id").eqNullSafe(F.col("doc_key")))
-    return found.drop("doc_id", "doc_key").dropDuplicates(["set_id"])
+    known = suspects.where("doc_key is not null").distinct()
+    chosen = docs.join(known, F.col("doc_id") == F.col("doc_key"), "left_semi").select("text")
+    chosen = chosen.unionByName(docs.where("doc_id is null").select("text"))
+    return map_batches(chosen, fields, run).dropDuplicates(["set_id"])
 
 
 def _tokens(column: pd.Series) -> list[np.ndarray]:
@@ -350,38 +323,45 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     Sets are compared by 64-bit hashes of shingles. Copies meet by the hash of their set; no pairs are made of
     them, nor of near copies that a group has already connected.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs, width))
-    marks = pin(_marks(docs, sketch, width, percent), "jaccard-marks")
-    suspects = _suspects(marks)
+    prefixes = pin(_marks(docs, sketch, width, percent), "jaccard-prefixes")
+    suspects = pin(_suspects(prefixes), "jaccard-suspects")
+    marks = pin(prefixes.select("doc_id", "n", "set_id"), "jaccard-marks")
+    discard(prefixes)
     sets = pin(_sets(docs, suspects, sketch, width, percent), "jaccard-sets")
+    sketch.unpersist()
     first = pin(_groups(sets, "key_a", percent), "jaccard-groups")
-    everyone = sets.select("set_id").join(first, "set_id", "left").select(
-        "set_id", F.coalesce("root", "set_id").alias("group")
+    members = pin(
+        sets.select("set_id").join(first, "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("group")),
+        "jaccard-members",
     )
-    groups = pin(everyone, "jaccard-members")
-    leaders = sets.join(groups.where("set_id = group").select("set_id"), "set_id", "left_semi")
+    leaders = sets.join(members.where("set_id = group").select("set_id"), "set_id", "left_semi")
     second = _groups(leaders, "key_b", percent)
     edges = pin(
-        groups.select(F.col("set_id").alias("a"), F.col("group").alias("b")).unionByName(
+        members.select(F.col("set_id").alias("a"), F.col("group").alias("b")).unionByName(
             second.select(F.col("set_id").alias("a"), F.col("root").alias("b"))
         ).where("a <> b"), "jaccard-edges",
     )
     known = components(edges, "jaccard-known")
     groups = pin(
-        groups.join(known.withColumnRenamed("node", "set_id"), "set_id", "left").select(
+        members.join(known.withColumnRenamed("node", "set_id"), "set_id", "left").select(
             "set_id", "group", F.coalesce("component", "set_id").alias("component")
-        ), "jaccard-members",
+        ), "jaccard-connected",
     )
+    discard(suspects, first, members)
     clusters = pin(_clusters(sets, groups), "jaccard-cluster-rows")
     more = _open(clusters, sets, groups, percent)
-    linked_sets = components(edges.unionByName(more), "jaccard-linked")
-    smallest = marks.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("smallest"))
+    linked_sets = pin(components(edges.unionByName(more), "jaccard-linked"), "jaccard-components")
+    discard(sets, groups, clusters, edges)
+    smallest = pin(marks.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("smallest")), "jaccard-smallest")
     reached = linked_sets.withColumnRenamed("node", "set_id").join(smallest, "set_id")
-    lowest = reached.groupBy("component").agg(F.min("smallest").alias("lowest"))
-    lowest = reached.join(lowest, "component").select("set_id", "lowest")
-    final = smallest.join(lowest, "set_id", "left").select("set_id", F.coalesce("lowest", "smallest").alias("lowest"))
-    return marks.select("doc_id", "n", "set_id").join(final, "set_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"),
+    lowest = pin(reached.groupBy("component").agg(F.min("smallest").alias("lowest")), "jaccard-lowest")
+    lowest = linked_sets.withColumnRenamed("node", "set_id").join(lowest, "component").select("set_id", "lowest")
+    final = pin(
+        smallest.join(lowest, "set_id", "left").select("set_id", F.coalesce("lowest", "smallest").alias("component_id")),
+        "jaccard-final",
     )
+    with_words = marks.where("n > 0").join(final, "set_id").select("doc_id", "n", "component_id")
+    without = marks.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return with_words.unionByName(without).withColumnRenamed("n", "n_shingles")
