@@ -191,7 +191,9 @@ def _groups(sets: DataFrame, key: str, percent: int) -> DataFrame:
     A key with more sets is dealt over several groups by hash; what links these is found later.
     """
     counts = sets.groupBy(key).agg(F.count("*").alias("members"), F.sum("n").alias("size")).where("members > 1")
-    dealt = sets.join(counts, key).withColumn("part", F.pmod(F.xxhash64("set_id"), _parts("members", "size")))
+    part = F.pmod(F.xxhash64("set_id"), _parts("members", "size"))
+    # grouped by one number made of key and part: partitioning by the key alone would bring all parts of it to one task
+    dealt = sets.join(pin(counts, "jaccard-keys"), key).withColumn("cell", F.xxhash64(key, part))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n", "set_id"])
@@ -204,9 +206,7 @@ def _groups(sets: DataFrame, key: str, percent: int) -> DataFrame:
                     root = [low if r == high else r for r in root]
         return pd.DataFrame({"set_id": ids, "root": [ids[r] for r in root]})
 
-    return dealt.select(key, "part", "set_id", "n", "tokens").groupBy(key, "part").applyInPandas(
-        run, "set_id long, root long"
-    )
+    return dealt.select("cell", "set_id", "n", "tokens").groupBy("cell").applyInPandas(run, "set_id long, root long")
 
 
 def _clusters(sets: DataFrame, groups: DataFrame) -> DataFrame:
@@ -294,7 +294,8 @@ def _open(clusters: DataFrame, sets: DataFrame, groups: DataFrame, percent: int)
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     wanted = rows.select("cluster", "low", "high", "set_id", "group", "component", "part", "need", "prefix", "tokens")
-    return wanted.groupBy("cluster", "low", "high").applyInPandas(run, "a long, b long")
+    cell = F.xxhash64("cluster", "low", "high").alias("cell")  # one number, as in ``_groups``
+    return wanted.groupBy(cell, "cluster", "low", "high").applyInPandas(lambda key, rows: run(key[1:], rows), "a long, b long")
 
 
 def _group_link(members: list[list[np.ndarray]], unions: dict[int, np.ndarray], x: int, y: int, percent: int) -> bool:

@@ -28,6 +28,8 @@ LENGTH, CHECKS, RADIUS, GENERATOR = 23, 11, 3, 0b1010_1110_0011
 ANCHOR_BITS = 2 * (LENGTH - CHECKS)
 #: Fingerprints at home at an anchor that one task compares with its replicas; more are dealt over parts.
 HOMES = 2_000
+#: Fingerprints that one task replicates.
+PRINTS = 1 << 15
 #: Pairs compared at once, and fingerprints replicated at once.
 PAIRS, TOGETHER = 1 << 20, 1 << 13
 _ROWS = 1 << 16
@@ -184,7 +186,9 @@ def links(prints: DataFrame) -> DataFrame:
         at_home.where(F.col("homes") > HOMES).select("anchor", F.ceil(F.col("homes") / HOMES).cast("long").alias("parts")),
         "simhash-hot",
     )
-    rows = map_batches(prints, [("anchor", "long"), ("away", "boolean"), ("print", "long")], replicate)
+    tasks = max(-(-prints.count() // PRINTS), prints.rdd.getNumPartitions())
+    spread = prints.repartition(tasks, "print")
+    rows = map_batches(spread, [("anchor", "long"), ("away", "boolean"), ("print", "long")], replicate)
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     dealt = rows.join(hot, "anchor", "left").select(
         "anchor", "print", F.col("away").alias("far"), F.pmod(F.xxhash64("print"), parts).alias("own"),
