@@ -41,11 +41,17 @@ def remainder(id_col: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+#: Rows of an Arrow batch where the session has Spark's default: texts are long, and a batch is held by JVM and worker at once.
+_BATCH_SETTING, _DEFAULT_ROWS, _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2500"
+
+
 def find_package(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package from where the driver has it.
+    """Let Python workers on this machine import the package from where the driver has it, and keep Arrow batches small.
 
     On a cluster it is installed on the executors or sent with ``--py-files``.
     """
+    if spark.conf.get(_BATCH_SETTING) == _DEFAULT_ROWS:
+        spark.conf.set(_BATCH_SETTING, _ROWS)
     environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

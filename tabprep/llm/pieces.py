@@ -223,6 +223,12 @@ class Codec:
             decoded = text.replace(SPACE, " ")  # every unit decodes to itself, but for the mark that stands for spaces
         return ids.count(",") + 1, ids, decoded
 
+    def forget(self) -> None:
+        """Give up what is remembered of single words: a worker lives on after the task."""
+        for memory in (self.words, self.parts):
+            memory.clear()
+            memory.old = {}
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -256,5 +262,6 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
                 row = (key, n, digest(ids), digest(decoded))
                 rows.append(row + (([int(i) for i in ids.split(",")] if ids else [], decoded) if with_ids else ()))
             yield {name: column for (name, _), column in zip(fields, zip(*rows))}
+        own.forget()
 
     return map_batches(docs.select("doc_id", "text"), fields, run)
