@@ -27,7 +27,7 @@ def default_model() -> str:
 class Codec:
     """Encoder and decoder of one model file, for merge-type models with byte fallback and a leading space."""
 
-    def __init__(self, model: str, cached_words: int = 60_000):
+    def __init__(self, model: str, cached_words: int = 20_000, cached_parts: int = 150_000):
         import ahocorasick
         import sentencepiece
 
@@ -51,7 +51,7 @@ class Codec:
         self.ends: dict[str, list[tuple[str, float]]] = {}
         self.starts: dict[str, list[tuple[str, float]]] = {}
         self.words = Memory(self._word, cached_words)
-        self.parts = Memory(self._part, cached_words)
+        self.parts = Memory(self._part, cached_parts)
         self.odd: set[str] = set()
 
     def _unit_pattern(self) -> re.Pattern:
@@ -224,12 +224,13 @@ class Codec:
         return ids.count(",") + 1, ids, decoded
 
     def forget(self) -> None:
-        """Give up what is remembered of single words: a worker lives on after the task."""
-        for memory in (self.words, self.parts):
-            memory.clear()
-            memory.old = {}
+        """Give up what is remembered of whole words, and the older half of the units: a worker lives on after the task."""
+        self.words.clear()
+        self.words.old, self.parts.old = {}, {}
 
 
+#: Bytes of the texts that are encoded at once.
+TOGETHER = 500_000
 _codecs: dict[str, Codec] = {}
 
 
@@ -255,7 +256,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
 
     def run(batches):
         own = codec(path)
-        for keys, texts in blocks(batches):
+        for keys, texts in blocks(batches, TOGETHER):
             rows = []
             for key, text in zip(keys, texts):
                 n, ids, decoded = own.encode_text(text or "")
