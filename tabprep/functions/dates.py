@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import re
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,6 +99,13 @@ def _other_formats() -> dict[str, tuple[str, str, Callable[[Column], Column]]]:
         formats[f"{name} month, day, year"] = (r"[A-Za-z]+ \d{1,2}, \d{4}", f"{letters} d, yyyy", same)
         formats[f"day, {name} month, year"] = (r"\d{1,2} [A-Za-z]+ \d{4}", f"d {letters} yyyy", same)
     return formats | {
+        "day, short month, year dashed": (r"\d{1,2}-[A-Za-z]{3}-\d{4}", "d-MMM-yyyy", same),
+        "short month, year": (r"[A-Za-z]{3} \d{4}", "MMM yyyy", same),
+        "long month, year": (r"[A-Za-z]+ \d{4}", "MMMM yyyy", same),
+        "month first half day": (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d\d [AaPp][Mm]", "M/d/yyyy h:mm a", same),
+        "month first half day second": (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d\d:\d\d [AaPp][Mm]", "M/d/yyyy h:mm:ss a", same),
+        "clock half day": (r"\d{1,2}:\d\d [AaPp][Mm]", "h:mm a", same),
+        "clock second half day": (r"\d{1,2}:\d\d:\d\d [AaPp][Mm]", "h:mm:ss a", same),
         "digits": (r"\d{8}", "yyyyMMdd", same),
         "year and month": (r"\d{4}-\d\d", "yyyy-MM", same),
         "year": (r"\d{4}", "yyyy", same),
@@ -148,3 +158,80 @@ def first_format(mask: Column) -> Column:
     """The name of the lowest bit of a ``format_mask``; NULL for 0."""
     lowest = F.round(F.log2(mask.bitwiseAND(-mask))).cast("int")
     return F.when(mask != 0, F.element_at(F.array(*[F.lit(name) for name in DATE_FORMATS]), lowest + 1))
+
+
+# The names of the months in English texts.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+
+_ISO = re.compile(
+    r"(?P<y>[0-9]{4})-(?P<m>[0-9]{2})-(?P<d>[0-9]{2})"
+    r"((?P<sep>[ T])(?P<H>[0-9]{2}):(?P<M>[0-9]{2})(?P<second>:(?P<S>[0-9]{2})(?P<fraction>\.[0-9]{1,9})?)?(?P<zone>Z|[+-][0-9]{2}:?[0-9]{2})?)?"
+)
+_FIELD = re.compile("yyyy|yy|MMMM|MMM|M|d|H|h|mm|ss|a")
+_READS = {
+    "yyyy": "(?P<y>[0-9]{4})", "yy": "(?P<short>[0-9]{2})", "MMMM": "(?P<long>[A-Za-z]+)", "MMM": "(?P<name>[A-Za-z]{3})",
+    "M": "(?P<m>[0-9]{1,2})", "d": "(?P<d>[0-9]{1,2})", "H": "(?P<H>[0-9]{1,2})", "h": "(?P<h>[0-9]{1,2})", "mm": "(?P<M>[0-9]{2})",
+    "ss": "(?P<S>[0-9]{2})", "a": "(?P<half>[AaPp][Mm])",
+}
+
+
+@cache
+def _readers() -> list[tuple[str, re.Pattern]]:
+    """A regular expression with the fields of a date for each of ``OTHER_FORMATS``."""
+    own = {"month first, short year": "M/d/yy", "day first, short year": "d/M/yy"}
+    out = []
+    for name, (_, pattern, _) in OTHER_FORMATS.items():
+        pattern = own.get(name, pattern)
+        if name == "digits":
+            read = "(?P<y>[0-9]{4})(?P<m>[0-9]{2})(?P<d>[0-9]{2})"
+        elif name == "year and month":
+            read = "(?P<y>[0-9]{4})-(?P<m>[0-9]{2})"
+        elif name == "quarter":
+            read = "(?P<y>[0-9]{4})Q[1-4]"
+        else:
+            ends = [0, *[at for found in _FIELD.finditer(pattern) for at in found.span()], len(pattern)]
+            read = "".join(
+                _READS[pattern[a:b]] if i % 2 else re.escape(pattern[a:b]) for i, (a, b) in enumerate(zip(ends, ends[1:]))
+            )
+        out.append((name, re.compile(read)))
+    return out
+
+
+def _is_date(found: re.Match) -> bool:
+    """Whether the fields name a real date and time within the years of a timestamp."""
+    part = {k: v for k, v in found.groupdict().items() if v is not None}
+    month = int(part.get("m", 1))
+    for field, length in (("long", None), ("name", 3)):
+        if field in part:
+            names = [name[:length].lower() for name in MONTHS]
+            month = names.index(part[field].lower()) + 1 if part[field].lower() in names else 0
+    year = int(part.get("y", 1970))
+    if "short" in part:
+        year = int(part["short"]) + (1900 if part["short"] >= "69" else 2000)
+    if "h" in part and not 1 <= int(part["h"]) <= 12:
+        return False
+    try:
+        datetime.datetime(year, month, int(part.get("d", 1)), int(part.get("H", 0)), int(part.get("M", 0)), int(part.get("S", 0)))
+    except ValueError:
+        return False
+    return FIRST_YEAR <= year <= LAST_YEAR
+
+
+def formats_of(text: str) -> int:
+    """``format_mask`` of one text, for the few cells that decide about a column: fields are read once per shape."""
+    mask = 0
+    if (found := _ISO.fullmatch(text)) and _is_date(found):
+        clock = ("00:00" + ":00" * bool(found["second"]) + ".0" * bool(found["fraction"])) if found["sep"] else ""
+        mask |= _bit("0000-00-00" + (found["sep"] or "") + clock + "z" * bool(found["zone"]))
+    for name, reader in _readers():
+        if (found := reader.fullmatch(text)) and _is_date(found):
+            mask |= _bit(name)
+    return mask
+
+
+def common_format(texts: list[str]) -> str | None:
+    """The first of ``DATE_FORMATS`` that fits all texts."""
+    mask = -1
+    for text in texts:
+        mask &= formats_of(text)
+    return next((name for i, name in enumerate(DATE_FORMATS) if texts and mask >> i & 1), None)

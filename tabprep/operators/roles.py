@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprep.functions.dates import LONGEST_DATE, first_format, format_mask
+from tabprep.functions.dates import LONGEST_DATE, common_format
 from tabprep.functions.numbers import FLOATING, missing_if_nan, parse_number
 from tabprep.functions.text import MISSING, render
 from tabprep.meta import (
@@ -20,38 +20,37 @@ from tabprep.meta import (
     TEXT,
     TableMeta,
 )
-from tabprep.operators.columns import col, quoted, sql_text
+from tabprep.operators.columns import col
 from tabprep.operators.profiles import NUMERIC, STRING, TIME, distinct_counts, profile, summarise
 from tabprep.operators.rows import text_columns
 
 # A sketch of this size has a standard error of 1.6%; estimates within a factor of two of the limit
 # are settled by an exact count, so a wrong role would take an error of thirty standard deviations.
 _SKETCH_SIZE, _DOUBT = 12, 2.0
+_HEAD_ROWS, _HEAD_CELLS = 1_000, 20_000  # rows and cells read to find the first values of all columns
 
 
 def sniff_dates(df: DataFrame, order: list[str], values: int = SNIFFED_VALUES) -> DataFrame:
     """``(column, is_datetime, date_format)`` for every text column that has values.
 
-    A column holds dates when one date format fits its first ``values`` non-null texts in ``order``;
-    ``date_format`` names it.
-    A text too long for a date is replaced by a mark as it is read, so the top-k per column moves
-    only short rows however long the texts are.
+    A column holds dates when one date format fits its first ``values`` non-null texts in ``order``; ``date_format`` names
+    it. One scan takes the first rows for all columns together; only columns with fewer values there get a scan of their own.
+    A text too long for a date is replaced by a mark as it is read, so few and short cells reach the driver.
     """
     names, spark = text_columns(df), df.sparkSession
+    schema = "column string, is_datetime boolean, date_format string"
     if not names:
-        return spark.createDataFrame([], "column string, is_datetime boolean, date_format string")
-    keys = ", ".join(f"{quoted(key)} NULLS LAST" for key in order)
-    heads = [
-        f"(SELECT {sql_text(name)} AS column, if(length({cell}) <= {LONGEST_DATE}, {cell}, '-') AS cell "
-        f"FROM _table_ WHERE {cell} IS NOT NULL ORDER BY {keys} LIMIT {values})"
-        for name, cell in ((name, quoted(name)) for name in names)
-    ]
-    query = " UNION ALL ".join(heads)
-    escaped = query.replace("{", "{{").replace("}", "}}").replace("FROM _table_ ", "FROM {table} ")
-    fitting = spark.sql(escaped, table=df).groupBy("column").agg(F.bit_and(format_mask(F.col("cell"))).alias("mask"))
-    return fitting.select(
-        "column", (F.col("mask") != 0).alias("is_datetime"), first_format(F.col("mask")).alias("date_format")
-    )
+        return spark.createDataFrame([], schema)
+    rows = min(_HEAD_ROWS, max(2 * values, _HEAD_CELLS // len(names)))
+    cells = {name: F.when(F.length(col(name)) <= LONGEST_DATE, col(name)).when(col(name).isNotNull(), "-") for name in names}
+    keys = [col(key).asc_nulls_last() for key in order]
+    head = df.orderBy(*keys).limit(rows).select(*[cell.alias(f"c{i}") for i, cell in enumerate(cells.values())]).collect()
+    first = {name: [row[i] for row in head if row[i] is not None][:values] for i, name in enumerate(names)}
+    for name in [name for name in names if len(head) == rows and len(first[name]) < values]:
+        found = df.where(col(name).isNotNull()).orderBy(*keys).limit(values).select(cells[name].alias("cell"))
+        first[name] = [row["cell"] for row in found.collect()]
+    found = [(name, common_format(texts)) for name, texts in first.items() if texts]
+    return spark.createDataFrame([(name, form is not None, form) for name, form in found], schema)
 
 
 def _decide(profiled: DataFrame) -> DataFrame:

@@ -101,6 +101,23 @@ def test_date_formats(spark):
     assert found == FITS
 
 
+def test_formats_read_alike_in_cells_and_columns(spark):
+    """The formats of single cells are those that Spark's parser accepts in a column."""
+    more = [
+        "02-Oct-2017", "2-oct-2017", "31-Feb-2017", "Oct 2017", "October 2017", "Sept 2017", "May 2017", "May 5, 2017", "5 may 2017",
+        "10:30 PM", "13:30 PM", "0:30 am", "12:00 AM", "1:02:03 pm", "10/02/2020 10:30 PM", "10/13/2020 1:02:03 AM", "13/10/2020 10:30",
+        "1/2/69", "1/2/68", "30/2/20", "1677-12-31", "1678-01-01", "2261-12-31", "2262", "16770101", "2020-01-01T10:00:00.123456789Z",
+        "2020-01-01 10:00Z", "2020-01-01 10:00:00 ", " 2020", "2020\n", "2017.1.2", "2017/1/2 3:04", "02-10-2017 23:59:59", "24:00", "10:60",
+        "2020-01-01T10:00:00+0530", "2020-1-1", "2020-01-01 1:00", "1e5", "٢٠٢٠", "2020Q1 ",
+    ]
+    texts = [*FITS, *more]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", dates.format_mask(F.col("t")).alias("m"))
+    found = {r["t"]: r["m"] for r in df.collect()}
+    assert {t: dates.formats_of(t) for t in texts} == found
+    assert dates.common_format(["10/02/2020", "11/30/2020"]) == "month first" and dates.common_format(["13/02/2020", "1/3/2020"]) == "day first"
+    assert dates.common_format([]) is None and dates.common_format(["2020", "x"]) is None
+
+
 def test_draws_repeat_and_look_random(spark):
     ids = spark.range(20_000)
     a, b = draws.uniform_pair("s", F.col("id"))

@@ -323,3 +323,16 @@ def test_payload_keys_that_hold_type_words(spark):
     assert sorted(found.columns) == ["AVOID", "VOID", "my_VARIANT.OBJECT", "p"]
     assert dict(found.dtypes)["my_VARIANT.OBJECT"] == "double"
     assert sorted((r["AVOID"] or "", r["my_VARIANT.OBJECT"]) for r in found.collect()) == [("", None), ("", None), ("x", 1.5)]
+
+
+def test_first_values_of_all_columns_take_one_scan(spark, tmp_path):
+    rows = [(i, f"2020-01-{i % 28 + 1:02d}", "x" * 500 if i % 2 else None, f"{i}") for i in range(3_000)]
+    spark.createDataFrame(rows, "i int, day string, long string, number string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    found = {r["column"]: (r["is_datetime"], r["date_format"]) for r in roles.sniff_dates(df, ["i"]).collect()}
+    jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    assert found == {"day": (True, "0000-00-00"), "long": (False, None), "number": (False, None)}
+    assert len(jobs) <= 2  # the head of the table, and the few rows of the answer
+    sparse = df.withColumn("late", F.when(F.col("i") > 2_990, "10/02/2020"))
+    assert {r["column"]: r["date_format"] for r in roles.sniff_dates(sparse, ["i"]).collect()}["late"] == "month first"
