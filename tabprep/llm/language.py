@@ -1,7 +1,9 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Highest-order counts come from all training text; lower orders use continuation counts derived from them. Models live
-in sorted arrays of 64-bit n-gram hashes, one column of log probabilities per language.
+Highest-order counts come from all training text; lower orders use continuation counts derived from them. Both, and the
+probabilities, are computed by Spark over all n-grams. Where a language has more n-grams of an order than a model may hold, its rarest
+are taken out afterwards and the back-off weights made to sum to one again, language by language, so no language loses its
+model to a larger one. Models live in sorted arrays of 64-bit n-gram hashes, one column of log probabilities per language.
 """
 
 from __future__ import annotations
@@ -9,11 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import hash_sample, HashArray, blocks, map_batches, remainder
-from tabprep.workspace import pin
+from tabprep.llm.common import HashArray, blocks, hash_sample, map_batches, remainder
+from tabprep.workspace import discard, pin
 
 ORDER = 4  # n-grams of 16-bit units, packed into 64 bits
 SPACE = 32
@@ -171,6 +173,13 @@ def estimate(counted: dict[str, tuple[np.ndarray, np.ndarray]], order: int, disc
         probabilities.append(own_p)
         weights.append(own_w)
         bases.append(base * own_w[0][1][0])
+    return assemble(languages, probabilities, weights, bases, order)
+
+
+def assemble(languages: list[str], probabilities: list, weights: list, bases: list[float], order: int) -> Models:
+    """Models from, by language: ascending n-grams and their probabilities by order, contexts and their back-off weights by
+    order of what they precede, and the probability of an unknown unit."""
+    mask = [np.uint64((1 << 16 * k) - 1) for k in range(order + 1)]
 
     def look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
@@ -200,31 +209,99 @@ def estimate(counted: dict[str, tuple[np.ndarray, np.ndarray]], order: int, disc
     return Models(languages, arrays, logs, backoffs, np.log10(np.array(bases)).astype(np.float32), order)
 
 
+def _gram(k: int) -> Column:
+    """The last ``k`` units, fewer than four, of a packed n-gram."""
+    return F.col("gram").bitwiseAND((1 << 16 * k) - 1)
+
+
+def statistics(counted: DataFrame, order: int, discount: float = 0.75) -> list[DataFrame]:
+    """``lang, gram, context, suffix, c, p, lower`` for every order from 1 on: counts, probabilities, and those of the suffix.
+
+    ``counted`` has the n-grams of the highest order with their counts ``n``; those of lower orders count by how many
+    different units stand before them.
+    """
+    levels = [counted.select("lang", "gram", F.col("n").cast("double").alias("c"))]
+    for k in range(order - 1, 0, -1):
+        longer = levels[0].select("lang", _gram(k).alias("gram"))
+        levels.insert(0, pin(longer.groupBy("lang", "gram").agg(F.count("*").cast("double").alias("c")), f"lang-counts-{k}"))
+    units = levels[0].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("lower"))
+    out: list[DataFrame] = []
+    for k, level in enumerate(levels, 1):
+        level = level.select("*", F.shiftrightunsigned("gram", 16).alias("context"), _gram(k - 1).alias("suffix"))
+        totals = level.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+        below = units if k == 1 else out[-1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+        rows = level.join(totals, ["lang", "context"]).join(below, "lang" if k == 1 else ["lang", "suffix"])
+        p = F.greatest(F.col("c") - discount, F.lit(0.0)) + discount * F.col("kinds") * F.col("lower")
+        out.append(pin(rows.select("lang", "gram", "context", "suffix", "c", (p / F.col("total")).alias("p"), "lower"), f"lang-{k}"))
+    discard(*levels[:-1])
+    return out
+
+
+def pruned(levels: list[DataFrame], max_grams: int) -> list[DataFrame]:
+    """For every order and language about ``max_grams`` n-grams of the greatest counts (whole powers of two), and what longer kept ones end in."""
+    kept: list[DataFrame] = []
+    size = F.floor(F.log2("c")).cast("int")
+    for level in reversed(levels):
+        least: dict[str, int] = {}
+        held: dict[str, int] = {}
+        rows = level.groupBy("lang", size.alias("size")).count().collect()  # at most 63 rows a language
+        for row in sorted(rows, key=lambda r: -r["size"]):
+            held[row["lang"]] = held.get(row["lang"], 0) + row["count"]
+            if held[row["lang"]] > max_grams and row["lang"] not in least:
+                least[row["lang"]] = row["size"] + 1
+        if not least:
+            kept.insert(0, level)
+            continue
+        floors = level.sparkSession.createDataFrame(list(least.items()), "lang string, least int")
+        wanted = F.coalesce(F.col("least"), F.lit(0)) <= size
+        if kept:
+            ends = kept[0].select("lang", F.col("suffix").alias("gram"), F.lit(True).alias("needed")).distinct()
+            level = level.join(ends, ["lang", "gram"], "left")
+            wanted = wanted | F.col("needed").isNotNull()
+        kept.insert(0, pin(level.join(floors, "lang", "left").where(wanted).drop("least", "needed"), "lang-kept"))
+    return kept
+
+
 def fit(
-    training: DataFrame, order: int = ORDER, max_grams: int = 1_000_000, calibration_rows: int = 4_000
+    training: DataFrame, order: int = ORDER, max_grams: int = 250_000, calibration_rows: int = 4_000
 ) -> Models | None:
     """Models from all rows ``doc_id, lang, text``; None without any letter.
 
-    Counts cover all text. ``max_grams`` bounds what is sent to the driver and broadcast: where there are more n-grams of
-    the highest order, those of the smallest counts (by powers of two) leave the models. The rejection level is the margin between best and second-best language that all but 1 in 100 of ``calibration_rows`` training documents exceed.
+    Counts and probabilities cover all text. ``max_grams`` bounds, by language and order, what is sent to the driver and broadcast.
+    The rejection level is the margin between best and second-best language that all but 1 in 100 of ``calibration_rows``
+    training documents exceed.
     """
-    counted = pin(gram_counts(training, order).withColumn("size", F.floor(F.log2("n")).cast("int")), "lang-grams")
-    sizes = {row["size"]: row["count"] for row in counted.groupBy("size").count().collect()}  # at most 63 rows
-    least = kept = 0
-    for size in sorted(sizes, reverse=True):
-        kept += sizes[size]
-        if kept > max_grams:
-            least = size + 1
-            break
-    frame = counted.where(F.col("size") >= least).select("lang", "gram", "n").toPandas()
-    if not len(frame):
+    counted = pin(gram_counts(training, order), "lang-grams")
+    levels = statistics(counted, order)
+    kept = pruned(levels, max_grams)
+    # what a context keeps for other units, over what these have in the next shorter context: 1 in sum with the kept ones
+    spare = [
+        level.groupBy("lang", "context").agg(
+            (F.greatest(1 - F.sum("p"), F.lit(1e-9)) / F.greatest(1 - F.sum("lower"), F.lit(1e-9))).alias("weight"),
+            F.first("lower").alias("lower"),
+        ) for level in kept
+    ]
+    grams = [level.select("lang", "gram", "p").toPandas() for level in kept]
+    contexts = [rows.select("lang", "context", "weight", "lower").toPandas() for rows in spare]
+    discard(counted, *levels, *kept)
+    languages = sorted(grams[0]["lang"].unique())
+    if not languages:
         return None
-    tables = {}
-    for lang, part in frame.groupby("lang"):
-        keys = part["gram"].to_numpy(np.int64).view(np.uint64)
+
+    def arrays(frame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+        keys = frame[key].to_numpy(np.int64).view(np.uint64)
         place = np.argsort(keys)
-        tables[lang] = keys[place], part["n"].to_numpy()[place]
-    models = estimate(tables, order)
+        return keys[place], frame[value].to_numpy(float)[place]
+
+    nothing = (np.zeros(0, np.uint64), np.zeros(0))
+    probabilities, weights, bases = [], [], []
+    for lang in languages:
+        own = [frame[frame["lang"] == lang] for frame in grams]
+        before = [frame[frame["lang"] == lang] for frame in contexts]
+        probabilities.append([nothing, *[arrays(frame, "gram", "p") for frame in own]])
+        weights.append([arrays(frame, "context", "weight") for frame in before])
+        bases.append(float(before[0]["weight"].iloc[0] * before[0]["lower"].iloc[0]))
+    models = assemble(languages, probabilities, weights, bases, order)
     if len(models.languages) > 1:
         ids = hash_sample(training.select("doc_id"), calibration_rows, "doc_id")
 

@@ -165,6 +165,43 @@ def test_kneser_ney_sums_to_one():
     assert hit.all() and (10.0 ** models.logs[4][0][place] <= 1).all()
 
 
+def all_probabilities(models, which, context, order=4):
+    """Probabilities of every known unit, and of one unknown unit, behind a context."""
+    units = np.unique(np.concatenate([[np.uint64(0xFFFE)], models.keys_of_units]))
+    grams = (np.uint64(context) << np.uint64(16)) | units
+    place, hit = models.arrays[order].find(grams)
+    out = 10.0 ** models.logs[order][which][place].astype(float)
+    out[~hit] = 10.0 ** -models._lower(grams[~hit])[which].astype(float)
+    return out
+
+
+@pytest.mark.parametrize("max_grams", [250_000, 150])
+def test_language_models_against_plain_kneser_ney(spark, docs, max_grams):
+    """Statistics of Spark against numpy over collected counts; pruned models still sum to one; a rare language stays."""
+    rare = spark.createDataFrame([(-k, f"zyzzy qwxq xqzw {w} zzyx qwx") .__add__(("zz", "s", 1)) for k, w in enumerate(["wq", "xz", "qy"], 1)], docs.schema)
+    training = docs.unionByName(rare).where("lang is not null").select("doc_id", "lang", "text")
+    models = language.fit(training, max_grams=max_grams, calibration_rows=50)
+    assert set(models.languages) == {r.lang for r in training.select("lang").distinct().collect()} and "zz" in models.languages
+    tables = {}
+    for lang, part in language.gram_counts(training, 4).toPandas().groupby("lang"):
+        keys = part["gram"].to_numpy(np.int64).view(np.uint64)
+        tables[lang] = keys[np.argsort(keys)], part["n"].to_numpy()[np.argsort(keys)]
+    plain = language.estimate(tables, 4)
+    grams = np.unique(np.concatenate([t[0] for t in tables.values()]))
+    if max_grams > len(grams):
+        for k in range(1, 5):
+            short = np.unique(grams & np.uint64((1 << 16 * k) - 1))
+            (a, here), (b, there) = models.arrays[k].find(short), plain.arrays[k].find(short)
+            assert here.all() and there.all() and np.allclose(models.logs[k][:, a], plain.logs[k][:, b], atol=1e-4)
+        assert np.allclose(models.base, plain.base, atol=1e-5)
+    for which, lang in enumerate(models.languages):
+        models.keys_of_units = np.unique(tables[lang][0] & np.uint64(0xFFFF))
+        for context in tables[lang][0][:: max(len(tables[lang][0]) // 5, 1)][:5] >> np.uint64(16):
+            assert abs(all_probabilities(models, which, context).sum() - 1) < 2e-3
+    entropy, _ = models.entropies(["zyzzy qwxq zzyx", training.where("lang = 'de'").first().text])
+    assert [models.languages[k] for k in entropy.argmin(axis=1)] == ["zz", "de"]
+
+
 def test_decontamination_against_a_plain_version(spark, docs, texts):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
