@@ -27,7 +27,7 @@ def default_model() -> str:
 class Codec:
     """Encoder and decoder of one model file, for merge-type models with byte fallback and a leading space."""
 
-    def __init__(self, model: str, cached_words: int = 20_000, cached_parts: int = 150_000):
+    def __init__(self, model: str, remembered: int):
         import ahocorasick
         import sentencepiece
 
@@ -45,13 +45,14 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
             if len(piece) == 1 or self.merges(piece)[0] == [piece]:  # others are never left by merging
-                self.automaton.add_word(piece, (len(piece), piece))
+                self.automaton.add_word(piece, (len(piece), piece, {}))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.judged = 0
+        self.id_texts = {piece: str(i) for piece, i in self.ids.items()}
         self.ends: dict[str, list[tuple[str, float]]] = {}
         self.starts: dict[str, list[tuple[str, float]]] = {}
-        self.words = Memory(self._word, cached_words)
-        self.parts = Memory(self._part, cached_parts)
+        self.words = Memory(self._word, remembered)
+        self.parts = Memory(self._part, remembered)
         self.odd: set[str] = set()
 
     def _unit_pattern(self) -> re.Pattern:
@@ -133,21 +134,27 @@ class Codec:
             else:
                 j += 1
 
+    def _judge(self, before: str, piece: str) -> bool:
+        """``compatible``, of which the automaton remembers a bounded number of answers with its pieces."""
+        self.judged += 1
+        if self.judged > JUDGED:
+            self.judged = 0
+            for _, _, behind in self.automaton.values():
+                behind.clear()
+        return self.compatible(before, piece)
+
     def tokens(self, unit: str) -> list[str]:
         """Tokens of one unit by the prefix table. Characters outside the vocabulary stand alone."""
         last: list[str] = [""] * len(unit)
-        known = self.pairs.get
-        for end, (size, piece) in self.automaton.iter(unit):  # in order of their ends
+        for end, (size, piece, behind) in self.automaton.iter(unit):  # in order of their ends; behind what the piece may stand
             if last[end]:
                 continue
             if size <= end:
                 # characters outside the vocabulary have no match; the one just before may still be unset
                 before = last[end - size] or unit[end - size]
-                fits = known((before, piece))
+                fits = behind.get(before)
                 if fits is None:
-                    if len(self.pairs) > 200_000:
-                        self.pairs.clear()
-                    fits = self.pairs[before, piece] = self.compatible(before, piece)
+                    fits = behind[before] = self._judge(before, piece)
                 if not fits:
                     continue
             last[end] = piece
@@ -175,13 +182,12 @@ class Codec:
 
     def _part(self, unit: str) -> str:
         """The ids of a unit as text; units whose ids decode to something else are noted."""
-        ids = [self.ids.get(token, -1) for token in self.tokens(unit)]
-        if -1 in ids:
-            ids = self.unit_ids(unit)
-            decoded = self.pieces_text(ids)
-        else:
-            decoded = "".join(map(self.pieces.__getitem__, ids))
-        if decoded != unit:
+        tokens = self.tokens(unit)  # which make up the unit: it decodes to itself if all are in the vocabulary
+        texts = [self.id_texts.get(token) for token in tokens]
+        if None not in texts:
+            return ",".join(texts)
+        ids = self.unit_ids(unit)
+        if self.pieces_text(ids) != unit:
             self.odd.add(unit)
         return ",".join(map(str, ids))
 
@@ -231,21 +237,26 @@ class Codec:
 
 #: Bytes of the texts that are encoded at once.
 TOGETHER = 500_000
+#: Words, and units of them, of which a worker remembers the ids (up to twice as many), and answers about pairs of tokens.
+REMEMBERED, JUDGED = 300_000, 300_000
 _codecs: dict[str, Codec] = {}
 
 
-def codec(model: str) -> Codec:
+def codec(model: str, remembered: int = REMEMBERED) -> Codec:
     """The codec of a model file, built once in each Python worker."""
     if model not in _codecs:
-        _codecs[model] = Codec(model)
+        _codecs[model] = Codec(model, remembered)
     return _codecs[model]
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool = False) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, model: str | None = None, with_ids: bool = False, remembered: int = REMEMBERED
+) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text, with ``ids`` and ``decoded`` if asked.
 
     Null and empty texts have no ids and decode to the empty text. Repeated rows each give a row, null ids stay null, other
-    columns are ignored. ``model`` is the path of a model file that every executor can open.
+    columns are ignored. ``model`` is the path of a model file that every executor can open. A worker remembers the ids of
+    ``remembered`` words, about 200 bytes each; where that is below the default it gives up most of them behind every task.
     """
     path = model or default_model()
     fields = [("doc_id", "long"), ("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
@@ -255,7 +266,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
         return hashlib.sha256(text.encode()).hexdigest()
 
     def run(batches):
-        own = codec(path)
+        own = codec(path, remembered)
         for keys, texts in blocks(batches, TOGETHER):
             rows = []
             for key, text in zip(keys, texts):
@@ -263,6 +274,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
                 row = (key, n, digest(ids), digest(decoded))
                 rows.append(row + (([int(i) for i in ids.split(",")] if ids else [], decoded) if with_ids else ()))
             yield {name: column for (name, _), column in zip(fields, zip(*rows))}
-        own.forget()
+        if remembered < REMEMBERED:
+            own.forget()
 
     return map_batches(docs.select("doc_id", "text"), fields, run)
