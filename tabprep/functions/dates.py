@@ -27,9 +27,9 @@ def parse_timestamp(text: Column, date_format: str | None = None) -> Column:
     return F.when(text.rlike(r"^\s*\d{4}-"), F.try_to_timestamp(text).cast("timestamp_ntz"))
 
 
-def parse_timestamp_strict(text: Column) -> Column:
+def parse_timestamp_strict(text: Column, date_format: str | None = None) -> Column:
     """Text to timestamp; anything else is an error, whatever the ANSI setting."""
-    parsed = parse_timestamp(text)
+    parsed = parse_timestamp(text, date_format)
     message = F.concat(F.lit("not a timestamp: "), text)
     return F.when(text.isNotNull() & parsed.isNull(), F.raise_error(message)).otherwise(parsed)
 

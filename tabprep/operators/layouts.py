@@ -82,6 +82,13 @@ def manifest(roles: DataFrame, target: str | None = None) -> DataFrame:
     return placed.select("layout", "column", place.alias("position"), kind.alias("kind"), is_target.alias("is_target"))
 
 
+def count_classes(train: DataFrame, meta: TableMeta) -> int | None:
+    """How many values the target has in the train rows; None where the task is not classification."""
+    if meta.target is None or meta.task == "regression":
+        return None
+    return train.agg(F.count_distinct(col(meta.target)).alias("n")).first()["n"]
+
+
 def layout_info(meta: TableMeta, layout: str, n_classes: int | None = None) -> dict:
     """Header information of one layout: column names, 0-based positions by kind, task."""
     kinds = {role: kind for role, _, kind in LAYOUTS[layout]}
@@ -90,6 +97,7 @@ def layout_info(meta: TableMeta, layout: str, n_classes: int | None = None) -> d
     def positions(*wanted: str) -> list[int]:
         return [i for i, c in enumerate(names) if c != meta.target and kinds.get(meta.role(c)) in wanted]
 
+    # The key names and the two task names.
     return {
         "name": meta.name,
         "task_type": "regression" if meta.task == "regression" else "binclass",

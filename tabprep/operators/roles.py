@@ -53,6 +53,16 @@ def sniff_dates(df: DataFrame, order: list[str], values: int = SNIFFED_VALUES) -
     return spark.createDataFrame([(name, form is not None, form) for name, form in found], schema)
 
 
+def leading_format(df: DataFrame, column: str, order: list[str], values: int = SNIFFED_VALUES) -> str | None:
+    """The date format of the first text in ``order`` that is a date, among the first ``values``; None if none is.
+
+    Where a text fits several formats the month stands before the day.
+    """
+    cell = F.when(F.length(col(column)) <= LONGEST_DATE, col(column)).otherwise("-")
+    first = df.where(col(column).isNotNull()).orderBy(*[col(key).asc_nulls_last() for key in order]).limit(values)
+    return next((found for row in first.select(cell.alias("cell")).collect() if (found := common_format([row["cell"]]))), None)
+
+
 def _decide(profiled: DataFrame) -> DataFrame:
     """The role decision over a profile; NULL when a column is empty."""
     return profiled.selectExpr(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,7 @@ from tabprep.operators.joins import deal_out, equi_join, hot_keys
 from tabprep.operators.ordering import with_shuffle_key
 from tabprep.operators.payloads import flatten_payload
 from tabprep.operators.prompts import few_shot_prompts
+from tabprep.operators.roles import leading_format
 from tabprep.operators.rows import drop_missing, keep_first_chain, nan_to_null
 from tabprep.operators.series import with_future_change
 from tabprep.operators.splits import split_contiguous, split_purged
@@ -40,6 +41,15 @@ def _is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 
 
+def _time(df: DataFrame, name: str, order: list[str], strict: bool, source: DataFrame | None = None) -> Column:
+    """Column ``name`` as a timestamp. Texts are read by the format that the first of them in ``order`` has; ``strict`` makes
+    any other text an error instead of NULL. ``source`` is a smaller table with the same texts to learn the format from."""
+    if not _is_text(df, name):
+        return col(name).cast("timestamp_ntz")
+    found = leading_format(df if source is None else source, name, order)
+    return (parse_timestamp_strict if strict else parse_timestamp)(col(name), found)
+
+
 def payload_events(
     raw: DataFrame, payload: str, time: str, target: str, columns: list[str], tiebreak: list[str],
     payload_schema: T.StructType | str | None = None, elements: dict[str, tuple[str, int]] | None = None,
@@ -49,15 +59,15 @@ def payload_events(
 
     ``elements`` adds ``{name: (array column, index)}``; columns in ``drop`` go if present, before
     payload keys of the same name arrive, and columns in ``filling`` stand in for missing keys. Events
-    without ``target`` are left out; events without a readable time come last. The flat table is written
+    without ``target`` are left out; events without a readable time come last. Times in text are read by the format of the
+    first of them in the order of ``tiebreak``. The flat table is written
     once, so that payloads are parsed once. Order: ``_at`` and ``tiebreak``.
     """
     flat = flatten_payload(raw, payload, payload_schema, replacing=drop, filling=filling)
     flat = clear_null_tokens(flat)
     for name, (array, index) in (elements or {}).items():
         flat = flat.withColumn(name, element_or(col(array), index))
-    at = parse_timestamp(col(time)) if _is_text(flat, time) else col(time).cast("timestamp_ntz")
-    flat = flat.withColumn("_at", at)
+    flat = flat.withColumn("_at", _time(flat, time, tiebreak, strict=False))
     flat = drop_if_present(flat, [c for c in drop or [] if c not in [*columns, *tiebreak]])
     flat = drop_missing(flat, [target])
     helpers = [c for c in ["_at", *tiebreak] if c not in columns]
@@ -102,7 +112,7 @@ def purged_series(
     Order: ``_at`` and ``tiebreak``.
     """
     tiebreak = tiebreak or []
-    at = parse_timestamp_strict(col(time)) if _is_text(raw, time) else col(time).cast("timestamp_ntz")
+    at = _time(raw, time, tiebreak or [time], strict=True)
     series = keep(raw, list(dict.fromkeys([time, value, *columns, *tiebreak]))).withColumn("_at", at)
     changed = with_future_change(series, ["_at", *tiebreak], value, steps, target)
     changed = pin(drop_missing(changed, [target]), "changes")
@@ -152,8 +162,7 @@ def flat_orders(
     sold = equi_join(described, orders, order_key, "inner", null_safe=null_safe, hot=hot_orders)
     flat = equi_join(sold, reviews, order_key, "left", null_safe=null_safe, hot=hot_orders)
     flat = copy_columns(flat, copies or {})
-    at = parse_timestamp_strict(col(time)) if _is_text(flat, time) else col(time).cast("timestamp_ntz")
-    flat = flat.withColumn(time, at)
+    flat = flat.withColumn(time, _time(flat, time, [order_key], strict=True, source=orders))
     helpers = [c for c in tiebreak if c not in columns]
     flat = pin(drop_missing(keep(flat, [*columns, *helpers]), [target]), "flat")
     return split_contiguous(flat, [time, *tiebreak]).drop(*([] if keep_order else helpers))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 
 from tabprep.functions.text import render
 from tabprep.meta import TableMeta
 from tabprep.operators.columns import keep
-from tabprep.operators.layouts import apply_layout
+from tabprep.operators.layouts import LAYOUTS, apply_layout, count_classes, layout_info
 from tabprep.operators.ordering import chronological, filled
 from tabprep.operators.splits import only
 
@@ -29,7 +31,8 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """
     rows = chronological(df, order) if order else df
     texts = rows.select(*[render(filled(rows, f.name), f.dataType).alias(f.name) for f in rows.schema])
-    texts.write.mode("overwrite").options(header=True, emptyValue="", escape='"').csv(path)
+    options = {"header": True, "emptyValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    texts.write.mode("overwrite").options(**options).csv(path)
 
 
 def write_layout(df: DataFrame, meta: TableMeta, layout: str, path: str, splits: list[str] | None = None) -> list[str]:
@@ -47,6 +50,14 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_headers(train: DataFrame, meta: TableMeta, path: str, layouts: list[str] | None = None) -> None:
+    """``layout_info`` of every layout as one JSON line, with the number of classes that ``train`` has in the target."""
+    classes = count_classes(train, meta)
+    found = [{"layout": layout, **layout_info(meta, layout, classes)} for layout in layouts or LAYOUTS]
+    lines = [(json.dumps(header),) for header in found]  # one line per layout
+    train.sparkSession.createDataFrame(lines, "line string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_rows(parsed: DataFrame, columns: list[str], path: str) -> None:
     """Parsed completions as CSV."""
     write_csv(keep(parsed, columns), path)

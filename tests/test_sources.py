@@ -98,6 +98,21 @@ def test_csv_cells_match_pandas(spark, tmp_path):
     assert _pandas_csv(tmp_path / "ours").values.tolist() == theirs.values.tolist()
 
 
+def test_csv_keeps_blanks_around_cells(spark, tmp_path):
+    df = spark.createDataFrame([(1, " a "), (2, "b\n"), (3, "\tc")], "n int, s string")
+    writers.write_csv(df, str(tmp_path / "blanks"), order=["n"])
+    assert [r["s"] for r in readers.read_csv(spark, str(tmp_path / "blanks"), multi_line=True).orderBy("n").collect()] == [" a ", "b\n", "\tc"]
+
+
+def test_headers_count_classes(spark, tmp_path):
+    train = spark.createDataFrame([("x", 1.5), ("y", 2.5), ("y", None), (None, 3.5)], "c string, v double")
+    meta = TableMeta.of(["c", "v"], {"c": "categorical", "v": "continuous"}, target="c", name="t")
+    writers.write_headers(train, meta, str(tmp_path / "headers"))
+    found = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "headers")).collect()]
+    assert [h["layout"] for h in found] == list(layouts.LAYOUTS) and {h["n_classes"] for h in found} == {2}
+    assert layouts.count_classes(train, meta.with_target("v", "regression")) is None
+
+
 def test_splits_are_read_by_folder(spark, tmp_path):
     df = spark.createDataFrame([(1, "train"), (2, "val"), (3, "test"), (4, None)], "n int, split string")
     writers.write_splits(df, str(tmp_path / "s"))

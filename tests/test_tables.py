@@ -15,6 +15,7 @@ from tabprep.meta import TableMeta
 from tabprep.operators import columns, joins, layouts, payloads, profiles, roles, rows
 from tabprep.operators.completions import complete, parse_completions
 from tabprep.operators.prompts import PROMPT_HEADER, PROMPT_TRAILER, draw_positions, few_shot_prompts
+from tabprep.plans import recipes
 
 
 def _rows(df):
@@ -112,6 +113,41 @@ def test_flatten_refuses_name_clash(spark):
     assert payloads.flatten_payload(df.withColumn("p", F.lit("[]")), "p").columns == ["i", "p"]
 
 
+def test_flatten_tells_keys_apart(spark):
+    rows = ['{"k": "x", "k": 1, "K": "a", "N": {"y": 1, "Y": 2}, "N.y": 7}', '{"k": 5, "I": 9}', '{"k": 5} tail']
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(rows)], "i int, p string")
+    flat = payloads.flatten_payload(df, "p")
+    assert flat.columns == ["i", "p", "I_2", "K", "N.Y", "N.y_2", "N.y_3", "k_2"]
+    found = [tuple(r)[2:] for r in flat.orderBy("i").collect()]
+    assert found == [(None, "a", 2, 1, 7, 1), (9, None, None, None, None, 5), (None,) * 6]
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
+@pytest.mark.parametrize("form, kind", [("%m/%d/%Y %H:%M:%S", "coerce"), ("%Y%m%d", "coerce"), ("%b %d, %Y", "strict"),
+                                        ("%d-%b-%Y", "strict"), ("%m/%d/%Y %I:%M %p", "strict")])
+def test_recipes_read_times_by_their_form(spark, form, kind):
+    days = [datetime.datetime(2020, 1, 1) + datetime.timedelta(days=37 * i % 101, minutes=i) for i in range(60)]
+    written = [day.strftime(form) for day in days]
+    parsed = [datetime.datetime.strptime(text, form) for text in written]
+    frame = [(i, text, float(i + 1), "{}", "t") for i, text in enumerate(written)]
+    df = spark.createDataFrame(frame, "i int, time string, v double, payload string, target string")
+    by_time = sorted(range(60), key=lambda i: (parsed[i], i))
+    if kind == "coerce":
+        late = df.withColumn("time", F.when(F.col("i") == 30, "later").otherwise(F.col("time")))
+        found = recipes.payload_events(late, "payload", "time", "target", ["i"], ["i"], payload_schema="q int")
+        expected = [i for i in by_time if i != 30] + [30]
+        assert {r["i"] for r in found.where("split = 'train'").collect()} == set(expected[:45])
+        assert 30 in {r["i"] for r in found.where("split = 'test'").collect()}
+        return
+    found = recipes.purged_series(df, "time", "v", ["i"], steps=1, gap=0, tiebreak=["i"], keep_time=True).collect()
+    change = {a: ((b + 1) - (a + 1)) / (a + 1) for a, b in zip(by_time, by_time[1:])}
+    assert {r["i"]: r["future_return"] for r in found} == change
+    assert {r["i"]: r["time"] for r in found} == {i: parsed[i].strftime("%Y-%m-%d %H:%M") for i in change}
+    with pytest.raises(Exception, match="not a timestamp"):
+        bad = df.withColumn("time", F.when(F.col("i") == 30, "later").otherwise(F.col("time")))
+        recipes.purged_series(bad, "time", "v", ["i"], tiebreak=["i"]).collect()
+
+
 # --- roles ---------------------------------------------------------------------------------------
 
 

@@ -190,6 +190,67 @@ def manifest() -> str:
                "column" = 'l_shipdate' AS is_target FROM placed"""
 
 
+RULES = [
+    ("role_subset", "categorical", 0), ("role_subset", "integer", 0), ("role_subset", "continuous", 0),
+    ("role_grouped", "continuous", 0), ("role_grouped", "integer", 1), ("role_grouped", "categorical", 2), ("role_grouped", "text", 3),
+    ("all_columns", "categorical", 0), ("all_columns", "integer", 0), ("all_columns", "continuous", 0), ("all_columns", "text", 0),
+    ("epoch", "categorical", 0), ("epoch", "continuous", 1), ("epoch", "integer", 2),
+]
+
+
+def customer_layouts() -> str:
+    """Common table expressions: split customers, roles of their train rows, and the place of every column in every layout."""
+    columns = list(PROFILED["customer"][1])
+    order = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(columns))
+    values = ", ".join(f"('{layout}', '{role}', {group})" for layout, role, group in RULES)
+    return f"""WITH whole AS MATERIALIZED (SELECT * EXCLUDE (r, n), {CONTIGUOUS} AS split FROM ({ranked('customer', 'c_custkey')})),
+        train AS MATERIALIZED (SELECT * EXCLUDE (split) FROM whole WHERE split = 'train'),
+        roles AS (SELECT "column", role, CASE "column" {order} END AS source FROM ({role_rows('customer', 'train')})),
+        rules(layout, role, grp) AS (VALUES {values}),
+        placed AS (SELECT layout, "column", role, source,
+            row_number() OVER (PARTITION BY layout ORDER BY grp, source) - 1 AS position FROM roles JOIN rules USING (role))"""
+
+
+def layout_cells() -> str:
+    cells = " UNION ALL ".join(
+        f"SELECT c_custkey::VARCHAR AS c_custkey, split, '{c}' AS \"column\", {c}::VARCHAR AS cell FROM whole"
+        for c in PROFILED["customer"][1] if c != "c_custkey"
+    )
+    return f"""{customer_layouts()}, cells AS ({cells})
+        SELECT layout, split, c_custkey, "column", cell FROM cells JOIN placed USING ("column")"""
+
+
+def layout_headers() -> str:
+    def listed(value: str, order: str, where: str) -> str:
+        return f"coalesce(string_agg({value}::VARCHAR, ',' ORDER BY {order}) FILTER (WHERE {where}), '')"
+
+    numeric, target = "role IN ('integer', 'continuous')", "\"column\" = 'c_mktsegment'"
+    return f"""{customer_layouts()},
+        left_out AS (SELECT layout, "column", source FROM (SELECT DISTINCT layout FROM rules), roles
+            WHERE (layout, "column") NOT IN (SELECT (layout, "column") FROM placed)),
+        dropped AS (SELECT layout, string_agg("column", ',' ORDER BY source) AS dropped FROM left_out GROUP BY layout)
+        SELECT layout, 'customers' AS name, 'binclass' AS task_type, (SELECT count(DISTINCT c_mktsegment) FROM train) AS n_classes,
+            {listed('"column"', 'position', 'true')} AS column_names,
+            {listed('position', 'position', f'{numeric} AND NOT {target}')} AS num_col_idx,
+            {listed('position', 'position', f"role = 'categorical' AND NOT {target}")} AS cat_col_idx,
+            {listed('position', 'position', target)} AS target_col_idx, coalesce(any_value(dropped), '') AS dropped
+        FROM placed LEFT JOIN dropped USING (layout) GROUP BY layout"""
+
+
+COMPLETIONS = r"""WITH made AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6
+            WHEN 0 THEN '"g_role": "' || role || '", "g_turn": ' || turn || '} tail ' || text
+            WHEN 1 THEN text
+            WHEN 2 THEN '"g_role": {"x": "' || role || '"}, "g_turn": 1}'
+            WHEN 3 THEN ' ' || chr(10) || ' "g_role": "' || role || '", "zz": 3, "g_turn": null}' || chr(9) || ' '
+            WHEN 4 THEN '"g_role": "' || role || '", "g_text": ' || to_json(text)::VARCHAR || '}'
+            ELSE '"g_role": "' || role || '", "g_turn": tru}' END AS t FROM conversations),
+            cut AS (SELECT conv_id, turn,
+                regexp_extract('{' || regexp_replace(t, '^\s+|\s+$', '', 'g'), '\{.*?\}', 0, 's') AS m FROM made),
+            good AS (SELECT conv_id, turn, CASE WHEN m <> '' AND json_valid(m) THEN m END AS m FROM cut)
+            SELECT conv_id, turn, json_extract_string(m, '$.g_role') AS g_role, json_extract_string(m, '$.g_turn') AS g_turn,
+            json_extract_string(m, '$.g_text') AS g_text FROM good"""
+
+
 def structural() -> str:
     key = "o_orderkey"
     return f"""WITH drawn AS (SELECT o_orderkey, {normal('42|root_1', key)} AS root_1, {normal('42|root_2', key)} AS root_2,
@@ -244,6 +305,9 @@ def all_oracles() -> dict[str, str]:
         "json_flatten_nested": """SELECT event_id, CASE WHEN event_id % 5 > 1 THEN user_id END AS a_b,
             CASE WHEN event_id % 5 > 1 THEN event_type END AS a_c,
             CASE WHEN event_id % 5 > 1 THEN '[1,' || event_id || ']' END AS list FROM events""",
+        "json_flatten_keys": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'alone' WHEN 1 THEN NULL ELSE event_type END AS "K",
+            CASE WHEN event_id % 4 > 1 THEN user_id END AS k_2, CASE WHEN event_id % 4 > 1 THEN 1::BIGINT END AS in_upper,
+            CASE WHEN event_id % 4 > 1 THEN event_id END AS in_lower FROM events""",
         "array_element_default": """SELECT c_custkey,
             CASE WHEN c_custkey % 3 = 2 THEN 'Missing' ELSE split_part(c_name, '#', 1) END AS first,
             CASE WHEN c_custkey % 3 = 1 THEN split_part(c_name, '#', 2) ELSE 'Missing' END AS second FROM customer""",
@@ -252,6 +316,7 @@ def all_oracles() -> dict[str, str]:
         "parse_timestamps": f"""SELECT event_id, try_cast(CASE event_id % 5 WHEN 0 THEN substr({written}, 1, 10)
             WHEN 1 THEN 'x' || {written} WHEN 2 THEN substr({written}, 1, 5) || '13-41' ELSE {written} END AS TIMESTAMP)
             AS parsed FROM events""",
+        "parse_timestamps_strict": "SELECT event_id, date_trunc('second', ts) AS parsed FROM events",
         "format_minute": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM events",
         "coerce_numeric": f"""WITH shaped AS (SELECT p_partkey, substr(p_brand, 7, 10) AS brand,
             CASE p_partkey % 9 WHEN 0 THEN ' ' || p_size || ' ' WHEN 1 THEN p_size || 'e3' WHEN 2 THEN '+' || p_size
@@ -305,19 +370,20 @@ def all_oracles() -> dict[str, str]:
         "layout_manifest": manifest(),
         "serialize_rows": f"SELECT c_custkey, {CUSTOMER_LINE} AS line FROM customer",
         "fewshot_prompts": few_shot(),
-        "parse_completions_rows": r"""WITH made AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6
-            WHEN 0 THEN '"g_role": "' || role || '", "g_turn": ' || turn || '} tail ' || text
-            WHEN 1 THEN text
-            WHEN 2 THEN '"g_role": {"x": "' || role || '"}, "g_turn": 1}'
-            WHEN 3 THEN ' ' || chr(10) || ' "g_role": "' || role || '", "zz": 3, "g_turn": null}' || chr(9) || ' '
-            WHEN 4 THEN '"g_role": "' || role || '", "g_text": ' || to_json(text)::VARCHAR || '}'
-            ELSE '"g_role": "' || role || '", "g_turn": tru}' END AS t FROM conversations),
-            cut AS (SELECT conv_id, turn,
-                regexp_extract('{' || regexp_replace(t, '^\s+|\s+$', '', 'g'), '\{.*?\}', 0, 's') AS m FROM made),
-            good AS (SELECT conv_id, turn, CASE WHEN m <> '' AND json_valid(m) THEN m END AS m FROM cut)
-            SELECT conv_id, turn, json_extract_string(m, '$.g_role') AS g_role, json_extract_string(m, '$.g_turn') AS g_turn,
-            json_extract_string(m, '$.g_text') AS g_text FROM good""",
+        "parse_completions_rows": COMPLETIONS,
+        "completions_csv": f"SELECT conv_id, turn::BIGINT AS turn, g_role, g_turn FROM ({COMPLETIONS})",
         "gen_structural": structural(),
+        "gen_structural_split": split(
+            f"({structural()})", "o_orderkey", "o_orderkey, root_1, root_2, collider, proxy_sin, distractor_cat, target_class"),
+        "csv_scan": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 3 THEN o_custkey::DOUBLE END AS o_custkey,
+            CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN ' NA' ELSE o_orderstatus END AS o_orderstatus,
+            o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders""",
+        "csv_line_breaks": """SELECT doc_id, ' "a",' || text || chr(10) || '"b" ' AS text FROM documents""",
+        "json_lines_scan": """SELECT event_id, value, props, CASE WHEN event_id % 4 <> 0 THEN user_id::VARCHAR ELSE 'Missing' END
+            AS "user", NULL::VARCHAR AS absent FROM events""",
+        "layout_csv": layout_cells(),
+        "layout_headers": layout_headers(),
+        "manifest_file": manifest(),
         "cached_split": events_split,
         "recipe_events_json": split(
             """(SELECT event_id, ts, event_type AS pattern,
@@ -325,6 +391,10 @@ def all_oracles() -> dict[str, str]:
                 CASE WHEN event_id % 10 IN (1, 2) THEN 'Missing' ELSE '80' END AS source_port,
                 json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_id % 10 <> 0)""",
             "ts, event_id", "event_id, pattern, source_ip, source_port, k"),
+        "recipe_events_text_time": split(
+            """(SELECT event_id, event_type, json_extract_string(props, '$.k')::BIGINT AS k,
+                CASE WHEN event_id % 10 <> 3 THEN date_trunc('second', ts) END AS moment FROM events)""",
+            "moment, event_id", "event_id, event_type, k"),
         "recipe_shuffled": split(
             f"""(SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal END AS balance,
                 c_nationkey AS nation, {shuffle_number(42, 'c_custkey')} AS k FROM customer WHERE c_nationkey <> 3)""",

@@ -12,9 +12,9 @@ from tabprep.operators import columns, layouts, ordering, payloads, profiles, pr
 from tabprep.operators.completions import complete, parse_completions
 from tabprep.operators.joins import equi_join, hot_keys
 from tabprep.plans import recipes
-from tabprep.sources.readers import read_split
+from tabprep.sources.readers import read_csv, read_json_lines, read_split
 from tabprep.sources.structural import structural_table
-from tabprep.sources.writers import write_splits
+from tabprep.sources.writers import write_csv, write_headers, write_layout, write_manifest, write_rows, write_splits
 from tabprep.workspace import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +141,19 @@ def json_flatten_nested(spark, sf_dir):
     return flat.select("event_id", F.col("`a.b`").alias("a_b"), F.col("`a.c`").alias("a_c"), "list")
 
 
+@query
+def json_flatten_keys(spark, sf_dir):
+    """Discovered keys, some of them repeated in an object, some different only in case."""
+    events = table(spark, sf_dir, "events")
+    user, number = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    full = F.concat(F.lit('{"k": "old", "k": '), user, F.lit(', "K": "'), F.col("event_type"), F.lit('", "in": {"x": '),
+                    number, F.lit(', "X": 1}}'))
+    kind = F.col("event_id") % 4
+    payload = F.when(kind == 0, '{"K": "alone"}').when(kind == 1, F.concat(full, F.lit(" tail"))).otherwise(full)
+    flat = payloads.flatten_payload(events.select("event_id", payload.alias("payload")), "payload")
+    return flat.select("event_id", "K", F.col("k_2"), F.col("`in.X`").alias("in_upper"), F.col("`in.x_2`").alias("in_lower"))
+
+
 @query
 def array_element_default(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
@@ -173,6 +186,15 @@ def parse_timestamps(spark, sf_dir):
     return events.select("event_id", dates.parse_timestamp(raw).alias("parsed"))
 
 
+@query
+def parse_timestamps_strict(spark, sf_dir):
+    """Times in another form than ISO: the form is learned from the first of them, and every other text would be an error."""
+    events = table(spark, sf_dir, "events")
+    written = events.select("event_id", F.date_format("ts", "M/d/yyyy HH:mm:ss").alias("written"))
+    found = roles.leading_format(written, "written", ["event_id"])
+    return written.select("event_id", dates.parse_timestamp_strict(F.col("written"), found).alias("parsed"))
+
+
 @query
 def format_minute(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", dates.format_minute(F.col("ts")).alias("minute"))
@@ -438,6 +460,97 @@ def cached_split(spark, sf_dir):
     return read_split(spark, path).select("event_id", "event_type", "split")
 
 
+# --- files -----------------------------------------------------------------------------------------
+
+
+@query
+def csv_scan(spark, sf_dir):
+    """Orders as CSV with null spellings, read back with inferred types."""
+    orders = table(spark, sf_dir, "orders")
+    kind = F.col("o_orderkey") % 5
+    status = F.when(kind == 0, "NA").when(kind == 1, "n/a").when(kind == 2, " NA").otherwise(F.col("o_orderstatus"))
+    gaps = F.when(kind != 3, F.col("o_custkey"))
+    path = new_path(spark, "orders-csv")
+    write_csv(orders.withColumns({"o_orderstatus": status, "o_custkey": gaps}), path)
+    return read_csv(spark, path)
+
+
+@query
+def csv_line_breaks(spark, sf_dir):
+    """Whole documents as CSV cells with line breaks and quotes, read back unchanged."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(' "a",'), "text", F.lit('\n"b" ')).alias("text"))
+    path = new_path(spark, "documents-csv")
+    write_csv(documents, path)
+    return read_csv(spark, path, "doc_id bigint, text string", multi_line=True)
+
+
+@query
+def json_lines_scan(spark, sf_dir):
+    """Events as JSON lines, read back by the wanted fields only."""
+    events = table(spark, sf_dir, "events")
+    source = F.when(F.col("event_id") % 4 != 0, F.array(F.col("event_type"), F.col("user_id").cast("string")))
+    path = new_path(spark, "events-json")
+    events.withColumn("source", source).write.json(path)
+    read = read_json_lines(spark, path, "event_id bigint, value double, props string, source array<string>, absent string")
+    return read.select("event_id", "value", "props", text.element_or(F.col("source"), 1).alias("user"), "absent")
+
+
+def _split_customers(spark, sf_dir, target: str, task: str):
+    customer = splits.split_contiguous(table(spark, sf_dir, "customer"), ["c_custkey"])
+    train = splits.only(customer, "train")
+    meta = roles.learn_meta(train, ["c_custkey"], target=target, task=task, name="customers")
+    return roles.coerce(customer, meta), train, meta
+
+
+@query
+def layout_csv(spark, sf_dir):
+    """Every layout of every split as CSV, read back: one row per cell. Some layouts leave columns out."""
+    customer, _, meta = _split_customers(spark, sf_dir, "c_acctbal", "regression")
+    path, found = new_path(spark, "layouts"), None
+    for layout in layouts.LAYOUTS:
+        for split, written in zip(("train", "val", "test"), write_layout(customer, meta, layout, f"{path}/{layout}", ["train", "val", "test"])):
+            read = spark.read.option("header", True).csv(written)
+            cells = read.unpivot("c_custkey", [c for c in read.columns if c != "c_custkey"], "column", "cell")
+            cells = cells.select(F.lit(layout).alias("layout"), F.lit(split).alias("split"), "c_custkey", "column", "cell")
+            found = cells if found is None else found.unionByName(cells)
+    return found
+
+
+@query
+def layout_headers(spark, sf_dir):
+    """The header file of every layout, read back, lists as texts."""
+    _, train, meta = _split_customers(spark, sf_dir, "c_mktsegment", "classification")
+    path = new_path(spark, "headers")
+    write_headers(train, meta, path)
+    lists = ["column_names", "num_col_idx", "cat_col_idx", "target_col_idx", "dropped"]
+    fields = ", ".join(f"{name} array<string>" for name in lists)
+    read = read_json_lines(spark, path, f"layout string, name string, task_type string, n_classes bigint, {fields}")
+    return read.select("layout", "name", "task_type", "n_classes", *[F.concat_ws(",", name).alias(name) for name in lists])
+
+
+@query
+def manifest_file(spark, sf_dir):
+    path = new_path(spark, "manifest")
+    write_manifest(layout_manifest(spark, sf_dir), path)
+    return read_json_lines(spark, path, "layout string, column string, position bigint, kind string, is_target boolean")
+
+
+@query
+def completions_csv(spark, sf_dir):
+    """Parsed completions as CSV, read back."""
+    path = new_path(spark, "completions")
+    write_rows(parse_completions_rows(spark, sf_dir), ["conv_id", "turn", "g_role", "g_turn"], path)
+    return read_csv(spark, path, "conv_id bigint, turn bigint, g_role string, g_turn string")
+
+
+@query
+def gen_structural_split(spark, sf_dir):
+    """Generated rows with their split, by the ids alone."""
+    orders = table(spark, sf_dir, "orders")
+    cuts = splits.find_cuts(orders.select("o_orderkey"), ["o_orderkey"], splits.contiguous_zones(orders.count()))
+    return cuts.label(gen_structural(spark, sf_dir))
+
+
 # --- recipes -------------------------------------------------------------------------------------
 
 
@@ -458,6 +571,17 @@ def recipe_events_json(spark, sf_dir):
     )
 
 
+@query
+def recipe_events_text_time(spark, sf_dir):
+    """Times in text, month first; what is no time comes last."""
+    events = table(spark, sf_dir, "events")
+    written = F.when(F.col("event_id") % 10 == 3, "soon").otherwise(F.date_format("ts", "MM/dd/yyyy HH:mm:ss"))
+    raw = events.select("event_id", written.alias("time"), F.col("props").alias("payload"), "event_type")
+    return recipes.payload_events(
+        raw, "payload", "time", "event_type", ["event_id", "event_type", "k"], ["event_id"], payload_schema="k bigint", drop=["payload"]
+    )
+
+
 @query
 def recipe_shuffled(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
