@@ -3,6 +3,10 @@
 A trie of byte contexts, kept as sorted arrays of packed n-grams per order, is learned from the training documents. A
 byte that its context has not seen escapes to the next shorter context, where the symbols of the longer one are excluded
 (escape estimate: distinct / (total + distinct)). Code lengths add up per document.
+
+All n-grams count, whatever the size of the corpus: each order of the trie is a table of contexts with all that followed
+them. Contexts of up to two bytes and, of the longer ones, those with the most occurrences, are sent to the tasks; an n-gram
+whose walk down the orders meets another context is met with the tables by a join, once for all its occurrences.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +22,20 @@ from pyspark.sql import functions as F
 from tabprep.llm.common import blocks, map_batches, remainder
 from tabprep.workspace import pin
 
-ORDER = 3
+ORDER = 5  # at most 6: an n-gram of order + 1 bytes is a positive 64-bit number
+SHORT = 2  # contexts of up to this many bytes go to the tasks whole: at most 2 ** 24 n-grams
 EDGE = 0xFF  # never a byte of UTF-8: stands before every text and, as its end, behind it
 
 
 def frames(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed (order + 1)-grams of all symbols, ends included, and how many each text has."""
     edge = bytes([EDGE])
-    raw = np.frombuffer(b"".join(edge * order + text + edge for text in texts), np.uint8).astype(np.uint32)
+    raw = np.frombuffer(b"".join(edge * order + text + edge for text in texts), np.uint8).astype(np.int64)
     sizes = np.array([len(text) + 1 for text in texts], np.int64)
-    n = len(raw) - order
-    grams = np.zeros(n, np.uint32)
+    n = max(len(raw) - order, 0)
+    grams = np.zeros(n, np.int64)
     for k in range(order + 1):
-        grams = (grams << np.uint32(8)) | raw[k : k + n]
+        grams = (grams << 8) | raw[k : k + n]
     inside = np.ones(n, bool)  # leave out grams that end in the symbols before the next text
     starts = np.cumsum(sizes + order)[:-1]
     for k in range(order):
@@ -37,29 +43,40 @@ def frames(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[inside], sizes
 
 
+def low_bytes(n: int) -> int:
+    return (1 << 8 * n) - 1
+
+
 class Trie:
     """Byte contexts of up to ``order`` symbols with the counts of what followed."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """``levels[j]``: packed grams of j + 1 bytes, ascending, and their counts."""
+    def __init__(
+        self, levels: list[tuple[np.ndarray, np.ndarray]], excluded: list[np.ndarray] | None = None, complete: list[bool] | None = None
+    ):
+        """``levels[j]``: packed grams of j + 1 bytes, ascending, and their counts, with all that follows a context they hold.
+
+        ``excluded[j]``: for each context, the counts its symbols have behind the next shorter one; found in the levels if
+        none is given. An order that is not ``complete`` holds some contexts only.
+        """
         self.order = len(levels) - 1
+        self.complete = complete or [True] * len(levels)
         self.grams = [grams for grams, _ in levels]
         self.counts = [counts.astype(np.float64) for _, counts in levels]
         self.contexts, self.total, self.kinds, self.excluded = [], [], [], []
         for j, (grams, _) in enumerate(levels):
-            contexts, first = np.unique(grams >> np.uint32(8) if j else np.zeros_like(grams), return_index=True)
+            contexts, first, kinds = np.unique(grams >> 8, return_index=True, return_counts=True)
             add = lambda values: np.add.reduceat(values, first) if len(first) else values  # noqa: E731, B023
+            self.contexts.append(contexts)
+            self.total.append(add(self.counts[j]))
+            self.kinds.append(kinds.astype(np.float64))
+            if excluded is not None:
+                self.excluded.append(excluded[j].astype(np.float64))
+                continue
             lower = np.zeros(len(grams))
             if j:
-                below, seen = self._place(self.grams[j - 1], grams & np.uint32((1 << 8 * j) - 1))
+                below, seen = self._place(self.grams[j - 1], grams & low_bytes(j))
                 lower[seen] = self.counts[j - 1][below[seen]]
-            self.contexts.append(contexts)
-            self.total.append(add(self.counts[j]))
-            self.kinds.append(add(np.ones(len(grams))))
             self.excluded.append(add(lower))
-        top = self.order
-        own = np.searchsorted(self.contexts[top], self.grams[top] >> np.uint32(8)) if top else 0 * self.grams[0]
-        self.direct = np.log10((self.total[top][own] + self.kinds[top][own]) / self.counts[top])
 
     @staticmethod
     def _place(ordered: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,44 +85,62 @@ class Trie:
         place = np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)
         return place, ordered[place] == keys
 
-    def costs(self, grams: np.ndarray) -> np.ndarray:
-        """-log10 probability of the last symbol of every packed (order + 1)-gram."""
+    def _facts(self, j: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Total, kinds and excluded count of each context and the count of its symbol, as rows; and which contexts are held."""
+        facts = np.zeros((4, len(own)))
+        at, held = self._place(self.contexts[j], own >> 8)
+        for row, values in zip(facts, (self.total[j], self.kinds[j], self.excluded[j])):
+            row[held] = values[at[held]]
+        place, hit = self._place(self.grams[j], own)
+        facts[3][hit] = self.counts[j][place[hit]]
+        return facts, held
+
+    def costs(self, grams: np.ndarray, given: dict[int, np.ndarray] | None = None) -> np.ndarray:
+        """-log10 probability of the last symbol of every packed (order + 1)-gram.
+
+        Where the walk meets an order that is not complete and a context it does not hold, ``given[j]`` has its facts (rows as in
+        ``_facts``); without them the cost is not a number.
+        """
         out = np.zeros(len(grams), np.float64)
-        place, hit = self._place(self.grams[self.order], grams)
-        out[hit] = self.direct[place[hit]]
-        rows = np.flatnonzero(~hit)
+        rows = np.arange(len(grams))
         gone_total, gone_kinds = np.zeros(len(rows)), np.zeros(len(rows))
         for j in range(self.order, -1, -1):
-            own = grams[rows] & np.uint32((1 << 8 * (j + 1)) - 1)
-            at, seen = self._place(self.contexts[j], own >> np.uint32(8) if j else np.zeros_like(own))
-            total, kinds = np.zeros(len(rows)), np.zeros(len(rows))
-            total[seen] = self.total[j][at[seen]] - gone_total[seen]
-            kinds[seen] = self.kinds[j][at[seen]] - gone_kinds[seen]
-            place, hit = self._place(self.grams[j], own)
-            out[rows[hit]] += np.log10((total[hit] + kinds[hit]) / self.counts[j][place[hit]])
+            own = grams[rows] & low_bytes(j + 1)
+            facts, held = self._facts(j, own)
+            if not self.complete[j]:
+                if given is None:
+                    out[rows[~held]] = np.nan
+                    rows, gone_total, gone_kinds, facts = rows[held], gone_total[held], gone_kinds[held], facts[:, held]
+                else:
+                    facts[:, ~held] = given[j][:, rows[~held]]
+            seen, hit = facts[0] > 0, facts[3] > 0
+            total, kinds = facts[0] - gone_total, facts[1] - gone_kinds
+            out[rows[hit]] += np.log10((total[hit] + kinds[hit]) / facts[3][hit])
             escaped = seen & ~hit & (kinds > 0)
             out[rows[escaped]] += np.log10((total[escaped] + kinds[escaped]) / kinds[escaped])
-            gone_total[seen] = self.excluded[j][at[seen]] if j else 0.0
-            gone_kinds[seen] = self.kinds[j][at[seen]]
-            rows, gone_total, gone_kinds = rows[~hit], gone_total[~hit], gone_kinds[~hit]
+            gone_total = np.where(seen, facts[2] if j else 0.0, gone_total)[~hit]
+            gone_kinds = np.where(seen, facts[1], gone_kinds)[~hit]
+            rows = rows[~hit]
             if not len(rows):
                 return out
         out[rows] += np.log10(np.maximum(256 - gone_kinds, 1))
         return out
 
-    def log_probabilities(self, texts: list[bytes]) -> np.ndarray:
+    def log_probabilities(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For every text the sum over n-grams whose cost is known here; and text, n-gram, times of all others."""
         grams, sizes = frames(texts, self.order)
-        total = np.concatenate([[0.0], np.cumsum(self.costs(grams))])
+        keys, place = np.unique(grams, return_inverse=True)
+        costs = self.costs(keys)
+        known = np.isfinite(costs)
+        total = np.concatenate([[0.0], np.cumsum(np.where(known, costs, 0.0)[place])])
         ends = np.cumsum(sizes)
-        return -(total[ends] - total[ends - sizes])
+        open_at = np.flatnonzero(~known[place])
+        pair, times = np.unique(np.searchsorted(ends, open_at, "right") * max(len(keys), 1) + place[open_at], return_counts=True)
+        return -(total[ends] - total[ends - sizes]), pair // max(len(keys), 1), keys[pair % max(len(keys), 1)], times
 
 
-def train(texts: DataFrame, order: int = ORDER, max_grams: int = 4_000_000) -> Trie:
-    """The trie of all rows of ``text``: counted in tasks, summed by Spark.
-
-    ``max_grams`` bounds each order of the trie, which is sent to the driver and broadcast: where more n-grams were seen,
-    those of the smallest counts (by powers of two) are left to the escapes.
-    """
+def count_grams(texts: DataFrame, order: int) -> DataFrame:
+    """``gram, n`` of all rows of ``text``: counted in tasks, summed by Spark."""
 
     def run(batches):
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -117,28 +152,83 @@ def train(texts: DataFrame, order: int = ORDER, max_grams: int = 4_000_000) -> T
         for (column,) in blocks(batches):
             grams, _ = frames([(text or "").encode() for text in column], order)
             parts.append(np.unique(grams, return_counts=True))
-            if len(parts) >= 32:
+            if len(parts) >= 16:
                 parts = [merged()]
+                if len(parts[0][0]) >= HELD_IN_TASK:
+                    yield dict(zip(("gram", "n"), parts.pop()))
         if parts:
-            keys, counts = merged()
-            yield {"gram": keys.astype(np.int64), "n": counts}
+            yield dict(zip(("gram", "n"), merged()))
 
     counted = map_batches(texts.select("text"), [("gram", "long"), ("n", "long")], run)
-    counted = pin(counted.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
-    levels = []
-    for j in range(order + 1):
-        level = counted.groupBy(F.col("gram").bitwiseAND((1 << 8 * (j + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        level = level.withColumn("size", F.floor(F.log2("n")).cast("int"))
-        sizes = {row["size"]: row["count"] for row in level.groupBy("size").count().collect()}
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+HELD_IN_TASK = 2_000_000  # distinct n-grams a task holds before it sends their counts
+
+
+def context_tables(counted: DataFrame, order: int) -> list[DataFrame]:
+    """For every order ``context, total, kinds, excluded, followers``; ``followers`` are at most 256 (gram, n)."""
+    levels = [counted]
+    for j in range(order, 0, -1):
+        suffix = F.col("gram").bitwiseAND(low_bytes(j)).alias("gram")
+        levels.insert(0, pin(levels[0].groupBy(suffix).agg(F.sum("n").alias("n")), f"ppm-order-{j - 1}"))
+    tables = []
+    for j, level in enumerate(levels):
+        if j:
+            below = levels[j - 1].select(F.col("gram").alias("suffix"), F.col("n").alias("below"))
+            level = level.withColumn("suffix", F.col("gram").bitwiseAND(low_bytes(j))).join(below, "suffix")
+        else:
+            level = level.withColumn("below", F.lit(0).cast("long"))
+        tables.append(pin(level.groupBy(F.shiftright("gram", 8).alias("context")).agg(
+            F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("below").alias("excluded"),
+            F.collect_list(F.struct("gram", "n")).alias("followers"),
+        ), f"ppm-contexts-{j}"))
+    return tables
+
+
+def train(texts: DataFrame, order: int = ORDER, max_grams: int = 2_000_000, short: int = SHORT) -> tuple[Trie, dict[int, DataFrame]]:
+    """The trie for the tasks, and for each of its orders that is not complete the table of the other contexts.
+
+    Of contexts longer than ``short`` bytes the most frequent (by powers of two of their occurrences) are in the trie, as many as
+    have at most ``max_grams`` n-grams for each order.
+    """
+    tables = context_tables(pin(count_grams(texts, order), "ppm-grams"), order)
+    levels, excluded, others = [], [], {}
+    for j, table in enumerate(tables):
+        table = table.withColumn("size", F.floor(F.log2("total")).cast("int"))
         least = kept = 0
-        for size in sorted(sizes, reverse=True):
-            kept += sizes[size]
-            if kept > max_grams:
-                least = size + 1
-                break
-        frame = level.where(F.col("size") >= least).select("gram", "n").toPandas().sort_values("gram")
-        levels.append((frame["gram"].to_numpy(np.int64).astype(np.uint32), frame["n"].to_numpy(np.int64)))
-    return Trie(levels)
+        if j > short:
+            sizes = {row["size"]: row["n"] for row in table.groupBy("size").agg(F.sum("kinds").alias("n")).collect()}
+            for size in sorted(sizes, reverse=True):
+                kept += sizes[size]
+                if kept > max_grams:
+                    least = size + 1
+                    others[j] = table.where(F.col("size") < least)
+                    break
+        held = table.where(F.col("size") >= least).select("context", "excluded", F.explode("followers").alias("f"))
+        frame: pd.DataFrame = held.select("context", "excluded", "f.gram", "f.n").toPandas().sort_values("gram")
+        levels.append((frame["gram"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)))
+        excluded.append(frame.drop_duplicates("context")["excluded"].to_numpy(np.int64))
+    return Trie(levels, excluded, [j not in others for j in range(order + 1)]), others
+
+
+def gram_costs(grams: DataFrame, trie: Trie, others: dict[int, DataFrame]) -> DataFrame:
+    """``gram, cost`` of distinct n-grams, with the facts of contexts that ``trie`` does not hold joined from ``others``."""
+    facts, orders = ["total", "kinds", "excluded", "n"], list(others)
+    for j, table in others.items():
+        own = F.col("gram").bitwiseAND(low_bytes(j + 1))
+        met = grams.withColumn("context", F.shiftright(own, 8)).join(table, "context", "left")
+        followed = F.get(F.filter("followers", lambda f: f["gram"] == own), 0)["n"]  # noqa: B023
+        cells = [*[F.col(c) for c in facts[:3]], followed]
+        grams = met.select(*grams.columns, *[F.coalesce(c, F.lit(0)).alias(f"{name}{j}") for c, name in zip(cells, facts)])
+
+    def run(batches):
+        for batch in batches:
+            columns = {name: batch.column(i).to_numpy() for i, name in enumerate(batch.schema.names)}
+            given = {j: np.array([columns[f"{name}{j}"] for name in facts], np.float64) for j in orders}
+            yield {"gram": columns["gram"], "cost": trie.costs(columns["gram"], given)}
+
+    return map_batches(grams, [("gram", "long"), ("cost", "double")], run)
 
 
 def token_hash(word: bytes) -> int:
@@ -171,17 +261,18 @@ def token_counts(texts: DataFrame, held_in_task: int = 400_000) -> DataFrame:
 
 
 def language_model_scores(
-    docs: DataFrame, divisor: int = 7, held: int = 2, order: int = ORDER, common_tokens: int = 2_000_000
+    docs: DataFrame, divisor: int = 7, held: int = 2, order: int = ORDER, common_tokens: int = 2_000_000, max_grams: int = 2_000_000,
+    short: int = SHORT,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
 
     Learned from all rows whose remainder is not ``held``. Tokens that make up more than 1 / ``common_tokens`` of the training
     tokens (so fewer than that many) are looked up where the text is read; the others are joined by hash, so that no
-    frequent word reaches a shuffle. Null texts count as empty: one end token. Repeated rows each give a row, a null id
+    frequent word reaches a shuffle. Of the trie, orders with more than ``max_grams`` n-grams are met in the same way (see ``train``). Null texts count as empty: one end token. Repeated rows each give a row, a null id
     counts as the empty text in the split, other columns are ignored. Without training rows all counts are 0 and bytes are uniform.
     """
     learn = docs.where(remainder("doc_id", divisor) != held).select("text")
-    trie = train(learn, order)
+    trie, others = train(learn, order, max_grams, short)
     counts = pin(token_counts(learn), "token-counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"], totals["v"]
@@ -191,7 +282,7 @@ def language_model_scores(
     end_count = int(common.loc[common["token"] == token_hash(b""), "n"].sum())
     fields = [
         ("doc_id", "long"), ("n_tokens", "long"), ("known", "long"), ("logs", "double"), ("score", "double"),
-        ("rare", "array<long>"), ("times", "array<long>"),
+        ("rare", "array<long>"), ("times", "array<long>"), ("grams", "array<long>"), ("gram_times", "array<long>"),
     ]
     if not end_count:  # an end so rare that it is not common: as good as never with more than one word per text
         end_row = counts.where(F.col("token") == token_hash(b"")).first()
@@ -216,10 +307,14 @@ def language_model_scores(
             bounds = np.searchsorted(pair, np.arange(len(ids) + 1) * max(len(place), 1))
             rare = hashes[pair % max(len(place), 1)] if len(pair) else pair
             cut_at = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+            score, open_in, grams, gram_times = trie.log_probabilities(raw)
+            edges = np.searchsorted(open_in, np.arange(len(ids) + 1)).tolist()
             yield {
                 "doc_id": ids, "n_tokens": sizes + 1, "known": known + (end_count > 0),
-                "logs": total + np.log10(end_count + 1), "score": trie.log_probabilities(raw),
+                "logs": total + np.log10(end_count + 1), "score": score,
                 "rare": [rare[a:b] for a, b in cut_at], "times": [times[a:b] for a, b in cut_at],
+                "grams": [grams[a:b] for a, b in zip(edges, edges[1:])],
+                "gram_times": [gram_times[a:b] for a, b in zip(edges, edges[1:])],
             }
 
     scored = map_batches(docs.select("doc_id", "text"), fields, run)
@@ -231,10 +326,17 @@ def language_model_scores(
         rare.join(counts.where(F.col("n") <= cut), "token").groupBy("row")
         .agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
     )
+    scored = scored.join(sums, "row", "left").withColumn("open_cost", F.lit(0.0))
+    if others:
+        met = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("t"))
+        met = met.select("row", F.col("t.grams").alias("gram"), F.col("t.gram_times").alias("times"))
+        costs = pin(gram_costs(met.select("gram").distinct(), trie, others), "ppm-costs")
+        costs = met.join(costs, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("open_cost"))
+        scored = scored.drop("open_cost").join(costs, "row", "left")
     zero = F.lit(0)
-    return scored.join(sums, "row", "left").select(
+    return scored.select(
         "doc_id", (remainder("doc_id", divisor) == held).alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("more_known", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1))))
-        .alias("base_score"), "score",
+        .alias("base_score"), (F.col("score") - F.coalesce("open_cost", F.lit(0.0))).alias("score"),
     )

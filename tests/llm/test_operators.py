@@ -273,18 +273,63 @@ def test_word_scores_against_a_plain_version(docs, texts):
             assert r.score < 0
 
 
+def _levels(texts, order):
+    grams, _ = ppm.frames(texts, order)
+    return [np.unique(grams & ppm.low_bytes(j + 1), return_counts=True) for j in range(order + 1)]
+
+
 def test_ppm_is_a_distribution():
-    grams, _ = ppm.frames([b"abracadabra", b"abrasive", b"\xc3\xa9"], 2)
-    levels = []
-    for j in range(3):
-        levels.append(np.unique(grams & np.uint32((1 << 8 * (j + 1)) - 1), return_counts=True))
-    trie = ppm.Trie(levels)
+    trie = ppm.Trie(_levels([b"abracadabra", b"abrasive", b"\xc3\xa9"], 2))
     for context in (b"ab", b"ra", b"zb", b"qq"):
-        high = np.uint32((context[0] << 16) | (context[1] << 8))
-        total = (10.0 ** -trie.costs(high | np.arange(256, dtype=np.uint32))).sum()
+        high = (context[0] << 16) | (context[1] << 8)
+        total = (10.0 ** -trie.costs(high | np.arange(256))).sum()
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def _plain_ppm(training, order):
+    """Symbol counts by context of every length, and a scorer that walks down with exclusion, one symbol at a time."""
+    seen = collections.defaultdict(collections.Counter)
+    for text in training:
+        symbols = (ppm.EDGE,) * order + tuple(text) + (ppm.EDGE,)
+        for i in range(order, len(symbols)):
+            for j in range(order + 1):
+                seen[symbols[i - j : i]][symbols[i]] += 1
+
+    def score(text):
+        symbols, total = (ppm.EDGE,) * order + tuple(text) + (ppm.EDGE,), 0.0
+        for i in range(order, len(symbols)):
+            gone = set()
+            for j in range(order, -1, -1):
+                left = {s: c for s, c in seen.get(symbols[i - j : i], {}).items() if s not in gone}
+                if symbols[i] in left:
+                    total += np.log10(left[symbols[i]] / (sum(left.values()) + len(left)))
+                    break
+                if left:
+                    total += np.log10(len(left) / (sum(left.values()) + len(left)))
+                gone |= set(left)
+            else:
+                total -= np.log10(max(256 - len(gone), 1))
+        return total
+
+    return score
+
+
+@pytest.mark.parametrize("max_grams, short", [(2_000_000, 2), (60, 1), (1, 0)])
+def test_ppm_scores_against_a_plain_version(spark, docs, max_grams, short):
+    """Whole in the tasks, partly joined, and joined for all but the shortest contexts: the same scores."""
+    some = docs.where("doc_id < 60 and length(text) < 1500").select("doc_id", "text")
+    odd = [(901, "\u00e9\u4e2d zq"), (902, ""), (903, None), (904, "aaaa aaaa"), (904, "aaaa aaaa")]
+    table = some.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    rows = table.collect()
+    held = {r.doc_id for r in rows if zlib.crc32(str(r.doc_id).encode()) % 7 == 2}
+    score = _plain_ppm([(r.text or "").encode() for r in rows if r.doc_id not in held], ppm.ORDER)
+    assert held and len(rows) > 20
+    found = ppm.language_model_scores(table, max_grams=max_grams, short=short).collect()
+    assert len(found) == len(rows)
+    expected = {r.doc_id: score((r.text or "").encode()) for r in rows}
+    assert {r.doc_id: r.score for r in found} == pytest.approx(expected)
+
+
 def test_repeated_windows_are_cut(spark):
     block = "one line of the shared block\nanother line of the shared block\nthird line of the shared block"
     passage = "Here is a first sentence of some length. A second one follows with more words. Then a third one ends it all."
