@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from tabprep.llm.common import blocks, map_batches, remainder
 from tabprep.workspace import pin
 
-ORDER = 5  # at most 6: an n-gram of order + 1 bytes is a positive 64-bit number
+ORDER = 4  # at most 6: an n-gram of order + 1 bytes is a positive 64-bit number
 SHORT = 2  # contexts of up to this many bytes go to the tasks whole: at most 2 ** 24 n-grams
 EDGE = 0xFF  # never a byte of UTF-8: stands before every text and, as its end, behind it
 
@@ -186,7 +185,14 @@ def context_tables(counted: DataFrame, order: int) -> list[DataFrame]:
     return tables
 
 
-def train(texts: DataFrame, order: int = ORDER, max_grams: int = 2_000_000, short: int = SHORT) -> tuple[Trie, dict[int, DataFrame]]:
+def _sorted(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of numbers on the driver, in the order of the first."""
+    keys, values = (column.to_numpy() for column in pairs.toArrow().columns)
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def train(texts: DataFrame, order: int = ORDER, max_grams: int = 500_000, short: int = SHORT) -> tuple[Trie, dict[int, DataFrame]]:
     """The trie for the tasks, and for each of its orders that is not complete the table of the other contexts.
 
     Of contexts longer than ``short`` bytes the most frequent (by powers of two of their occurrences) are in the trie, as many as
@@ -205,10 +211,10 @@ def train(texts: DataFrame, order: int = ORDER, max_grams: int = 2_000_000, shor
                     least = size + 1
                     others[j] = table.where(F.col("size") < least)
                     break
-        held = table.where(F.col("size") >= least).select("context", "excluded", F.explode("followers").alias("f"))
-        frame: pd.DataFrame = held.select("context", "excluded", "f.gram", "f.n").toPandas().sort_values("gram")
-        levels.append((frame["gram"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)))
-        excluded.append(frame.drop_duplicates("context")["excluded"].to_numpy(np.int64))
+        held = table.where(F.col("size") >= least)
+        grams, counts = _sorted(held.select(F.explode("followers").alias("f")).select("f.gram", "f.n"))
+        levels.append((grams, counts))
+        excluded.append(_sorted(held.select("context", "excluded"))[1])
     return Trie(levels, excluded, [j not in others for j in range(order + 1)]), others
 
 
@@ -261,7 +267,7 @@ def token_counts(texts: DataFrame, held_in_task: int = 400_000) -> DataFrame:
 
 
 def language_model_scores(
-    docs: DataFrame, divisor: int = 7, held: int = 2, order: int = ORDER, common_tokens: int = 2_000_000, max_grams: int = 2_000_000,
+    docs: DataFrame, divisor: int = 7, held: int = 2, order: int = ORDER, common_tokens: int = 2_000_000, max_grams: int = 500_000,
     short: int = SHORT,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.

@@ -314,7 +314,7 @@ def _plain_ppm(training, order):
     return score
 
 
-@pytest.mark.parametrize("max_grams, short", [(2_000_000, 2), (60, 1), (1, 0)])
+@pytest.mark.parametrize("max_grams, short", [(500_000, 2), (60, 1), (1, 0)])
 def test_ppm_scores_against_a_plain_version(spark, docs, max_grams, short):
     """Whole in the tasks, partly joined, and joined for all but the shortest contexts: the same scores."""
     some = docs.where("doc_id < 60 and length(text) < 1500").select("doc_id", "text")
