@@ -274,7 +274,8 @@ def language_model_scores(
 
     Learned from all rows whose remainder is not ``held``. Tokens that make up more than 1 / ``common_tokens`` of the training
     tokens (so fewer than that many) are looked up where the text is read; the others are joined by hash, so that no
-    frequent word reaches a shuffle. Of the trie, orders with more than ``max_grams`` n-grams are met in the same way (see ``train``). Null texts count as empty: one end token. Repeated rows each give a row, a null id
+    frequent word reaches a shuffle. Orders of the trie with more than ``max_grams`` n-grams are met in the same way (see
+    ``train``). Null texts count as empty: one end token. Repeated rows each give a row, a null id
     counts as the empty text in the split, other columns are ignored. Without training rows all counts are 0 and bytes are uniform.
     """
     learn = docs.where(remainder("doc_id", divisor) != held).select("text")
