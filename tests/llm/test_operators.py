@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -261,6 +262,74 @@ def test_personal_data_against_a_plain_version(spark, docs):
         assert own.n_email + own.n_ip + own.n_card + own.n_phone == len(spans)
 
 
+def _covered(row, text, wanted):
+    """The texts of all spans of a kind."""
+    parts = [part.split(":") for part in row.spans.split(",") if part]
+    return [text[int(a) : int(b)] for kind, a, b in parts if kind == wanted]
+
+
+def test_personal_data_adds_what_the_base_patterns_miss(spark):
+    """Written-out addresses, IPv6 and phones without a plus are added; versions, ids and sums, which fail their checks, are not."""
+    rows = []
+    for i in range(400):
+        rows += [
+            (f"please write to jane{i} [at] mail{i % 7} [dot] org today", "email", f"jane{i} [at] mail{i % 7} [dot] org"),
+            (f"the host 2001:db8::{i:x}:1 answers", "ip", f"2001:db8::{i:x}:1"),
+            (f"please call 020 7946 {1000 + i} today", "phone", f"020 7946 {1000 + i}"),
+            (f"order no {100 + i % 90}-{100 + i}-{1000 + i} was sent", "phone", None),
+            (f"version 1.2.{300 + i}.7 of it", "ip", None),
+            (f"id 9999.{1000 + i}.1234.0001 is taken", "card", None),
+            (f"meet {i} [at] noon [dot] punctually{i}", "email", None),
+        ]
+    table = spark.createDataFrame([(k, text) for k, (text, _, _) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r for r in personal.personal_data(table).collect()}
+    for k, (text, kind, wanted) in enumerate(rows):
+        assert _covered(found[k], text, kind) == ([wanted] if wanted else []), text
+
+
+def test_personal_data_of_one_long_text(spark):
+    """Places are right in all blocks, and 16,000 matches in one text end soon."""
+    n = 16_000
+    text = "é call jane@example.com or 1.2.3.4 " * n
+    before = time.time()
+    row = personal.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert time.time() - before < 60  # on a shared machine; about 10 seconds are planning
+    assert (row.n_email, row.n_ip, row.n_added) == (n, n, 0)
+    size = len(text) // n
+    wanted = [f"email:{i * size + 7}:{i * size + 23},ip:{i * size + 27}:{i * size + 34}" for i in range(n)]
+    assert row.spans == ",".join(wanted) and row.base_sha256 == sha(row.spans)
+
+
+def test_added_spans_against_a_plain_version(spark):
+    """Chosen spans stay if they overlap neither a base span nor an earlier one kept, checked over several blocks."""
+    random = np.random.default_rng(5)
+    cases = []
+    for k, size in enumerate((0, 1, 5, 40, 300, 700)):
+        spans = [[(int(a), int(kind), int(a + n)) for a, kind, n in zip(
+            random.integers(0, 20 * size + 1, size), random.integers(0, 4, size), random.integers(1, 12, size)
+        )] for _ in range(2)]
+        cases.append((k, spans[0][: size // 3], spans[1]))
+    kind = f"array<{personal.SPAN}>"
+    table = spark.createDataFrame(cases, f"k int, base {kind}, chosen {kind}")
+    found = {r.k: [tuple(s) for s in r.added] for r in table.select("k", personal._free(F.col("base"), F.col("chosen")).alias("added")).collect()}
+    for k, base, chosen in cases:
+        kept = []
+        for span in sorted(chosen):
+            if all(span[2] <= b[0] or b[2] <= span[0] for b in [*base, *kept]):
+                kept.append(span)
+        assert found[k] == kept
+
+
+def test_thresholds_follow_the_calibrated_rate():
+    score = np.array([-1.0, 0.0, 1.0, 2.0])
+    limit = personal._threshold(score, np.array([0.0, 50, 990, 998]), np.array([100.0, 100, 1000, 1000]), 0.1, 0.9)
+    assert 0 < limit < 1  # the rate at 1 is 0.99 and 0.988 beyond chance, however many others fail
+    crowded = personal._threshold(score, np.array([0.0, 50, 990, 998]), np.array([1e7, 100, 1000, 1000]), 0.1, 0.9)
+    assert crowded == limit
+    assert personal._threshold(score[:0], score[:0], score[:0], 0.1, 0.9) == float("inf")
+    assert personal._threshold(score, np.zeros(4), np.ones(4), 0.1, 0.9) == float("inf")
+
+
 def test_word_scores_against_a_plain_version(docs, texts):
     tokens = {key: [*WORD.findall(lower(text)), ""] for key, text in texts.items()}
     counts = collections.Counter(t for key in tokens if zlib.crc32(str(key).encode()) % 7 != 2 for t in tokens[key])
