@@ -2,7 +2,7 @@
 
 For every prefix of a word a table keeps the one last token its encoding can have: of the vocabulary matches that end
 there (found by an Aho-Corasick automaton) it is the one whose pair with the last token before it is what merging
-leaves. The ids are then read from the table backwards.
+leaves. The ids are then read from the table backwards. Texts are decoded from their ids by the library.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import hashlib
 import heapq
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from tabprep.llm.common import Memory, blocks, map_batches
@@ -25,22 +26,21 @@ def default_model() -> str:
 
 
 class Codec:
-    """Encoder and decoder of one model file, for merge-type models with byte fallback and a leading space."""
+    """Encoder of one model file, for merge-type models with byte fallback and a leading space, and the library's decoder."""
 
     def __init__(self, model: str, remembered: int):
         import ahocorasick
         import sentencepiece
 
-        source = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.source = source = sentencepiece.SentencePieceProcessor(model_file=model)
         size = source.vocab_size()
         self.pieces = [source.id_to_piece(i) for i in range(size)]
-        self.is_byte = [source.is_byte(i) for i in range(size)]
+        is_byte = [source.is_byte(i) for i in range(size)]
         special = [source.is_control(i) or source.is_unknown(i) or source.is_unused(i) for i in range(size)]
-        ordinary = [i for i in range(size) if not (self.is_byte[i] or special[i])]
-        self.controls = {i for i in range(size) if source.is_control(i)}
+        ordinary = [i for i in range(size) if not (is_byte[i] or special[i])]
         self.ids = {self.pieces[i]: i for i in ordinary}
         self.scores = {self.pieces[i]: source.get_score(i) for i in ordinary}
-        self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(size) if self.is_byte[i]}
+        self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(size) if is_byte[i]}
         self.pattern = self._unit_pattern()
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
@@ -53,7 +53,6 @@ class Codec:
         self.starts: dict[str, list[tuple[str, float]]] = {}
         self.words = Memory(self._word, remembered)
         self.parts = Memory(self._part, remembered)
-        self.odd: set[str] = set()
 
     def _unit_pattern(self) -> re.Pattern:
         """Units that no piece runs over the end of: spaces, signs, then letters and digits.
@@ -181,15 +180,11 @@ class Codec:
         return ",".join(map(self.parts.__getitem__, self.pattern.findall(SPACE + word)))
 
     def _part(self, unit: str) -> str:
-        """The ids of a unit as text; units whose ids decode to something else are noted."""
-        tokens = self.tokens(unit)  # which make up the unit: it decodes to itself if all are in the vocabulary
-        texts = [self.id_texts.get(token) for token in tokens]
+        """The ids of a unit as text."""
+        texts = [self.id_texts.get(token) for token in self.tokens(unit)]
         if None not in texts:
             return ",".join(texts)
-        ids = self.unit_ids(unit)
-        if self.pieces_text(ids) != unit:
-            self.odd.add(unit)
-        return ",".join(map(str, ids))
+        return ",".join(map(str, self.unit_ids(unit)))
 
     def units(self, text: str) -> list[str]:
         """The text with its leading space and marked spaces, cut where no token can run across."""
@@ -198,36 +193,20 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return [i for unit in self.units(text) for i in self.unit_ids(unit)]
 
-    def pieces_text(self, ids: list[int]) -> str:
-        """The pieces of the ids put together; runs of byte ids are read as UTF-8."""
-        out, run = [], bytearray()
-        for i in [*ids, -1]:
-            if i >= 0 and self.is_byte[i]:
-                run.append(int(self.pieces[i][3:5], 16))
-                continue
-            out.append(run.decode(errors="replace"))
-            run.clear()
-            if i >= 0 and i not in self.controls:
-                out.append(self.pieces[i])
-        return "".join(out)
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of the ids, without its leading space."""
-        return self.pieces_text(ids).removeprefix(SPACE).replace(SPACE, " ")
-
-    def encode_text(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, ids joined by commas, and the text decoded from them, unit by unit."""
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        """The library's ``decode`` of the ids."""
+        return self.source.decode(ids)
+
+    def encode_text(self, text: str) -> tuple[np.ndarray, str, str]:
+        """The ids, the ids joined by commas, and the text decoded from them."""
         if not text:
-            return 0, "", ""
+            return np.zeros(0, np.int32), "", ""
         if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-            ids = ",".join(map(self.parts.__getitem__, self.units(text)))
-        else:
-            ids = ",".join(map(self.words.__getitem__, text.split(" ")))
-        if self.odd:
-            decoded = self.decode([int(i) for i in ids.split(",")])
+            joined = ",".join(map(self.parts.__getitem__, self.units(text)))
         else:
-            decoded = text.replace(SPACE, " ")  # every unit decodes to itself, but for the mark that stands for spaces
-        return ids.count(",") + 1, ids, decoded
+            joined = ",".join(map(self.words.__getitem__, text.split(" ")))
+        ids = np.fromstring(joined, np.int32, sep=",")
+        return ids, joined, self.decode(ids)
 
     def forget(self) -> None:
         """Give up what is remembered of whole words, and the older half of the units: a worker lives on after the task."""
@@ -270,9 +249,9 @@ def encode_documents(
         for keys, texts in blocks(batches, TOGETHER):
             rows = []
             for key, text in zip(keys, texts):
-                n, ids, decoded = own.encode_text(text or "")
-                row = (key, n, digest(ids), digest(decoded))
-                rows.append(row + (([int(i) for i in ids.split(",")] if ids else [], decoded) if with_ids else ()))
+                ids, joined, decoded = own.encode_text(text or "")
+                row = (key, len(ids), digest(joined), digest(decoded))
+                rows.append(row + ((ids, decoded) if with_ids else ()))
             yield {name: column for (name, _), column in zip(fields, zip(*rows))}
         if remembered < REMEMBERED:
             own.forget()

@@ -14,6 +14,7 @@ from tabprep.llm import decontaminate, jaccard, language, lines, personal, piece
 from tabprep.llm.common import HashArray, components
 
 SF = "/root/testdata/sf0.001"
+PLAIN = "the quick fox and the dog"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -79,6 +80,37 @@ def test_encoding_equals_the_library(docs, odd_docs):
         assert codec.encode(" " * n + "x") == library.encode(" " * n + "x")
 
 
+def test_texts_are_decoded_from_their_ids(spark):
+    # ids that belong to another word must show in what is decoded
+    codec = pieces.Codec(pieces.default_model(), 1000)
+    codec.id_texts["▁the"] = codec.id_texts["▁and"]
+    assert codec.encode_text("near the end")[2] == "near and end"
+
+    codec = pieces.Codec(pieces.default_model(), 1000)
+    library = codec.source
+    seen = []
+
+    class Decoder:
+        def decode(self, ids):
+            seen.append([int(i) for i in ids])
+            return library.decode(ids)
+
+    codec.source = Decoder()
+    texts = [PLAIN, PLAIN + " and more", " blank  ends ", "▁ mark\n", "\U00010348 \x00 № end", "é"]
+    for text in texts:
+        ids, joined, decoded = codec.encode_text(text)
+        assert list(ids) == library.encode(text) and joined == ",".join(map(str, ids))
+        assert decoded == library.decode(library.encode(text))
+    assert seen == [library.encode(text) for text in texts]
+    assert codec.encode_text("")[1:] == ("", "") and len(codec.encode_text("")[0]) == 0
+
+    rows = [(k, text) for k, text in enumerate([*texts, "", None])]
+    found = pieces.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), with_ids=True).collect()
+    assert {r.doc_id: (r.ids, r.decoded) for r in found} == {
+        k: (library.encode(text or ""), library.decode(library.encode(text or ""))) for k, text in rows
+    }
+
+
 def brute_components(texts, width, percent):
     sets = {}
     for key, text in texts.items():
